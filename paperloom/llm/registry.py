@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paperloom.llm import line_dedup
+from paperloom.llm import bpe, line_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLE_SQL = {
