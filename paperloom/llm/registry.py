@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, line_dedup
+from paperloom.llm import bpe, decontaminate, line_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
