@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor costs no recomputation of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Smaller than a checkpoint (columnar, compressed); for tables that are read more than once."""
+    A lost executor then costs no recomputation of it. A table tells its true size, where a checkpoint carries on the
+    estimates of its plan, which multiply from round to round in an iteration."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int = 16, how: str = "inner"):
+    """Join ``many`` with ``one`` (one row a key) so that a hot key's rows of ``many`` go to ``salts`` tasks.
+
+    Rows of ``many`` are dealt by the hash of ``spread``; ``one`` is repeated for each salt. Keys must not be null."""
+    left = many.withColumn("__pl_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = one.withColumn("__pl_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__pl_salt"], how).drop("__pl_salt")

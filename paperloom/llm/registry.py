@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, decontaminate, line_dedup
+from paperloom.llm import bpe, decontaminate, line_dedup, setsketch
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op10_near_dedup": setsketch.op10_near_dedup,
 }
 
 ORACLE_SQL = {
