@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, decontaminate, line_dedup, setsketch
+from paperloom.llm import bpe, decontaminate, language_id, line_dedup, setsketch
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op10_near_dedup": setsketch.op10_near_dedup,
