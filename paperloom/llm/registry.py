@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, decontaminate, language_id, line_dedup, setsketch
+from paperloom.llm import bpe, decontaminate, language_id, line_dedup, pii, secrets, setsketch
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op6_pii": pii.op6_pii,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op10_near_dedup": setsketch.op10_near_dedup,
