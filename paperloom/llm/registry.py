@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, decontaminate, language_id, line_dedup, pii, secrets, setsketch
+from paperloom.llm import bpe, decontaminate, language_id, line_dedup, mtree, pii, secrets, setsketch, sharding
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op5_exact_topk": mtree.op5_exact_topk,
     "op6_pii": pii.op6_pii,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": setsketch.op10_near_dedup,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op5_exact_topk": mtree.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
