@@ -337,10 +337,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, one of each group; columns as they are."""
+    """The rows of ``docs`` that near_duplicates() keeps, one of each group (and one of each repeated doc_id; rows
+    without an id all stay); columns as they are."""
     gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where(~F.col("kept"))
     gone = gone.select(F.col("doc_id").alias("__pl_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__pl_gone"), "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.join(gone, docs["doc_id"] == F.col("__pl_gone"), "left_anti")
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.limit(1).count():
+        return kept
+    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where(F.col("doc_id").isNull()))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
