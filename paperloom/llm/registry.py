@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, decontaminate, language_id, line_dedup, mtree, pii, secrets, setsketch, sharding
+from paperloom.llm import bpe, chat, decontaminate, language_id, line_dedup, mtree, pii, secrets, setsketch, sharding
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_secrets": secrets.op2_secrets,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
