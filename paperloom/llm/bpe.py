@@ -14,14 +14,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read
+from paperloom.llm.common import read, worker_table
 
-CACHE_WORDS = 250_000  # words whose ids a Python worker remembers at most; the memory starts anew beyond it
-SLICE_CHARS = 4_000_000  # characters worked on at a time
+CACHE_WORDS = 60_000  # words whose ids a Python worker remembers in each of two generations, about
+SLICE_CHARS = 2_000_000  # characters worked on at a time
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")  # blanks to str.split(), not to the pattern
 
 
@@ -58,6 +59,7 @@ class WordBpe:
         self.blanks = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.past: dict[str, tuple[bytes, str]] = {}
 
     # -- merging ---------------------------------------------------------------------------------------------------
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +165,11 @@ class WordBpe:
             wanted.update(rs)
         for t in wanted & self.token.keys():  # ids of added tokens
             self.known[t] = (t.to_bytes(4, "little"), self.token[t])
+        if len(self.known) > CACHE_WORDS:  # words that the next generation doesn't meet again are forgotten with the last
+            self.known, self.past = {}, self.known
         new = wanted - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {t: self.known[t] for t in wanted if t in self.known}
-        self.learn(new)
+        self.known.update((t, self.past[t]) for t in new & self.past.keys())
+        self.learn(new - self.past.keys())
         known = self.known
         out = []
         for rs in split:
@@ -175,29 +178,22 @@ class WordBpe:
         return out
 
 
-_HELD: dict[int, WordBpe] = {}
-
-
 def _worker(spec: str) -> WordBpe:
     """One encoder for each Python worker and file."""
-    key = hash(spec)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = WordBpe(spec)
-    return _HELD[key]
+    return worker_table(("bpe", hash(spec)), lambda: WordBpe(spec))
 
 
-def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` characters; a longer text stands alone."""
+def slices(lengths: list[int | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` characters, by the texts' lengths; a longer text stands alone."""
     at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 64
+    for i, length in enumerate(lengths):
+        n = (length or 0) + 64
         if i > at and size + n > most:
             yield at, i
             at, size = i, 0
         size += n
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def encode_bpe(docs: DataFrame, path: str) -> DataFrame:
@@ -216,9 +212,8 @@ def encode_bpe(docs: DataFrame, path: str) -> DataFrame:
         bpe = _worker(spec.value)
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
-            chars = texts.to_pylist()
-            for i, j in slices(chars):
-                got = bpe.encode_all([t or "" for t in chars[i:j]])
+            for i, j in slices(pc.utf8_length(texts).to_pylist()):
+                got = bpe.encode_all([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 more = [pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i) for c in b.columns] + more, names=[*b.schema.names, "ids", "decoded"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,25 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TABLES: dict[Any, Any] = {}
+
+
+def worker_table(key: Any, make: Callable[[], Any]) -> Any:
+    """The table ``key`` of this Python worker, made at its first use.
+
+    A worker holds one at a time: a worker that goes on to another operator gives up what the last one remembered."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
+def strings(column: Any, rows: int = 512) -> Iterator[str | None]:
+    """The values of an Arrow column of texts, of which ``rows`` at a time are Python objects."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int = 16, how: str = "inner"):
     """Join ``many`` with ``one`` (one row a key) so that a hot key's rows of ``many`` go to ``salts`` tasks.
 

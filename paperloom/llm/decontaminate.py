@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read
+from paperloom.llm.common import read, worker_table
 
 WINDOW = 10  # words
 MAX_COVERAGE = 0.5  # documents with a larger share of hit words are left with nothing worth keeping
@@ -169,17 +169,10 @@ def parts_of(benchmark: DataFrame, window: int, part_words: int) -> list:
     return out
 
 
-_HELD: dict[int, Automaton] = {}
-
-
 def _automaton(broadcast) -> Automaton:
     """One automaton at a time in a Python worker."""
     raw = broadcast.value
-    key = hash(raw)  # bytes remember their hash
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = pickle.loads(raw)
-    return _HELD[key]
+    return worker_table(("automaton", hash(raw)), lambda: pickle.loads(raw))  # bytes remember their hash
 
 
 def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

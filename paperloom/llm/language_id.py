@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read
+from paperloom.llm.common import read, strings
 
 TRAIN_ROWS = 6000  # labelled rows that training takes in all, about; the bound of the sample
 BUCKETS_LOG2 = 16
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            got = [m.predict(t) for t in strings(b.column(b.schema.get_field_index("text")))]
             more = [
                 pa.array([g[0] for g in got], pa.string()),
                 pa.array([g[1] for g in got], pa.float64()),

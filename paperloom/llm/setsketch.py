@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, read, salted_join
+from paperloom.llm.common import cut, read, salted_join, strings, worker_table
 from paperloom.llm.components import components
 
 BANDS, ROWS = 30, 4  # a pair of similarity 0.8 shares no band once in seven million times
@@ -29,7 +29,7 @@ SMALL_BUCKET = 64  # buckets of more members go by families and blocks
 BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000  # of one side of a block
 FANOUT = 128  # texts that are verified against one copy of another
 BIN_ROWS = 1500  # rows of a verifying task's group, about
-WORDS_HELD = 400_000  # hashes of words that a Python worker remembers
+WORDS_HELD = 60_000  # hashes of words that a Python worker remembers
 
 _rng = np.random.default_rng(20)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,9 +48,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(32))
     x *= _U(0xD6E8FEB86659FD93)
@@ -64,7 +61,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_table("words", _Words).__getitem__, words), np.uint64, len(words))
     size = min(k, len(h))
     n = len(h) - size + 1
     s = np.full(n, size, np.uint64)
@@ -124,7 +121,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, one, two, bands = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in strings(b.column(1)):
                 s = shingles(t, k)
                 sizes.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
