@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import read, worker_table
 
-CACHE_WORDS = 60_000  # words whose ids a Python worker remembers in each of two generations, about
-SLICE_CHARS = 2_000_000  # characters worked on at a time
+CACHE_WORDS = 150_000  # words whose ids a Python worker remembers in each of two generations, about
+SLICE_CHARS = 4_000_000  # characters worked on at a time
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")  # blanks to str.split(), not to the pattern
 
 
