@@ -95,7 +95,8 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     for t, label in zip(texts, labels, strict=True):
         if got := list(subwords(t)):
             b, c = np.unique(np.concatenate(got), return_counts=True)
-            rows.append((b, (c / c.sum()).astype(np.float32), langs.index(label)))
+            # buckets fit 16 bits: the driver holds six bytes for each subword of a text
+            rows.append((b.astype(np.uint16), (c / c.sum()).astype(np.float32), langs.index(label)))
     emb = rng.normal(0, 0.1, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, max(1, len(langs)))).astype(np.float32)
     bias = np.zeros(max(1, len(langs)), np.float32)
