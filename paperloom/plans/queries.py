@@ -530,5 +530,5 @@ def spacing_labels(spark, d):
 @query()
 def evaluation(spark, d):
     docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    rows = docs.select(F.col("doc_id").cast("string").alias("branch_id"), F.substring("text", 1, 200).alias("requirement"), F.col("text").alias("context"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("branch_id"), F.concat_ws(" ", "lang", "source").alias("requirement"), F.col("text").alias("context"))
     return evaluate.evaluate(rows).select("branch_id", "feedback", "fulfilled", "score", "attempts")
