@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGIN = 2
+BLOCK = 1024  # chunks, and queries, of one filter value that meet in one task, about
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,17 +20,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+def _hot(rows: DataFrame, on: str, name: str) -> DataFrame:
+    """(``on``, ``name``): filter values of more than BLOCK rows, and the parts to deal them over; one row a BLOCK at most."""
+    n = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
+    return F.broadcast(n.select(on, F.ceil(F.col("__n") / BLOCK).alias(name)))
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int, on: str = "source", key: str = "chunk_id") -> DataFrame:
     """The k chunks nearest by cosine to each query among those of the query's ``on`` value, with ``distance``, ``rank``.
 
-    ``queries``: query_id, ``on``, vector. An equi-join on the filter column, then a rank limit that Spark applies before
-    it shuffles; norms are computed once a row. Ties go to the smaller key."""
+    ``queries``: query_id, ``on``, vector. Chunks and queries of a frequent ``on`` value are dealt over blocks by hash; each
+    pair of blocks is joined by itself and keeps k chunks a query, of which the k nearest stay. Norms are computed once a
+    row; ties go to the smaller key. Every pair of a query and a chunk of its value is scored."""
     q = queries.select("query_id", on, F.col("vector").alias("__q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__qn"))
     c = chunks.withColumn("__cn", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    both = q.join(c, on).where("__qn > 0 and __cn > 0")
+    blocks, groups = _hot(chunks, on, "__blocks"), _hot(queries, on, "__groups")
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.coalesce(n, F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)).cast("long") - 1))
+    q, c = (x.join(blocks, on, "left").join(groups, on, "left") for x in (q, c))
+    q = q.withColumn("__g", part("query_id", F.col("__groups"))).withColumn("__b", every(F.col("__blocks")))
+    c = c.withColumn("__b", part(key, F.col("__blocks"))).withColumn("__g", every(F.col("__groups")))
+    both = q.drop("__blocks", "__groups").join(c.drop("__blocks", "__groups"), [on, "__b", "__g"]).where("__qn > 0 and __cn > 0")
     both = both.withColumn("distance", 1 - dot(F.col("__q"), F.col("embedding")) / (F.col("__qn") * F.col("__cn")))
+    own = F.row_number().over(Window.partitionBy("query_id", "__b").orderBy("distance", key))
+    both = both.withColumn("__r", own).where(F.col("__r") <= k).drop("__q", "__qn", "__cn", "__r", "__b", "__g")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).drop("__q", "__qn", "__cn")
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, margin: int = MARGIN, source: str = "source", index: str = "chunk_index") -> DataFrame:

@@ -227,6 +227,12 @@ def knn_batch(spark, d):
     return _knn(spark, d, 10, 3)
 
 
+@query(_KNN.format(m=20, k=5))
+def knn_every20(spark, d):
+    """The search of knn_filtered for its whole query set, every id divisible by 20."""
+    return _knn(spark, d, 20, 5)
+
+
 @query("""
 with h as (select label, vec_id from embeddings where vec_id % 37 = 0)
 select distinct e.label as source, e.vec_id as chunk_index from embeddings e join h on e.label = h.label
@@ -236,6 +242,18 @@ def neighbour_expand(spark, d):
     return vectors.neighbours(chunks.where("chunk_index % 37 = 0"), chunks)
 
 
+@query(f"""
+with hits as ({_KNN.format(m=20, k=5)}),
+h as (select distinct label, vec_id from hits join embeddings using (vec_id))
+select distinct e.label as source, e.vec_id as chunk_index from embeddings e join h on e.label = h.label
+ and e.vec_id between greatest(0, h.vec_id - 2) and h.vec_id + 2""")
+def neighbour_hits(spark, d):
+    """Neighbours of what the search finds for its whole query set."""
+    chunks = t(spark, d, "embeddings").select(F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"))
+    hits = _knn(spark, d, 20, 5).select(F.col("vec_id").alias("chunk_index")).distinct()
+    return vectors.neighbours(chunks.join(hits, "chunk_index", "left_semi"), chunks)
+
+
 @query("""
 with cited as (select event_id as ord, user_id as chunk_id from events where event_type = 'click'),
 f as (select chunk_id, min(ord) as ord from cited group by chunk_id)

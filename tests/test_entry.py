@@ -31,6 +31,14 @@ def test_queries_match_their_sql(spark, sf_dir, name):
     assert a == sorted(tuple(map(shown, r)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["knn_every20", "neighbour_hits"])
+def test_searches_of_the_whole_query_set_match_their_sql(spark, sf_dir, name):
+    test_queries_match_their_sql(spark, sf_dir, name)
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    if name == "knn_every20":
+        assert {r.query_id for r in plans.QUERIES[name](spark, sf_dir).collect()} == ids
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

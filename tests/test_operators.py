@@ -72,6 +72,23 @@ def test_knn_is_exact_within_its_source(spark):
     assert rows(vectors.knn(q, c, 5), "chunk_id", "rank") == [(1, 1), (2, 2)]
 
 
+def test_knn_deals_a_frequent_source_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    points = [(i, "hot" if i % 3 else f"s{i % 5}", [float(i * 7 % 11), float(i * 5 % 13) + 0.5]) for i in range(90)]
+    c = spark.createDataFrame(points, "chunk_id int, source string, embedding array<double>")
+    q = c.where("chunk_id % 2 = 0").select(F.col("chunk_id").alias("query_id"), "source", F.col("embedding").alias("vector"))
+    out = vectors.knn(q, c, 4)
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    far = lambda a, b: 1 - (a[0] * b[0] + a[1] * b[1]) / (size(a) * size(b))
+    want = []
+    for i, s, v in points[::2]:
+        near = sorted((far(v, w), j) for j, o, w in points if o == s)[:4]
+        want += [(i, j, n + 1) for n, (_, j) in enumerate(near)]
+    assert rows(out, "query_id", "chunk_id", "rank") == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__b" in plan and "__g" in plan
+
+
 def test_neighbours_clamp_at_zero_and_dont_repeat(spark):
     c = spark.createDataFrame([("s", i) for i in range(6)], "source string, chunk_index int")
     h = spark.createDataFrame([("s", 0), ("s", 1), (None, 3)], "source string, chunk_index int")
