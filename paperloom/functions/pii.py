@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,30 +34,56 @@ def counts(text: Column, patterns=tuple(PATTERNS)) -> list[Column]:
     return [F.regexp_count(text, F.lit(p)).cast("long").alias(k.lower()) for k, p in patterns]
 
 
+def _kept(hits: list[list[str]], gaps: list[list[int]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, kind's number, entity) of a text's matches that no better one overlaps, by start. ``gaps`` are the
+    lengths between the matches of a kind."""
+    spans = []
+    for k, (own, between) in enumerate(zip(hits, gaps, strict=True)):
+        at = 1
+        for entity, gap in zip(own, between, strict=False):
+            spans.append((at + gap, at + gap + len(entity), k, entity))
+            at += gap + len(entity)
+    spans.sort(key=lambda s: s[:3])
+    lost = set()
+    for i, (a, b, k, _) in enumerate(spans):
+        for j in range(i + 1, len(spans)):
+            c, d, o, _ = spans[j]
+            if c >= b:
+                break
+            lost.add(j if (b - a, -k) > (d - c, -o) else i)
+    return [s for i, s in enumerate(spans) if i not in lost]
+
+
 def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS)) -> DataFrame:
     """(key, order, kind, entity, start): matches of all patterns; of overlapping ones the longest stays, then the kind
-    registered first. Positions follow from splitting the text at each match, in the row."""
-    found = None
-    for i, (kind, p) in enumerate(patterns):
-        hits = df.select(key, order, F.col(text).alias("__t"), F.regexp_extract_all(text, F.lit(f"(?:{p})"), 0).alias("__h"))
-        hits = hits.where(F.size("__h") > 0).select(key, order, "__t", F.posexplode("__h").alias("__n", "entity"), F.lit(kind).alias("kind"), F.lit(i).alias("__k"))
-        found = hits if found is None else found.unionByName(hits)
-    nth = F.row_number().over(Window.partitionBy(key, order, "kind", "entity").orderBy("__n"))
-    placed = found.withColumn("__o", nth)
-    start = F.char_length(F.expr("substring_index(__t, entity, __o)")) + 1
-    placed = placed.withColumn("start", start).withColumn("end", F.col("start") + F.char_length("entity"))
-    w = Window.partitionBy(key, order)
-    spans = placed.withColumn("__all", F.collect_list(F.struct("start", "end", "__k")).over(w))
-    longer = F.exists(
-        "__all",
-        lambda o: (o["start"] < F.col("end"))
-        & (F.col("start") < o["end"])
-        & (
-            (o["end"] - o["start"] > F.col("end") - F.col("start"))
-            | ((o["end"] - o["start"] == F.col("end") - F.col("start")) & (o["__k"] < F.col("__k")))
-        ),
-    )
-    return spans.where(~longer).select(key, order, "kind", "entity", "start")
+    registered first. Positions follow from splitting the text at each match, in the row; texts are not shuffled, and work
+    in a row follows its number of matches, since matches of one kind don't overlap."""
+    kinds = [k for k, _ in patterns]
+    hits = [F.regexp_extract_all(F.col(text), F.lit(f"(?:{p})"), 0).alias(f"__h{i}") for i, (_, p) in enumerate(patterns)]
+    gaps = [
+        F.transform(F.split(F.col(text), f"(?:{p})", -1), lambda x: F.char_length(x)).alias(f"__g{i}") for i, (_, p) in enumerate(patterns)
+    ]
+    found = df.select(key, order, *hits, *gaps)
+    n = len(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(i + 2).to_pylist() for i in range(2 * n)]
+            rows, out = [], []
+            for i, lists in enumerate(zip(*columns, strict=True)):
+                if any(lists[:n]):
+                    own = _kept([x or [] for x in lists[:n]], [x or [] for x in lists[n:]])
+                    rows += [i] * len(own)
+                    out += own
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array([kinds[s[2]] for s in out], pa.string()),
+                 pa.array([s[3] for s in out], pa.string()), pa.array([s[0] for s in out], pa.int32())],
+                names=[key, order, "kind", "entity", "start"],
+            )
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:2])
+    return found.mapInArrow(run, f"{own}, kind string, entity string, start int")
 
 
 def placeholders(found: DataFrame, key: str, order: str = "chunk_index") -> DataFrame:

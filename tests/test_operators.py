@@ -158,6 +158,16 @@ def test_pseudonyms_are_stable_and_reversible(spark):
     assert got[1].back == own and got[2].text is None
 
 
+def test_entities_that_are_parts_of_longer_ones_are_found(spark):
+    texts = ["a.b@x.com then b@x.com", "21:30 ... 1:30", "21:300 1:30 1:30", "em 01/02/2024 e 02/2024", "nothing", None]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "doc_id int, chunk_index int, text string")
+    found = [(0, "a.b@x.com", 1), (0, "b@x.com", 16), (1, "1:30", 11), (1, "21:30", 1), (2, "1:30", 8), (2, "1:30", 13),
+             (3, "01/02/2024", 4), (3, "02/2024", 17)]
+    assert rows(pii.entities(df, "doc_id"), "doc_id", "entity", "start") == sorted(found, key=str)
+    out = {r.doc_id: r.text for r in pii.anonymise(df, "doc_id").collect()}
+    assert out[0] == "<EMAIL_ADDRESS_0> then <EMAIL_ADDRESS_1>" and out[1] == "<TIME_0> ... <TIME_1>" and out[5] is None
+
+
 def test_sections_are_found_without_accents(spark):
     got = text.split_sections("Título\nIntrodução aqui. Método ali.", [
         {"section": "I", "start_text": "introducao", "end_text": None}, {"section": "M", "start_text": "METODO", "end_text": None},
