@@ -41,6 +41,7 @@ QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\[^\n])*){q}") for q in "\"'`"}
 BARE = re.compile(r"[A-Za-z0-9_+/.=@$%^&*!~#?-]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 JOINER = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
+CALL = re.compile(r"\.[A-Za-z_]")  # after a literal: a method, with which the value ends
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
 
@@ -78,7 +79,9 @@ def literal_score(value: str, quoted: bool) -> float:
 
 
 def assignments(text: str):
-    """(name, [(literal, start, end, quoted)]) of each assignment, in order; a name in a value stands for its literals."""
+    """(name, [(literal, start, end, quoted)]) of each assignment, in order; a name in a value stands for its literals.
+
+    Of a value with quoted and unknown parts the quoted ones count."""
     known: dict[str, list[tuple[str, int, int, bool]]] = {}
     from_ = 0
     for op in OPERATOR.finditer(text):
@@ -94,7 +97,7 @@ def assignments(text: str):
         from_ = op.end()
         if not name or name[0].isdigit():
             continue
-        at, parts = op.end(), []
+        at, parts, whole = op.end(), [], True
         while at < len(text) and text[at] in " \t":
             at += 1
         while at < len(text):
@@ -109,15 +112,23 @@ def assignments(text: str):
             else:
                 parts.append((m[0], m.start(), m.end(), False))
             at = m.end()
+            if q and CALL.match(text, at):
+                whole = False
+                break
+            if not q and m[0][-1] in "+." and text[at : at + 1] in QUOTED:  # a name joined to a literal without a blank
+                continue
             more = JOINER.match(text, at) if parts else None
             if not more:
                 break
             at = more.end()
         if parts:
+            literals = [p for p in parts if p[3]]
+            whole = whole and parts[-1][3]
+            parts = literals or parts
             known[name] = parts
-            if all(p[3] for p in parts) or len(parts) == 1:
+            if literals or len(parts) == 1:
                 yield name, parts
-            from_ = max(from_, at) if parts[-1][3] else from_
+            from_ = max(from_, at) if whole else from_
 
 
 def find_secrets(text: str) -> list[Span]:

@@ -46,6 +46,18 @@ def test_lexer_adds_literals():
     assert added('password == "abcdefgh1"') == []
 
 
+def test_lexer_keeps_literals_beside_unknown_parts():
+    added = lambda t: [t[s[1] : s[2]] for s in secrets.find_secrets(t) if not s[3]]
+    assert added('signing_key = "aB3$dE5fG7hI9x".encode()') == ["aB3$dE5fG7hI9x"]
+    assert added('private_key = "aB3$dE5fG7hI9x" + suffix') == ["aB3$dE5fG7hI9x"]
+    assert added('private_key = prefix + "aB3$dE5fG7hI9x"') == ["aB3$dE5fG7hI9x"]
+    assert added("private_key = prefix+'aB3$dE5fG7hI9x'+suffix") == ["aB3$dE5fG7hI9x"]
+    assert added('credentials: "abc123XYZ789". Next one') == ["abc123XYZ789"]
+    assert added('k = "aB3$dE5fG7hI9x" + suffix\nsigning_key = k') == ["aB3$dE5fG7hI9x"]
+    assert added('note = "private_key=abc123XYZ789".strip()') == ["abc123XYZ789"]
+    assert added("signing_key = prefix + suffix") == []
+
+
 def test_field_carries_labels():
     seen = ["call +1 (743) 555-3824 now", "mail a.b@mail.example.com", "host 10.2.3.4 and 10.2.3.4", "card 4465758382889437", "in 2024 of 1234"] * 20
     find = pii.finder(pii.train(seen))
