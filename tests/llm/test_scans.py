@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from paperloom.llm import pii, secrets
 from paperloom.llm.spans import digest
 
@@ -66,6 +68,22 @@ def test_field_carries_labels():
     assert find("nothing at all") == [] and find("page 12 of 345, 2021") == []
 
 
+def test_a_label_reaches_all_mentions_of_a_long_document():
+    find = pii.finder(pii.Crf(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), 4.0))  # mentions have no belief of their own
+    gap = " and some more words that say nothing about it at all, as long texts have many of them, "
+    later = [gap + "743-555-3824" for _ in range(29)]
+    for t in ["call +1 (743) 555-3824" + "".join(later), "".join(later) + gap + "call +1 (743) 555-3824"]:
+        got = [s for s in find(t) if not s[3]]
+        assert [t[s[1] : s[2]] for s in got] == ["743-555-3824"] * 29
+        nodes = pii.candidates(t, pii.base_spans(t))
+        assert len(pii.observed_edges(nodes)) == 29
+    r = random.Random(4)
+    keys = ["".join(r.choice("12") for _ in range(r.randint(8, 13))) for _ in range(200)] + ["a@b", "a@b.c", "a@b.c.d", "a.b@c", "a@bc.d"]
+    for a in keys:
+        for b in keys:
+            assert pii.similar(a, b) == (a == b or a in pii.forms(b) or b in pii.forms(a)), (a, b)
+
+
 def test_rows(odd_docs, no_docs):
     out = secrets.scan_secrets(odd_docs, "found")
     assert out.count() == odd_docs.count() and out.columns == [*odd_docs.columns, "found"]
