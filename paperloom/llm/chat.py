@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut, read
 
 ROLES = ["system", "user", "assistant"]
-STRETCH = 256  # turn numbers in a stretch
+STRETCH = 256  # lines in a stretch, up to its last row's
 TRAIN_ROWS = 4000  # labelled rows that training takes, about; the bound of the sample
 
 # Speaker names, how markers are written, and the canonical form.
@@ -160,6 +161,37 @@ def fit(turns: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
     return train([tuple(r) for r in rows])
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, c, n, s): the transcript as a string, how many of its lines come before a row, its stretch."""
+    conv = F.col("conv_id").cast("string").alias("c")
+    rows = turns.select("conv_id", "turn", F.col("text").cast("string").alias("text"), conv, F.monotonically_increasing_id().alias("u"))
+    keys = [F.col(x).asc_nulls_first() for x in ("c", "turn", "text", "u")]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slice's number, and how many lines of a row's transcript come before it in the slice."""
+        slice_, key, n = TaskContext.get().partitionId(), object(), 0
+        for b in batches:
+            before, size = [], []
+            for c, x in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), strict=True):
+                key, n = c, n if c == key else 0
+                before.append(n)
+                size.append(len(lines_of(x)))
+                n += size[-1]
+            more = [pa.array([slice_] * len(size), pa.int64()), pa.array(before, pa.int64()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "p", "i", "w"])
+
+    sliced = cut(placed.mapInArrow(count, f"{own}, p long, i long, w long").drop("u"))
+    ahead = F.sum("w").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    # one row for each slice that goes on with the transcript of the slice before it
+    offset = sliced.groupBy("c", "p").agg(F.sum("w").alias("w")).withColumn("o", ahead).where("o > 0")
+    offset = F.broadcast(offset.select(F.col("c").alias("c1"), F.col("p").alias("p1"), "o"))
+    dealt = sliced.join(offset, F.col("c").eqNullSafe(F.col("c1")) & (F.col("p") == F.col("p1")), "left")
+    dealt = dealt.withColumn("n", F.col("i") + F.coalesce("o", F.lit(0))).drop("c1", "p1", "o", "p", "i", "w")
+    return dealt.withColumn("s", F.floor(F.col("n") / STRETCH).cast("long"))
+
+
 def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
     """(conv_id, turn, role_pred, segments, rendered) of each row of ``turns`` (conv_id, turn, text).
 
@@ -168,15 +200,14 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
     empty line; a null conv_id is a transcript of its own name; null turns come first; repeated rows follow each other.
     Other columns take no part; an empty table gives an empty one.
 
-    Rows are dealt by transcript and stretch, so a transcript of any length is shared by many tasks; between the two
-    passes only a matrix of three by three for each stretch travels. Memory: the rows of one stretch."""
+    Rows are numbered by counts of lines in range-partitioned slices and running offsets, and dealt by transcript and
+    stretch of STRETCH lines, whatever the turn numbers are, so a transcript of any length is shared by many tasks; between
+    the passes only a matrix of three by three for each stretch travels. Memory: the rows of one stretch, which may end in
+    a longer row."""
     k = len(ROLES)
     shared = turns.sparkSession.sparkContext.broadcast(hmm)
-    conv = F.col("conv_id").cast("string").alias("c")
-    stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).cast("long").alias("s")
-    rows = turns.select("conv_id", "turn", F.col("text").cast("string").alias("text"), conv, stretch)
-    order = [F.col("c").asc_nulls_first(), "s", F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = cut(rows.repartition("c", "s").sortWithinPartitions(*order))
+    dealt = numbered(turns)
+    order = [F.col("c").asc_nulls_first(), "s", "n"]
 
     def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
         """Consecutive rows of equal keys, across batches."""
@@ -234,7 +265,8 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_pylist(out, _ENDS)
 
-    chain = dealt.select("c", "s", "text", "turn").mapInArrow(sums, "c string, s long, m array<double>, o array<double>")
+    stretches = dealt.select("c", "s", "n", "text").repartition("c", "s").sortWithinPartitions(*order)
+    chain = stretches.mapInArrow(sums, "c string, s long, m array<double>, o array<double>")
     chain = chain.repartition("c").sortWithinPartitions(F.col("c").asc_nulls_first(), "s")
     known = chain.mapInArrow(ends, "c string, s long, a int, z int").select(F.col("c").alias("c2"), F.col("s").alias("s2"), "a", "z")
     both = dealt.join(known, F.col("c").eqNullSafe(F.col("c2")) & (F.col("s") == F.col("s2"))).drop("c2", "s2")

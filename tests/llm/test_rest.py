@@ -80,3 +80,28 @@ def test_chat(spark, monkeypatch):
     assert [(s.role, s.text) for s in first.segments] == [("user", "hi?\nmore"), ("assistant", "sure")]
     assert first.rendered == "<|user|>\nhi?\nmore\n<|end|>\n<|assistant|>\nsure\n<|end|>"
     assert chat.format_chats(odd.limit(0), hmm).count() == 0
+
+
+def test_chat_cuts_stretches_by_lines(spark, monkeypatch):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    hmm = chat.fit(turns)
+    own = [r.text for r in turns.limit(60).collect()]
+    rows = [(i % 2 or None, None if i % 3 else 1, own[i % len(own)]) for i in range(240)] + [(3, 1, own[0])] * 40
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string").repartition(5)
+    want = []
+    for c in (None, 1, 3):
+        texts = [x for t in (None, 1) for x in sorted(r[2] for r in rows if r[0] == c and r[1] == t)]
+        paths = [chat.decode(hmm, texts, -1, z) for z in range(3)]
+        matrix = None
+        for x in texts:
+            for i, line in enumerate(chat.lines_of(x)):
+                m = hmm.step(line, i == 0)
+                matrix = chat._opening(hmm, m) if matrix is None else (matrix[:, None] + m).max(axis=0)
+        want += [(str(c), x, chat.ROLES[y[0]]) for x, y in zip(texts, paths[int(matrix.argmax())], strict=True)]
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    held: dict = {}
+    for r in chat.numbered(df).collect():
+        held.setdefault((r.c, r.s), []).append(len(chat.lines_of(r.text)))
+    assert max(map(sum, held.values())) <= 8 + max(len(chat.lines_of(x)) for x in own) and len(held) > 20
+    got = sorted((str(r.conv_id), r.role_pred) for r in chat.format_chats(df, hmm).collect())
+    assert got == sorted((c, y) for c, _, y in want)
