@@ -38,8 +38,8 @@ class MTree:
         norms = np.einsum("ij,ij->i", self.v, self.v)
         self.m2 = float(norms.max()) if len(ids) else 0.0
         self.extra = np.sqrt(np.maximum(self.m2 - norms, 0))
-        self.rng = np.random.default_rng(5)
         self.top = int(np.argmin(self.extra)) if len(ids) else 0
+        self.scored = 0  # pairs of a query and a row whose score has been computed
         self.root = self._build(np.arange(len(ids)), self.top)[0] if len(ids) else None
 
     def _d(self, a: int, rows: np.ndarray) -> np.ndarray:
@@ -53,8 +53,11 @@ class MTree:
         if len(rows) <= PAGE or radius <= SLACK:
             order = np.argsort(d, kind="stable")
             return Node(rows=rows[order], parent_d=d[order]), radius
-        seeds = rows[self.rng.choice(len(rows), min(FAN, -(-len(rows) // PAGE) * 2), replace=False)]
-        near = np.stack([self._d(s, rows) for s in seeds]).argmin(axis=0)
+        seeds, apart = [route], [d]  # the next seed is the row farthest from those before it
+        for _ in range(min(FAN, -(-len(rows) // PAGE) * 2) - 1):
+            seeds.append(int(rows[np.minimum.reduce(apart).argmax()]))
+            apart.append(self._d(seeds[-1], rows))
+        near = np.stack(apart).argmin(axis=0)
         parts = [(s, rows[near == i]) for i, s in enumerate(seeds) if (near == i).any()]
         if len(parts) == 1:  # all as near to one seed: a page of its own size
             order = np.argsort(d, kind="stable")
@@ -66,43 +69,88 @@ class MTree:
             parent_d=self._d(route, routes),
         ), radius
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k highest scores but for id ``own``, ties to smaller ids."""
-        if self.root is None:
-            return []
-        q = query.astype(np.float64)
-        base = float(q @ q) + self.m2
-        dist = lambda dots: np.sqrt(np.maximum(base - 2 * dots, 0))
-        scores, ids, limit, worst = np.empty(0), np.empty(0, np.int64), np.inf, -np.inf
-        count = 0
-        queue = [(0.0, 0, self.root, float(dist(self.v[self.top] @ q)))]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, id, score) of the k highest scores of each row of ``queries`` but for the id in ``own``, ties to
+        smaller ids.
+
+        Best first over pages for all queries together: the page with the least distance bound of any query comes next,
+        with those queries whose bounds still reach it; its entries are scored in one product."""
+        best = _Best(len(queries), own, k)
+        if self.root is None or not len(queries):
+            return best.rows()
+        q = queries.astype(np.float64)
+        base = np.einsum("ij,ij->i", q, q) + self.m2
+        every = np.arange(len(q))
+
+        def dist(at: np.ndarray, dots: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(base[at].reshape(-1, *[1] * (dots.ndim - 1)) - 2 * dots, 0))
+
+        count, queue = 0, [(0.0, 0, self.root, every, dist(every, q @ self.v[self.top]), np.zeros(len(q)))]
+        limit = np.full(len(q), np.inf)
         while queue:
-            low, _, node, dq = heapq.heappop(queue)
-            if low > limit + SLACK:
-                break
+            _, _, node, at, dq, low = heapq.heappop(queue)
+            reached = low <= limit[at] + SLACK
+            at, dq = at[reached], dq[reached]
+            if not len(at):
+                continue
+            far = limit[at] + SLACK
             if node.rows is not None:
-                # |d(q, route) - d(row, route)| bounds d(q, row) from below
-                a, b = np.searchsorted(node.parent_d, [dq - limit - SLACK, dq + limit + SLACK])
+                # |d(q, route) - d(row, route)| bounds d(q, row) from below: rows out of every query's reach are left out
+                a, b = np.searchsorted(node.parent_d, [(dq - far).min(), (dq + far).max()])
                 rows = node.rows[a : b + 1]
-                s, i = self.v[rows] @ q, self.ids[rows]
-                mine = (i != own) & (s >= worst)
-                scores, ids = np.concatenate([scores, s[mine]]), np.concatenate([ids, i[mine]])
-                if len(scores) > k:
-                    order = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[order], ids[order]
-                if len(scores) >= k:
-                    worst = scores.min()
-                    limit = float(dist(worst))
+                self.scored += len(at) * len(rows)
+                changed = best.add(at, q[at] @ self.v[rows].T, self.ids[rows])
+                full = changed[best.full[changed]]
+                limit[full] = dist(full, best.worst[full])
                 continue
-            near = np.flatnonzero(np.abs(dq - node.parent_d) - node.radii <= limit + SLACK)
-            d = dist(self.v[node.routes[near]] @ q)
-            for j, dj in zip(near.tolist(), d.tolist(), strict=True):
-                low = max(dj - node.radii[j], 0.0)
-                if low <= limit + SLACK:
+            near = np.abs(dq[:, None] - node.parent_d) - node.radii <= far[:, None]
+            some = np.flatnonzero(near.any(axis=0))
+            d = dist(at, q[at] @ self.v[node.routes[some]].T)
+            for i, j in enumerate(some.tolist()):
+                low = np.maximum(d[:, i] - node.radii[j], 0.0)
+                go = near[:, j] & (low <= far)
+                if go.any():
                     count += 1
-                    heapq.heappush(queue, (low, count, node.children[j], dj))
-        order = np.lexsort((ids, -scores))[:k]
-        return [(int(scores[o]), int(ids[o])) for o in order]
+                    heapq.heappush(queue, (float(low[go].min()), count, node.children[j], at[go], d[go, i], low[go]))
+        return best.rows()
+
+
+class _Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, queries: int, own: np.ndarray, k: int) -> None:
+        self.k, self.own = k, own
+        self.q, self.id, self.score = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        self.full = np.zeros(queries, bool)
+        self.worst, self.worst_id = np.full(queries, -np.inf), np.zeros(queries, np.int64)
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Take in the scores of queries ``at`` (rows) and ``ids`` (columns); the queries whose best have changed."""
+        worst = self.worst[at][:, None]
+        better = (scores > worst) | (scores == worst) & (ids < self.worst_id[at][:, None])
+        i, j = np.nonzero(better & (ids != self.own[at][:, None]))
+        if not len(i):
+            return i
+        changed = np.zeros(len(self.full), bool)
+        changed[at[i]] = True
+        old = changed[self.q]
+        q = np.concatenate([self.q[old], at[i]])
+        n = np.concatenate([self.id[old], ids[j]])
+        s = np.concatenate([self.score[old], scores[i, j]])
+        order = np.lexsort((n, -s, q))
+        q, n, s = q[order], n[order], s[order]
+        start = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(start, np.diff(start, append=len(q)))
+        last = np.flatnonzero(place == self.k - 1)
+        self.full[q[last]], self.worst[q[last]], self.worst_id[q[last]] = True, s[last], n[last]
+        keep = place < self.k
+        self.q = np.concatenate([self.q[~old], q[keep]])
+        self.id = np.concatenate([self.id[~old], n[keep]])
+        self.score = np.concatenate([self.score[~old], s[keep]])
+        return np.flatnonzero(changed)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.q, self.id, self.score.astype(np.int64)
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
@@ -121,7 +169,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     take no part; empty tables give an empty one.
 
     Vectors are dealt over blocks of about BLOCK rows by a hash, queries over parts of about QUERIES; each task builds a
-    tree of one block and searches it for one part's queries. Blocks' best k meet by query, cut to k before the shuffle."""
+    tree of one block and searches it for one part's queries together. Blocks' best k meet by query, cut to k before the
+    shuffle."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     there = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(sound, F.lit(False))
     own = F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")
@@ -135,12 +184,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        q, i, s = (np.empty(0, np.int64),) * 3
         if left.num_rows and right.num_rows:
-            tree = MTree(right.column("id").to_numpy(), _vectors(right))
-            for i, v in zip(left.column("id").to_pylist(), _vectors(left), strict=True):
-                out += [(i, x, s) for s, x in tree.search(v, i, k)]
-        return pa.table({n: pa.array([o[j] for o in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+            own = left.column("id").to_numpy()
+            q, i, s = MTree(right.column("id").to_numpy(), _vectors(right)).search(_vectors(left), own, k)
+            q = own[q]
+        return pa.table({"query_id": q, "vec_id": i, "score": s})
 
     keys = ["dim", "b", "p"]
     best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
