@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read
+from paperloom.llm.common import cut, read, salted_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,9 +33,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     A document is a distinct (doc_id, text); repeated rows count once and are all cleaned. A null or empty text is one
     empty line and stays as it is (null becomes empty). Null ids take part. No rows give no rows.
 
-    Shuffles: (key, document) pairs once for distinctness, then counts with map-side sums, so a line of a third of all
-    documents is a few partial counts; the join of pairs with frequent keys is one that AQE splits or broadcasts by
-    measured size; last, texts meet their dropped positions by document."""
+    Lines are split and hashed once, into a table of hashes and positions. Shuffles: (key, document) pairs for
+    distinctness, then counts with map-side sums, so a line of a third of all documents is a few partial counts; the join
+    of hashes with frequent keys is salted by document; last, texts meet their dropped positions by document."""
     here = docs.withColumns({"n_lines": F.lit(None), "n_dropped": F.lit(None)}).columns
     base = docs.drop("n_lines", "n_dropped")
     whole = F.coalesce(F.col("text"), F.lit(""))
@@ -44,9 +44,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     key = F.trim(ascii_lower(F.col("__pl_l")), F.lit(BLANKS))
     keyed = split.select("__pl_d", "__pl_t", "__pl_p", key.alias("__pl_k")).where(F.char_length("__pl_k") >= min_chars)
     hashed = keyed.select("__pl_d", "__pl_t", "__pl_p", F.xxhash64("__pl_k").alias("__pl_h"), F.xxhash64(F.lit(7), "__pl_k").alias("__pl_g"))
-    pairs = hashed.groupBy("__pl_h", "__pl_g", "__pl_d", "__pl_t").agg(F.collect_list("__pl_p").alias("__pl_ps"))
+    hashed = cut(hashed, "lines")
+    pairs = hashed.drop("__pl_p").distinct()
     frequent = pairs.groupBy("__pl_h", "__pl_g").agg(F.count(F.lit(1)).alias("__pl_n")).where(F.col("__pl_n") >= min_docs).drop("__pl_n")
-    lost = pairs.join(frequent, ["__pl_h", "__pl_g"]).groupBy("__pl_d", "__pl_t").agg(F.flatten(F.collect_list("__pl_ps")).alias("__pl_lost"))
+    lost = salted_join(hashed, frequent, ["__pl_h", "__pl_g"], ["__pl_d", "__pl_t"])
+    lost = lost.groupBy("__pl_d", "__pl_t").agg(F.collect_set("__pl_p").alias("__pl_lost"))
     lost = lost.select(F.col("__pl_d").alias("__pl_ld"), F.col("__pl_t").alias("__pl_lt"), "__pl_lost")
     out = base.withColumn("__pl_t", F.xxhash64(whole)).join(
         lost, F.col("doc_id").eqNullSafe(F.col("__pl_ld")) & (F.col("__pl_t") == F.col("__pl_lt")), "left"
