@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read, worker_table
+from paperloom.llm.common import arrow_map, read, worker_table
 
 CACHE_WORDS = 150_000  # words whose ids a Python worker remembers in each of two generations, about
-SLICE_CHARS = 4_000_000  # characters worked on at a time
+SLICE_CHARS = 2_000_000  # characters worked on at a time
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")  # blanks to str.split(), not to the pattern
 
 
@@ -206,8 +206,6 @@ def encode_bpe(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    base = docs.drop("ids", "decoded")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(spec.value)
         for b in batches:
@@ -219,13 +217,12 @@ def encode_bpe(docs: DataFrame, path: str) -> DataFrame:
                     [c.slice(i, j - i) for c in b.columns] + more, names=[*b.schema.names, "ids", "decoded"]
                 )
 
-    schema = base.schema.fields
-    out = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
-    return base.mapInArrow(encode, f"{out}, ids binary, decoded string")
+    return arrow_map(docs, encode, "ids binary, decoded string", drop=("ids", "decoded"))
 
 
 def decode_bpe(docs: DataFrame, path: str) -> DataFrame:
-    """Replace ``decoded`` by the text of column ``ids`` (as encode_bpe gives it); null ids give an empty text."""
+    """Replace ``decoded`` by the text of column ``ids`` (as encode_bpe gives it); null or empty ids give an empty text,
+    ids that the file doesn't know are left out. Repeated rows fare alike, other columns stay, an empty table stays empty."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())

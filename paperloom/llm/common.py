@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    A folder of our own is set only where the session names none (local tests)."""
+    A folder of our own is set only where the session names none and one machine does all (local tests)."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +44,32 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1024  # rows of an Arrow batch at most: what a worker and its executor hold at once of whole texts
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches hold BATCH_ROWS rows at most from now on, unless the session asks for fewer: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator[Any]], Iterator[Any]], more: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns ``more`` (as in a schema string) that ``work`` puts behind its own; ``drop`` goes first."""
+    bounded_batches(df.sparkSession)
+    base = df.drop(*drop)
+    own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields]
+    return base.mapInArrow(work, ", ".join([*own, more]))
+
+
+def released() -> None:
+    """Give memory that this Python worker no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _TABLES: dict[Any, Any] = {}
 
 
@@ -48,6 +79,7 @@ def worker_table(key: Any, make: Callable[[], Any]) -> Any:
     A worker holds one at a time: a worker that goes on to another operator gives up what the last one remembered."""
     if key not in _TABLES:
         _TABLES.clear()
+        released()
         _TABLES[key] = make()
     return _TABLES[key]
 

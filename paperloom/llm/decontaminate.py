@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read, worker_table
+from paperloom.llm.common import arrow_map, cut, read, released, salted_join, strings, worker_table
 
 WINDOW = 10  # words
 MAX_COVERAGE = 0.5  # documents with a larger share of hit words are left with nothing worth keeping
@@ -152,27 +153,27 @@ class Automaton:
         return ranges, met, longest
 
 
-def parts_of(benchmark: DataFrame, window: int, part_words: int) -> list:
-    """Automata, pickled and broadcast, of at most ``part_words`` test words each.
+def parts_of(benchmark: DataFrame, window: int, part_words: int) -> Iterator[bytes]:
+    """Automata, pickled, of at most ``part_words`` test words each (of one item, if that is longer).
 
-    The driver holds one part at a time; the number of parts follows the measured number of words."""
-    spark = benchmark.sparkSession
+    Tasks build them, each of the items of one hash bin; the driver holds one part at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     blanks = F.size(F.split(F.coalesce("t", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     total = items.agg(F.sum(blanks)).first()[0] or 0
     n = max(1, -(-2 * total // part_words)) if total > part_words else 1
-    out = []
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-        got = sorted(((r.i, words_of(r.t)) for r in part.toLocalIterator()), key=lambda x: (x[0] or "", x[1]))
-        out.append(spark.sparkContext.broadcast(pickle.dumps(Automaton(got, window))))
-    return out
 
+    def build(group: pa.Table) -> pa.Table:
+        own = zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True)
+        got = sorted(((i, words_of(t)) for i, t in own), key=lambda x: (x[0] or "", x[1]))
+        return pa.table({"bin": group.column("bin")[:1], "raw": pa.array([pickle.dumps(Automaton(got, window))], pa.binary())})
 
-def _automaton(broadcast) -> Automaton:
-    """One automaton at a time in a Python worker."""
-    raw = broadcast.value
-    return worker_table(("automaton", hash(raw)), lambda: pickle.loads(raw))  # bytes remember their hash
+    binned = items.withColumn("bin", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    built = cut(binned.groupBy("bin").applyInArrow(build, "bin long, raw binary"), "automata")
+    bins = sorted(r["bin"] for r in built.select("bin").collect())
+    for k in bins:
+        yield bytes(built.where(F.col("bin") == k).first()["raw"])
+    if not bins:
+        yield pickle.dumps(Automaton([], window))
 
 
 def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,50 +200,93 @@ def find_leaks(
     is not listed; repeated rows each get their own result; columns of the result's names (all begin with ``prefix``) are
     replaced.
 
-    No shuffle: documents stay where they were read, the test items travel."""
-    kinds = {
-        "n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "longest": "int",
-        "spans": "array<struct<start:int,end:int>>",
-    }
-    names = [f"{prefix}{n}" for n in kinds]
-    base = docs.drop(*names)
-    parts = parts_of(benchmark, window, part_words)
+    An automaton is broadcast whole, which its number of words bounds; documents are scanned where they were read. A
+    benchmark of several automata takes a pass over the documents for each; then what the passes have found, which is
+    little, is merged by text and joined."""
+    names = [f"{prefix}{n}" for n in ("n_words", "n_hit", "item_ids", "longest", "spans")]
+    base, parts = docs.drop(*names), parts_of(benchmark, window, part_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        found = arrow_map(base, _scan(base.sparkSession.sparkContext.broadcast(first)), _FOUND)
+    else:
+        found = _merged_passes(base, chain([first, second], parts))
+    return found.select(
+        *base.columns,
+        F.col("__pl_words").alias(names[0]),
+        F.aggregate("__pl_ranges", F.lit(0).cast("long"), lambda n, r: n + r["y"] - r["x"]).alias(names[1]),
+        F.col("__pl_items").alias(names[2]),
+        F.col("__pl_longest").alias(names[3]),
+        F.transform("__pl_ranges", lambda r: F.struct(r["start"], r["end"])).alias(names[4]),
+    )
+
+
+#: what a scan adds: words and code points of each hit stretch, ends exclusive
+_FOUND = "__pl_words long, __pl_longest int, __pl_items array<string>, __pl_ranges array<struct<x:int,y:int,start:int,end:int>>"
+_RANGES = pa.list_(pa.struct([(n, pa.int32()) for n in ("x", "y", "start", "end")]))
+
+
+def _scan(part) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts of a batch through the automaton that is broadcast as ``part``, one at a time."""
+    name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = worker_table(("automaton", name), lambda: pickle.loads(part.value))
+        for b in batches:
+            n_words, most, met, hits = [], [], [], []
+            for t in strings(b.column(b.schema.get_field_index("text")), 64):
+                words = words_of(t)
+                ranges, items, longest = automaton.scan(words)
+                at = [m.span() for m in WORD.finditer(t)] if ranges else []
+                n_words.append(len(words))
+                most.append(longest)
+                met.append(sorted(x for x in items if x is not None))
+                hits.append([{"x": x, "y": y, "start": at[x][0], "end": at[y - 1][1]} for x, y in merged(ranges)])
+            more = [pa.array(n_words, pa.int64()), pa.array(most, pa.int32()), pa.array(met, pa.list_(pa.string())), pa.array(hits, _RANGES)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(x.split()[0] for x in _FOUND.split(", "))])
+        released()
+
+    return scan
+
+
+def _merged_passes(base: DataFrame, parts: Iterable[bytes]) -> DataFrame:
+    """``base`` with what all parts find; a text is known by 128 bits of hash and its length."""
+    text = F.coalesce("text", F.lit(""))
+    key = {"__pl_h": F.xxhash64(text), "__pl_g": F.xxhash64(F.lit(7), text), "__pl_n": F.char_length(text)}
+    hits = None
+    for raw in parts:
+        part = base.sparkSession.sparkContext.broadcast(raw)
+        own = arrow_map(base.select("text"), _scan(part), _FOUND)
+        new = cut(own.withColumns(key).drop("text", "__pl_words"), "leaks")
+        part.unpersist()
+        hits = new if hits is None else hits.unionByName(new)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            split = [words_of(t) for t in texts]
-            hits: list[list] = [[] for _ in texts]
-            met: list[set] = [set() for _ in texts]
-            longest = [0] * len(texts)
-            for p in parts:
-                automaton = _automaton(p)
-                for k, ws in enumerate(split):
-                    ranges, items, most = automaton.scan(ws)
-                    longest[k] = max(longest[k], most)
-                    if ranges:
-                        hits[k] = merged(hits[k] + ranges)
-                        met[k] |= items
-            spans = []
-            for t, rs in zip(texts, hits, strict=True):
-                if not rs:
-                    spans.append([])
-                    continue
-                at = [m.span() for m in WORD.finditer(t)]
-                spans.append([{"start": at[x][0], "end": at[y - 1][1]} for x, y in rs])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            more = [
-                pa.array([len(ws) for ws in split], pa.int64()),
-                pa.array([sum(y - x for x, y in rs) for rs in hits], pa.int64()),
-                pa.array([sorted(x for x in i if x is not None) for i in met], pa.list_(pa.string())),
-                pa.array(longest, pa.int32()),
-                pa.array(spans, kind),
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
-
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    more = ", ".join(f"`{prefix}{n}` {kind}" for n, kind in kinds.items())
-    return base.mapInArrow(scan, f"{own}, {more}")
+            at = b.schema.get_field_index("__pl_ranges")
+            out = []
+            for rs in b.column(at).to_pylist():
+                own: list[dict] = []
+                for r in sorted(rs, key=lambda r: (r["x"], r["y"])):
+                    if own and r["x"] <= own[-1]["y"]:
+                        if r["y"] > own[-1]["y"]:
+                            own[-1] |= {"y": r["y"], "end": r["end"]}
+                    else:
+                        own.append(r)
+                out.append(own)
+            yield b.set_column(at, b.schema.field(at), pa.array(out, _RANGES))
+
+    flat = lambda c: F.flatten(F.collect_set(c)).alias(c)  # noqa: E731  equal texts give equal lists in a pass
+    hits = hits.groupBy(*key).agg(F.max("__pl_longest").alias("__pl_longest"), flat("__pl_items"), flat("__pl_ranges"))
+    hits = hits.withColumn("__pl_items", F.sort_array(F.array_distinct("__pl_items")))
+    hits = cut(hits.mapInArrow(merge, hits.schema), "leaks")
+    rows = base.withColumns(key).withColumn("__pl_u", F.monotonically_increasing_id())
+    found = salted_join(rows, hits, list(key), ["__pl_u"], how="left")
+    words = F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")
+    empty = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    return found.select(
+        *base.columns, words.alias("__pl_words"), F.coalesce("__pl_longest", F.lit(0)).alias("__pl_longest"),
+        empty("__pl_items"), empty("__pl_ranges"),
+    )
 
 
 def decontaminate(
@@ -250,7 +294,9 @@ def decontaminate(
 ) -> DataFrame:
     """Remove hit spans from the texts; documents with more than ``max_coverage`` of their words hit go altogether.
 
-    Other rows, and the columns of ``docs``, stay as they are."""
+    Other rows, and the columns of ``docs``, stay as they are: null and empty texts (they have no words), repeated rows,
+    rows without an id, columns of any name. Spans run from a first to a last word, so blanks around them stay. Without
+    test items, or without documents, nothing is removed."""
     p = "__pl_"
     found = find_leaks(docs, benchmark, window, prefix=p)
     hit, words, spans = F.col(f"{p}n_hit"), F.col(f"{p}n_words"), F.col(f"{p}spans")

@@ -13,16 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read, strings
+from paperloom.llm.common import arrow_map, read, released, strings
 
 TRAIN_ROWS = 6000  # labelled rows that training takes in all, about; the bound of the sample
+TRAIN_CHARS = 50_000  # longer texts are not drawn into the sample (they are predicted whole like all others)
+MOST_LANGS = 200  # languages that are learnt: those with the most labelled rows
 BUCKETS_LOG2 = 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)  # characters of a subword
 EPOCHS, STEP = 6, 0.5
 REJECT_SHARE = 0.002  # of held-back labelled rows that rejection may cost
 MOST_THRESHOLD = 0.5  # rejection never asks for more
-CHUNK = 1 << 20  # code points worked on at a time
+CHUNK = 1 << 18  # code points worked on at a time
 
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _ALPHA: list[np.ndarray] = []
@@ -35,27 +37,40 @@ def _letters() -> np.ndarray:
     return _ALPHA[0]
 
 
-def subwords(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of all subwords of the text, a chunk at a time: runs of letters, lower-cased, other characters as one blank.
+def _symbols(text: str) -> Iterator[np.ndarray]:
+    """Letters of the text, lower-cased, and a blank for each run of others, a chunk at a time, between two blanks.
 
     Nothing for a text without letters."""
-    if not text:
-        return
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    alpha = _letters()[x]
-    if not alpha.any():
-        return
-    x = np.where(alpha, x, 32).astype(np.uint64)
-    keep = np.ones(len(x), bool)
-    keep[1:] = alpha[1:] | alpha[:-1]
-    x = np.concatenate([[np.uint64(32)], x[keep], [np.uint64(32)]])
-    for i in range(0, len(x), CHUNK):
-        out, h = [], np.zeros(len(x[i : i + CHUNK]), np.uint64)
+    low, found, before = text.lower(), False, True
+    pending = [np.array([32], np.uint64)]
+    for i in range(0, len(low), CHUNK):
+        x = np.frombuffer(low[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        alpha = _letters()[x]
+        keep = alpha.copy()
+        keep[1:] |= alpha[:-1]
+        keep[0] |= before
+        before, found = alpha[-1], found or alpha.any()
+        pending.append(np.where(alpha, x, 32)[keep].astype(np.uint64))
+        if i + CHUNK >= len(low):
+            pending.append(np.array([32], np.uint64))
+        if found:
+            yield np.concatenate(pending)
+            pending = []
+
+
+def subwords(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of all subwords of the text, a chunk at a time; memory follows the chunk, not the text."""
+    tail = np.empty(0, np.uint64)
+    for x in _symbols(text or ""):
+        x = np.concatenate([tail, x])
+        out, h = [], np.zeros(len(x), np.uint64)
         for n in ORDERS:
-            y = x[i + n - 1 : i + n - 1 + CHUNK]
+            y = x[n - 1 :]
             h = h[: len(y)] * _A[0] + (y + np.uint64(n)) * _A[1]
-            out.append(((h ^ (h >> np.uint64(29))) * _A[2] >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64))
+            new = h[max(0, len(tail) - n + 1) :]  # those that end before were in the last chunk
+            out.append(((new ^ (new >> np.uint64(29))) * _A[2] >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64))
         yield np.concatenate(out)
+        tail = x[1 - ORDERS[-1] :]
 
 
 @dataclass
@@ -95,8 +110,8 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     for t, label in zip(texts, labels, strict=True):
         if got := list(subwords(t)):
             b, c = np.unique(np.concatenate(got), return_counts=True)
-            # buckets fit 16 bits: the driver holds six bytes for each subword of a text
-            rows.append((b.astype(np.uint16), (c / c.sum()).astype(np.float32), langs.index(label)))
+            # buckets fit 16 bits, counts of a sampled text nearly always: the driver holds four bytes for each subword
+            rows.append((b.astype(np.uint16), np.minimum(c, 65535).astype(np.uint16), langs.index(label)))
     emb = rng.normal(0, 0.1, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, max(1, len(langs)))).astype(np.float32)
     bias = np.zeros(max(1, len(langs)), np.float32)
@@ -107,6 +122,7 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
         step = STEP * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(fit)):
             b, c, y = fit[i]
+            c = c / np.float32(c.sum())
             h = c @ emb[b]
             g = _softmax(h @ w + bias)
             g[y] -= 1
@@ -115,7 +131,7 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
             bias -= 0.05 * step * g
             emb[b] -= step * gain * np.outer(c, back)
     model = Model(langs, (emb @ w).astype(np.float32), bias.astype(np.float64))
-    z = np.array([r[1] @ model.table[r[0]] + model.bias for r in held])
+    z = np.array([(r[1] / np.float32(r[1].sum())) @ model.table[r[0]] + model.bias for r in held])
     y = np.array([r[2] for r in held])
     if len(langs) > 1 and len(held):
         loss = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.25, 8, 41)}
@@ -128,10 +144,12 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from a sample of about ``train_rows`` labelled rows, alike many from each language, chosen by a hash of
-    doc_id among rows whose crc32(doc_id as text) mod 4 is not 2."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A model from a sample of about ``train_rows`` labelled rows, alike many from each of the MOST_LANGS languages with
+    the most rows, chosen by a hash of doc_id among rows whose crc32(doc_id as text) mod 4 is not 2 and whose text has at
+    most TRAIN_CHARS code points: rows, languages and lengths bound what the driver collects."""
+    own = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & ~held_out())
+    by = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["n"] for r in by.collect()}
     if not counts:
         return Model([], np.zeros((1 << BUCKETS_LOG2, 0), np.float32), np.zeros(0))
     each = max(20, train_rows // len(counts))
@@ -139,7 +157,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1_000_000)) / 1_000_000
     rows = own.where(dice < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    model = train([r["text"] for r in rows], [r["lang"] for r in rows])
+    del rows
+    released()
+    return model
 
 
 def held_out():
@@ -154,7 +175,6 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     names (all begin with ``prefix``) are replaced. The model (a few MB, fixed by BUCKETS_LOG2 and the number of
     languages) is broadcast; texts are read whole where they are, without a shuffle."""
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "accepted")]
-    base = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +187,16 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
                 pa.array([g[0] != "und" and g[1] >= m.threshold for g in got], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
+        released()
 
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(predict, f"{own}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return arrow_map(docs, predict, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean", drop=tuple(names))
 
 
 def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose language a model trained on them accepts; columns as they are."""
+    """The rows of ``docs`` whose language a model trained on them accepts; columns as they are.
+
+    Null texts and texts without a letter are rejected, and so are all rows where nothing is labelled. Repeated rows fare
+    alike; rows without an id are predicted like others; an empty table stays empty."""
     found = identify(docs, fit(docs, train_rows), prefix="__pl_")
     return found.where("__pl_accepted").select(*docs.columns)
 

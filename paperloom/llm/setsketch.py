@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, read, salted_join, strings, worker_table
+from paperloom.llm.common import bounded_batches, cut, read, released, salted_join, strings, worker_table
 from paperloom.llm.components import components
 
 BANDS, ROWS = 30, 4  # a pair of similarity 0.8 shares no band once in seven million times
@@ -25,7 +25,9 @@ BASE, TOP, RATE = 1.001, 65_534, 20.0  # of SetSketch: base b, largest register
 SHINGLE = 5  # words
 PERCENT = 80  # least similarity of a link, in hundredths
 LEAST_ESTIMATE = 0.6  # over five standard errors (0.037 at 0.8) below the limit: no link is lost to the estimate
-SMALL_BUCKET = 64  # buckets of more members go by families and blocks
+ALIKE = REGISTERS // 3  # equal registers that a pair needs to be looked at: a link has 96 on average, and fewer than this
+# once in 10**25 times; both ways of comparison ask it
+SMALL_BUCKET = 64  # buckets of more members go by families and blocks, which find the same links with fewer pairs
 BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000  # of one side of a block
 FANOUT = 128  # texts that are verified against one copy of another
 BIN_ROWS = 1500  # rows of a verifying task's group, about
@@ -132,7 +134,9 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                  pa.array(bands, pa.list_(pa.int64()))],
                 names=["id", "n", "d1", "d2", "bands"],
             )
+        released()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     return rows.mapInArrow(sketch, "id long, n long, d1 long, d2 long, bands array<long>")
 
@@ -158,7 +162,8 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``a`` is the hub: its text travels once for FANOUT others."""
+    """The pairs (a, b) whose full sets (of 64-bit shingle hashes) are similar enough. ``a`` is the hub: its text travels
+    once for FANOUT others."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("f"))
     dealt = salted_join(pairs, fan, ["a"], ["b"]).withColumn("s", F.pmod(F.xxhash64("b"), F.col("f")))
     dealt = cut(dealt.select("a", "b", "s"))
@@ -211,7 +216,8 @@ def _small(members: DataFrame, sets: DataFrame) -> DataFrame:
     def pairs(group: pa.Table) -> pa.Table:
         keys = np.stack([group.column(c).to_numpy().astype(np.int64) for c in ("band", "key")], 1)
         ids, label = group.column("id").to_numpy(), group.column("label").to_numpy()
-        bands = _bits(group.column("bands")).view(np.int64)
+        regs = _bits(group.column("bands"))
+        bands = regs.view(np.int64)
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         edges = np.flatnonzero((np.diff(keys[order], axis=0) != 0).any(axis=1)) + 1
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -220,6 +226,8 @@ def _small(members: DataFrame, sets: DataFrame) -> DataFrame:
             i, j = g[i], g[j]
             other = label[i] != label[j]
             i, j = i[other], j[other]
+            same = (regs[i] == regs[j]).sum(axis=1) >= ALIKE
+            i, j = i[same], j[same]
             first = (bands[i] == bands[j]).argmax(axis=1) == keys[i, 0]
             a.append(np.minimum(ids[i[first]], ids[j[first]]))
             b.append(np.maximum(ids[i[first]], ids[j[first]]))
@@ -280,7 +288,7 @@ def _blocks(members: DataFrame, sets: DataFrame, texts: DataFrame, k: int, perce
         for x in np.flatnonzero(side == 1).tolist():
             cand = inner[(label[inner] != label[x]) & (100 * np.minimum(n[inner], n[x]) >= percent * np.maximum(n[inner], n[x]))]
             alike = (regs[cand] == regs[x]).sum(axis=1)
-            cand, alike = cand[alike >= REGISTERS // 3], alike[alike >= REGISTERS // 3]
+            cand = cand[alike >= ALIKE]
             if not len(cand):
                 continue
             j = estimate(regs[cand], np.broadcast_to(regs[x], (len(cand), REGISTERS)), n[cand], np.full(len(cand), n[x]))
@@ -335,7 +343,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that near_duplicates() keeps, one of each group (and one of each repeated doc_id; rows
-    without an id all stay); columns as they are."""
+    without an id all stay); columns as they are. Null and empty texts are linked with nothing and stay; an empty table
+    stays empty."""
     gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where(~F.col("kept"))
     gone = gone.select(F.col("doc_id").alias("__pl_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == F.col("__pl_gone"), "left_anti")
