@@ -8,11 +8,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
 from paperloom.llm.common import read
-from paperloom.llm.spans import Span, covered, digest, scan
+from paperloom.llm.spans import Span, digest, scan
 
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "lexed"]
@@ -37,7 +39,13 @@ PLACEHOLDERS = {"password", "changeme", "example", "placeholder", "undefined", "
 
 OPERATOR = re.compile(r":=|=>|[=!<>]=|[=:]")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\[^\n])*){q}") for q in "\"'`"}
+QUOTED = {q: re.compile(rf"{q}(?P<body>(?:[^{q}\\\n]|\\[^\n])*+){q}") for q in "\"'`"}
+LONG_QUOTED = re.compile(r"""(\"\"\"|'''|```)(?P<body>(?:(?!\1)[^\\]|\\.)*+)\1""", re.DOTALL)
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>\n]++)</\1>")
+SETTING = re.compile(r"""<[^<>]{0,400}?\b(?:name|key)\s*+=\s*+["']([^"'<>]++)["'][^<>]{0,400}?\bvalue\s*+=\s*+["']([^"'<>\n]++)["']""")
+NO_LITERAL = re.compile(r"[<>{}\n]|\$\(")
+LONGEST_PLACEHOLDER = 16
+MOST_COUNTED = 1 << 60
 BARE = re.compile(r"[A-Za-z0-9_+/.=@$%^&*!~#?-]+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 JOINER = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
@@ -67,22 +75,79 @@ def name_score(name: str) -> float:
     return best
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    """How much a literal looks like a credential: length, kinds of characters, entropy."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or re.search(r"[<>{}\n]|\$\(", value):
-        return 0.0
-    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    score = 0.25 * min(kinds, 3) / 3 + 0.45 * min(bits / 3.5, 1) + 0.3 * min(n / 12, 1)
-    return score if quoted or (kinds >= 2 and re.search("[0-9]", value)) else 0.3 * score
-
+class Value:
+    """What a name stands for: one literal, or others joined. Values are shared, not copied: joining costs the same however
+    much the parts hold, and the same part twice adds nothing."""
+
+    __slots__ = ("bad", "counts", "parts", "quoted", "size", "span", "text", "told")
+
+    def __init__(self, text: str, start: int, end: int, quoted: bool) -> None:
+        self.span, self.quoted, self.size, self.parts = (start, end), quoted, len(text), ()
+        self.text = text if len(text) <= LONGEST_PLACEHOLDER else None
+        self.counts = Counter(text)
+        self.bad = bool(NO_LITERAL.search(text))
+        self.told = False  # whether its spans have been given
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        parts = list({id(p): p for p in parts}.values())
+        if len(parts) == 1:
+            return parts[0]
+        texts = [p.text for p in parts]
+        out = cls("".join(texts) if None not in texts else "x" * (LONGEST_PLACEHOLDER + 1), 0, 0, all(p.quoted for p in parts))
+        out.parts, out.size, out.bad = tuple(parts), sum(p.size for p in parts), any(p.bad for p in parts)
+        out.counts = Counter()
+        for p in parts:
+            out.counts.update(p.counts)
+        if out.size > MOST_COUNTED:  # only shares matter
+            out.counts = Counter({c: n // 2 or 1 for c, n in out.counts.items()})
+            out.size = out.counts.total()
+        return out
 
-def assignments(text: str):
-    """(name, [(literal, start, end, quoted)]) of each assignment, in order; a name in a value stands for its literals.
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """The literals that it is made of and that haven't been given yet."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                if v.parts:
+                    todo += reversed(v.parts)
+                else:
+                    yield v.span
+
+    def score(self) -> float:
+        """How much it looks like a credential: length, kinds of characters, entropy."""
+        n = self.size
+        if n < 6 or (self.text or "").lower() in PLACEHOLDERS or len(self.counts) < 4 or self.bad:
+            return 0.0
+        kinds = {_kind_of(c) for c in self.counts} - {""}
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        score = 0.25 * min(len(kinds), 3) / 3 + 0.45 * min(bits / 3.5, 1) + 0.3 * min(n / 12, 1)
+        return score if self.quoted or len(kinds) >= 2 and "digit" in kinds else 0.3 * score
+
+
+def _kind_of(c: str) -> str:
+    if c.isascii() and c.isalnum():
+        return "digit" if c.isdigit() else "lower" if c.islower() else "upper"
+    return "" if c.isspace() else "other"
+
+
+def marked_up(text: str) -> Iterator[tuple[int, str, Value]]:
+    """(position, name, literal) of elements with plain content, and of name or key attributes with a value beside them."""
+    if "<" not in text:
+        return
+    for m in ELEMENT.finditer(text):
+        yield m.start(2), m[1], Value(m[2], m.start(2), m.end(2), True)
+    for m in SETTING.finditer(text):
+        yield m.start(2), m[1], Value(m[2], m.start(2), m.end(2), True)
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment, in order; a name in a value stands for its literals.
 
     Of a value with quoted and unknown parts the quoted ones count."""
-    known: dict[str, list[tuple[str, int, int, bool]]] = {}
+    known: dict[str, Value] = {}
     from_ = 0
     for op in OPERATOR.finditer(text):
         if op[0] in ("==", "!=", "<=", ">=") or op.start() < from_:
@@ -102,15 +167,15 @@ def assignments(text: str):
             at += 1
         while at < len(text):
             q = QUOTED.get(text[at])
-            m = q.match(text, at) if q else BARE.match(text, at)
+            m = (LONG_QUOTED.match(text, at) or q.match(text, at)) if q else BARE.match(text, at)
             if not m:
                 break
             if q:
-                parts.append((m[1], m.start(1), m.end(1), True))
+                parts.append(Value(m["body"], *m.span("body"), True))
             elif IDENTIFIER.match(m[0]) and m[0] in known:
-                parts += known[m[0]]
+                parts.append(known[m[0]])
             else:
-                parts.append((m[0], m.start(), m.end(), False))
+                parts.append(Value(m[0], m.start(), m.end(), False))
             at = m.end()
             if q and CALL.match(text, at):
                 whole = False
@@ -122,29 +187,32 @@ def assignments(text: str):
                 break
             at = more.end()
         if parts:
-            literals = [p for p in parts if p[3]]
-            whole = whole and parts[-1][3]
-            parts = literals or parts
-            known[name] = parts
-            if literals or len(parts) == 1:
-                yield name, parts
+            literals = [p for p in parts if p.quoted]
+            whole = whole and parts[-1].quoted
+            known[name] = value = Value.joined(literals or parts)
+            if literals or not value.parts:
+                yield name, value
             from_ = max(from_, at) if whole else from_
 
 
 def find_secrets(text: str) -> list[Span]:
-    """Base spans, and the literals that the lexer finds under sensitive names outside them."""
+    """Base spans, and the literals that the lexer finds under sensitive names outside them.
+
+    Time and memory follow the text's length: values are shared, each literal is given once, and what is covered is
+    marked by position."""
     out = base_spans(text)
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "<" not in text:
         return out
-    for name, parts in assignments(text):
-        if not (target := name_score(name)):
-            continue
-        value = "".join(p[0] for p in parts)
-        score = target * literal_score(value, all(p[3] for p in parts))
-        if score >= LEAST_SCORE:
-            for _, a, b, _ in parts:
-                if b > a and not covered(out, a, b):
+    covered = bytearray(len(text))
+    for _, a, b, _, _ in out:
+        covered[a:b] = b"\1" * (b - a)
+    for name, value in chain(assignments(text), ((n, v) for _, n, v in marked_up(text))):
+        target = name_score(name)
+        if target and (score := target * value.score()) >= LEAST_SCORE:
+            for a, b in value.spans():
+                if b > a and covered.find(1, a, b) < 0:
                     out.append(("lexed", a, b, False, round(score, 6)))
+                    covered[a:b] = b"\1" * (b - a)
     return out
 
 

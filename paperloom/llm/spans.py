@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import arrow_map, released, strings
+
 #: (kind, start, end, from the base rules, score); code points, end exclusive
 Span = tuple[str, int, int, bool, float]
 SPAN_SQL = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
@@ -20,19 +22,18 @@ _ARROW = pa.list_(
 
 def scan(docs: DataFrame, find: Callable[[str], list[Span]], kinds: list[str], name: str) -> DataFrame:
     """Add the array ``name`` of the spans that ``find`` gives for each whole text (null: empty text), by start, then kind."""
-    base = docs.drop(name)
     order = {k: i for i, k in enumerate(kinds)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column(b.schema.get_field_index("text")).to_pylist():
+            for t in strings(b.column(b.schema.get_field_index("text")), 64):
                 got = sorted(find(t), key=lambda s: (s[1], order[s[0]], s[2])) if t else []
                 out.append([dict(zip(("kind", "start", "end", "base", "score"), s, strict=True)) for s in got])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _ARROW)], names=[*b.schema.names, name])
+        released()
 
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{own}, `{name}` {SPAN_SQL}")
+    return arrow_map(docs, run, f"`{name}` {SPAN_SQL}", drop=(name,))
 
 
 def joined(spans: Column) -> Column:
@@ -45,14 +46,10 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def digest(found: DataFrame, kinds: list[str], name: str = "spans") -> DataFrame:
-    """doc_id, n_<kind> and base_sha256 of the base spans, all spans as text."""
+    """doc_id, n_<kind> and base_sha256 of the base spans, all spans as text, how many there are in all."""
     base = F.filter(F.col(name), lambda s: s["base"])
     counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select(
-        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(name)).alias("spans")
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(name)).alias("spans"),
+        F.size(name).cast("long").alias("n_spans"),
     )
-
-
-def covered(spans: list[Span], start: int, end: int) -> bool:
-    """Whether a span overlaps one of ``spans``."""
-    return any(s[1] < end and start < s[2] for s in spans)
