@@ -7,7 +7,7 @@ label from a clear occurrence to unclear ones at any distance. The base rules' s
 from __future__ import annotations
 
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +20,14 @@ from paperloom.llm.spans import Span, digest, scan
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 TRAIN_ROWS = 3000  # documents with candidates that training takes, about; the bound of the sample
+TRAIN_CHARS = 50_000  # longer texts are not drawn into the sample (they are scanned whole like all others)
 LEAST_MARGINAL = 0.9  # of an added span
 SETTLED = 1e-4  # the largest change of a message, in log space, at which message passing ends
 MOST_ROUNDS = 500  # of message passing where messages don't settle
-NEAR = 80  # characters between neighbours of the chain
+NEAR = 80  # characters between neighbours of the chain: a label tells of the next candidate within a line or two only
+# What the rules of a kind already decide needs a mention elsewhere: an address or card number by itself is a base span, or
+# it breaks a rule. Open candidates of these kinds are added only if an equal or similar one is observed in the document.
+NEEDS_MENTION = frozenset({"ip", "card"})
 
 # Fixed patterns, as the scan defines them (lookbehinds and possessive runs only save time).
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -111,9 +115,9 @@ def candidates(text: str, base: list[Span]) -> list[Node]:
         at = max(at, b)
     free.append((at, len(text)))
     for a, b in free:
-        for m in NUMBER.finditer(text, a, b):
-            if sum("0" <= c <= "9" for c in m[0]) >= 4:
-                nodes.append(Node(*m.span(), m[0], None, ""))
+        numbers = [m for m in NUMBER.finditer(text, a, b) if sum("0" <= c <= "9" for c in m[0]) >= 4]
+        nodes += [Node(*m.span(), m[0], None, "") for m in numbers]
+        starts, ends, last = [m.start() for m in numbers], [m.end() for m in numbers], a
         x = text.find("@", a, b)
         while x >= 0:
             s, e = x, x + 1
@@ -121,8 +125,9 @@ def candidates(text: str, base: list[Span]) -> list[Node]:
                 s -= 1
             while e < b and (text[e] in LOCAL):
                 e += 1
-            if s < x and e > x + 1 and not any(n.start < e and s < n.end for n in nodes if n.label is None):
+            if s < x and e > x + 1 and s >= last and bisect_left(starts, e) == bisect(ends, s):  # apart from all others
                 nodes.append(Node(s, e, text[s:e], None, ""))
+                last = e
             x = text.find("@", e, b)
     for n in nodes:
         n.key = n.text.lower().rstrip(".") if "@" in n.text else _digits(n.text)
@@ -276,16 +281,18 @@ def train(texts: list[str], seed: int = 0) -> Crf:
     return Crf(w, np.clip(pmi, -1, 1), float(np.clip(np.log(odds * (len(LABELS) - 1)), 1.0, 6.0)))
 
 
-def _sound(kind: str, n: Node, linked: bool) -> bool:
-    """What an added span must have besides its marginal."""
+def fits(kind: str, n: Node, linked: bool) -> bool:
+    """Whether a candidate's shape allows the kind: the lengths and signs that the base rules ask for, but for the one sign
+    that tells it apart (a phone's plus or, in its place, brackets; an address's full domain). ``linked``: an equal or
+    similar candidate is observed as this kind in the document."""
+    if kind in NEEDS_MENTION and not linked:
+        return False
     d = len(_digits(n.text))
     if kind == "email":
         return "@" in n.text and (linked or "." in n.text.rpartition("@")[2])
-    if kind == "ip":
-        return linked
-    if kind == "card":
-        return linked and 12 <= d <= 19
-    return "@" not in n.text and 9 <= d <= 15 and (linked or "(" in n.text and ")" in n.text)
+    if kind == "phone":
+        return "@" not in n.text and 9 <= d <= 15 and (linked or "(" in n.text and ")" in n.text)
+    return "@" not in n.text and (kind == "ip" or 12 <= d <= 19)
 
 
 def finder(crf: Crf):
@@ -300,11 +307,12 @@ def finder(crf: Crf):
             return base
         belief, out = crf.marginals(text, nodes), list(base)
         seen = {(n.label, n.key) for n in nodes if n.label is not None}
+        seen |= {(n.label, f) for n in nodes if n.label is not None for f in forms(n.key)}
         for n, p in zip(nodes, belief, strict=True):
             k = int(p.argmax())
             if n.label is None and k and p[k] >= LEAST_MARGINAL:
-                linked = (k, n.key) in seen or any(a == k and similar(b, n.key) for a, b in seen)
-                if _sound(LABELS[k], n, linked):
+                linked = (k, n.key) in seen or any((k, f) in seen for f in forms(n.key))
+                if fits(LABELS[k], n, linked):
                     out.append((LABELS[k], n.start, n.end, False, round(float(p[k]), 6)))
         return out
 
@@ -312,13 +320,11 @@ def finder(crf: Crf):
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Crf:
-    """A field from a sample of about ``train_rows`` documents with an address or a longer number, chosen by a hash."""
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
-    # one document in ten, about, has such candidates
-    own = docs.where(dice < min(1.0, 10 * train_rows / max(1, docs.count())))
-    own = own.where(F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]")).select("doc_id", "text")
-    rows = own.limit(train_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    """A field from the ``train_rows`` documents with the least hashes of doc_id (and text) among those with an address or
+    a longer number and at most TRAIN_CHARS characters: the same rows however the table is partitioned."""
+    own = docs.where((F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]"))
+    dice = F.xxhash64("doc_id", F.lit(6)).alias("dice")
+    rows = own.select(dice, F.xxhash64("text").alias("t"), "text").orderBy("dice", "t").limit(train_rows).collect()
     return train([r["text"] for r in rows])
 
 
