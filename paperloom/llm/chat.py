@@ -21,7 +21,10 @@ from paperloom.llm.common import cut, read
 
 ROLES = ["system", "user", "assistant"]
 STRETCH = 256  # lines in a stretch, up to its last row's
-TRAIN_ROWS = 4000  # labelled rows that training takes, about; the bound of the sample
+GROUP = 256  # matrices that are chained into one, level by level, until a transcript has no more of them
+TRAIN_ROWS = 4000  # labelled rows that training takes; the bound of the sample
+TRAIN_TURNS = 256  # turns of a transcript that are drawn together
+TRAIN_CHARS = 50_000  # longer rows are not drawn into the sample (they are formatted whole like all others)
 
 # Speaker names, how markers are written, and the canonical form.
 SPEAKERS = {
@@ -154,11 +157,13 @@ def segments(text: str | None, roles: list[int]) -> list[dict]:
 
 
 def fit(turns: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
-    """A model from the labelled rows of a sample of transcripts, about ``train_rows`` rows, chosen by a hash."""
-    own = turns.where(F.col("role").isin(ROLES)).select("conv_id", "turn", "role", "text")
-    dice = F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(1_000_000)) / 1_000_000
-    rows = own.where(dice < min(1.0, train_rows / max(1, own.count()))).limit(2 * train_rows).collect()
-    return train([tuple(r) for r in rows])
+    """A model from ``train_rows`` labelled rows: those of the pieces of transcripts (TRAIN_TURNS turns each) with the least
+    hashes, the same however the table is partitioned; a hot transcript is drawn piece by piece."""
+    own = turns.where(F.col("role").isin(ROLES) & (F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS))
+    piece = F.struct(F.col("conv_id").cast("string").alias("c"), F.floor(F.col("turn") / TRAIN_TURNS).cast("long").alias("s"))
+    own = own.select(piece.alias("piece"), F.col("turn").alias("at"), "role", "text", F.xxhash64(piece, F.lit(1)).alias("dice"))
+    rows = own.orderBy("dice", "piece", "at", "text").limit(train_rows).collect()
+    return train([((r["piece"]["c"], r["piece"]["s"]), r["at"], r["role"], r["text"]) for r in rows])
 
 
 def numbered(turns: DataFrame) -> DataFrame:
@@ -202,8 +207,8 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
 
     Rows are numbered by counts of lines in range-partitioned slices and running offsets, and dealt by transcript and
     stretch of STRETCH lines, whatever the turn numbers are, so a transcript of any length is shared by many tasks; between
-    the passes only a matrix of three by three for each stretch travels. Memory: the rows of one stretch, which may end in
-    a longer row."""
+    the passes only a matrix of three by three for each stretch travels, and GROUP of them are chained into one, level by
+    level, so no task meets all of a transcript's. Memory: the rows of one stretch, which may end in a longer row."""
     k = len(ROLES)
     shared = turns.sparkSession.sparkContext.broadcast(hmm)
     dealt = numbered(turns)
@@ -246,18 +251,31 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
     _SUMS = pa.schema([("c", pa.string()), ("s", pa.int64()), ("m", pa.list_(pa.float64())), ("o", pa.list_(pa.float64()))])  # noqa: N806
     _ENDS = pa.schema([("c", pa.string()), ("s", pa.int64()), ("a", pa.int32()), ("z", pa.int32())])  # noqa: N806
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One matrix and opening for each (c, g) out of those of its stretches."""
+        out = []
+        for (c, g), own in runs(batches, ["c", "g"]):
+            total, opening = np.array(own[0]["m"]).reshape(k, k), np.array(own[0]["o"])
+            for r in own[1:]:
+                m = np.array(r["m"]).reshape(k, k)
+                total, opening = chained(total, m), (opening[:, None] + m).max(axis=0)
+            out.append({"c": c, "s": g, "m": total.ravel().tolist(), "o": opening.tolist()})
+        yield pa.RecordBatch.from_pylist(out, _SUMS)
+
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The roles before and at the end of each stretch on its transcript's best path."""
+        """The roles before and at the end of each stretch on the best path between the roles before and at the end of its
+        group: ``a`` (-1: the transcript begins) and ``z`` (-1: it ends)."""
         out = []
-        for (c,), own in runs(batches, ["c"]):
-            score, back = np.array(own[0]["o"]), []
+        for (c, _), own in runs(batches, ["c", "g"]):
+            a, z = own[0]["a"], own[0]["z"]
+            score, back = np.array(own[0]["o"]) if a < 0 else np.array(own[0]["m"]).reshape(k, k)[a], []
             for r in own[1:]:
                 all_ = score[:, None] + np.array(r["m"]).reshape(k, k)
                 back.append(all_.argmax(axis=0))
                 score = all_.max(axis=0)
-            role = int(score.argmax())
+            role = int(score.argmax()) if z < 0 else z
             for i in range(len(own) - 1, -1, -1):
-                before = int(back[i - 1][role]) if i else -1
+                before = int(back[i - 1][role]) if i else a
                 out.append({"c": c, "s": own[i]["s"], "a": before, "z": role})
                 role = before
             if len(out) >= 5000:
@@ -266,9 +284,23 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
         yield pa.RecordBatch.from_pylist(out, _ENDS)
 
     stretches = dealt.select("c", "s", "n", "text").repartition("c", "s").sortWithinPartitions(*order)
-    chain = stretches.mapInArrow(sums, "c string, s long, m array<double>, o array<double>")
-    chain = chain.repartition("c").sortWithinPartitions(F.col("c").asc_nulls_first(), "s")
-    known = chain.mapInArrow(ends, "c string, s long, a int, z int").select(F.col("c").alias("c2"), F.col("s").alias("s2"), "a", "z")
+    matrices = "c string, s long, m array<double>, o array<double>"
+    levels = [cut(stretches.mapInArrow(sums, matrices), "matrices")]
+    by_group = [F.col("c").asc_nulls_first(), "g", "s"]
+
+    def grouped(level: DataFrame) -> DataFrame:
+        return level.withColumn("g", F.floor(F.col("s") / GROUP))
+
+    while (levels[-1].groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > GROUP:
+        up = grouped(levels[-1]).repartition("c", "g").sortWithinPartitions(*by_group).mapInArrow(fold, matrices)
+        levels.append(cut(up, "matrices"))
+    top = levels.pop().withColumns({"g": F.lit(0).cast("long"), "a": F.lit(-1), "z": F.lit(-1)})
+    known = top.repartition("c").sortWithinPartitions(*by_group).mapInArrow(ends, "c string, s long, a int, z int")
+    while levels:
+        named = known.select(F.col("c").alias("c2"), F.col("s").alias("g2"), "a", "z")
+        own = grouped(levels.pop()).join(named, F.col("c").eqNullSafe(F.col("c2")) & (F.col("g") == F.col("g2"))).drop("c2", "g2")
+        known = own.repartition("c", "g").sortWithinPartitions(*by_group).mapInArrow(ends, "c string, s long, a int, z int")
+    known = known.select(F.col("c").alias("c2"), F.col("s").alias("s2"), "a", "z")
     both = dealt.join(known, F.col("c").eqNullSafe(F.col("c2")) & (F.col("s") == F.col("s2"))).drop("c2", "s2")
     both = both.repartition("c", "s").sortWithinPartitions(*order)
 

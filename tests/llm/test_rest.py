@@ -99,9 +99,45 @@ def test_chat_cuts_stretches_by_lines(spark, monkeypatch):
                 matrix = chat._opening(hmm, m) if matrix is None else (matrix[:, None] + m).max(axis=0)
         want += [(str(c), x, chat.ROLES[y[0]]) for x, y in zip(texts, paths[int(matrix.argmax())], strict=True)]
     monkeypatch.setattr(chat, "STRETCH", 8)
+    monkeypatch.setattr(chat, "GROUP", 3)  # several levels of matrices
     held: dict = {}
     for r in chat.numbered(df).collect():
         held.setdefault((r.c, r.s), []).append(len(chat.lines_of(r.text)))
     assert max(map(sum, held.values())) <= 8 + max(len(chat.lines_of(x)) for x in own) and len(held) > 20
     got = sorted((str(r.conv_id), r.role_pred) for r in chat.format_chats(df, hmm).collect())
     assert got == sorted((c, y) for c, _, y in want)
+
+
+def test_chat_rows_where_files_are_split(spark, tmp_path):
+    """One row out for each row in, with equal roles, when files between the passes are read in many splits."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "text")
+    hot = turns.limit(200).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
+    rows = turns.unionByName(hot).unionByName(hot)
+    hmm = chat.fit(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    key = lambda df: sorted((r.conv_id, r.turn, r.role_pred, r.rendered) for r in df.collect())
+    want = key(chat.format_chats(rows, hmm))
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "2048")
+    hadoop.set("parquet.page.size", "512")
+    for k in held:
+        spark.conf.set(k, "2k")
+    try:
+        got = key(chat.format_chats(rows, hmm))
+    finally:
+        hadoop.unset("parquet.block.size")
+        hadoop.unset("parquet.page.size")
+        for k, v in held.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    assert len(want) == rows.count() and got == want
+
+
+def test_subwords_do_not_depend_on_chunks(monkeypatch):
+    texts = ["", "12 34", "a", "  Ab1 cd--ef  ", "é" * 30, "1" * 20 + "x y" + "2" * 20, "the cat sat on the mat " * 9]
+    def held(t):
+        return sorted(np.concatenate([*language_id.subwords(t), np.empty(0, np.int64)]).tolist())
+    want = [held(t) for t in texts]
+    for chunk in (1, 2, 3, 5, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        assert [held(t) for t in texts] == want
+    assert want[0] == want[1] == []
