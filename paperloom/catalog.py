@@ -18,11 +18,15 @@ class Catalog:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
-    def table(self, name: str, include_deleted: bool = False) -> DataFrame:
+    def source(self, name: str) -> DataFrame:
+        """All rows of a table."""
         reader = self.spark.read
         if name in schemas.TABLES:
             reader = reader.schema(schemas.schema_of(name))
-        df = reader.parquet(self.path(name))
+        return reader.parquet(self.path(name))
+
+    def table(self, name: str, include_deleted: bool = False) -> DataFrame:
+        df = self.source(name)
         return df if include_deleted else active(df)
 
     def by_id(self, name: str, key, column: str = "id") -> DataFrame:

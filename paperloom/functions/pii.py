@@ -2,47 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Entity kinds in order of registration, with their patterns (Java syntax).
+# The institutions that are hidden by name.
+INSTITUTIONS = [
+    "FIOCRUZ",
+    "Fundação Oswaldo Cruz",
+    "Instituto  Nacional  de  Saúde  da  Mulher,  da  Criança  e  do Adolescente Fernandes Figueira",
+    "Ministério da Saúde/ANVISA",
+    "Fiocruz",
+    "fiocruz",
+]
+
+
+def institutions(names: list[str]) -> tuple[str, str]:
+    """A pattern for a list of names, each taken literally, between characters that are no letters, digits or _."""
+    return "INSTITUTION", r"(?:^|(?<=\W))(?:" + "|".join(map(re.escape, names)) + r")(?:(?=\W)|$)"
+
+
+# Entity kinds in order of registration, with their patterns. They are read in any case, with Unicode classes.
 PATTERNS = [
-    ("PHONE_NUMBER_BR", r"(?:\+55\s?)?(?:\(?\d{2}\)?\s?)?\b\d{4,5}[-\s]\d{4}\b"),
+    ("PHONE_NUMBER_BR", r"\b(?:\+?55\s?)?(?:\(?\d{2}\)?\s?)?\d{4,5}-?\d{4}\b"),
     ("CPF", r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"),
     ("CNPJ", r"\b\d{2}\.?\d{3}\.?\d{3}/\d{4}-\d{2}\b"),
-    ("RG", r"\b\d{2}\.\d{3}\.\d{3}-\d{1,2}\b"),
-    ("MONEY", r"R\$\s?\d{1,3}(?:\.\d{3})*,\d{2}"),
-    ("PROCESS_NUMBER", r"\b\d{5}\.\d{6}/\d{4}-\d{2}\b"),
+    ("RG", r"\b\d{2}\.?\d{3}\.?\d{3}-?\d{1,2}\b"),
+    institutions(INSTITUTIONS),
+    ("MONEY", r"R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}"),
+    ("PROCESS_NUMBER", r"\b\d+\.\d+/\d{4}-\d{2}\b"),
     ("EDITAL_NUMBER", r"\b\d{2,5}/\d{4}\b"),
-    ("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("DATE", r"\b(?:0?[1-9]|[12]\d|3[01])/(?:0?[1-9]|1[0-2])/\d{4}\b"),
-    ("TIME", r"\b(?:[01]?\d|2[0-3]):[0-5]\d\b"),
-    ("ZIP_CODE", r"\b\d{5}-\d{3}\b"),
+    ("EMAIL_ADDRESS", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
+    ("DATE", r"\b(0?[1-9]|[12][0-9]|3[01])/(0?[1-9]|1[0-2])/\d{4}\b"),
+    ("TIME", r"\b([01]\d|2[0-3]):[0-5]\d\b"),
+    ("ZIP_CODE", r"\b\d{5}-?\d{3}\b"),
 ]
-KIND_ORDER = {k: i for i, (k, _) in enumerate(PATTERNS)}
+#: a character without which a kind has no match: most texts are done without trying its pattern
+NEEDS = {"CNPJ": "/", "MONEY": "$", "PROCESS_NUMBER": "/", "EDITAL_NUMBER": "/", "EMAIL_ADDRESS": "@", "DATE": "/", "TIME": ":"}
 
 
-def institutions(names: list[str]) -> tuple[str, str]:
-    """A pattern for a list of names, each taken literally."""
-    return "INSTITUTION", "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=lambda n: (-len(n), n)))
+def counts(text: Column, patterns=tuple(PATTERNS)) -> list[Column]:
+    """One column of each kind: how often its pattern matches (null for a null text)."""
 
+    def count(kind: str, pattern: str) -> Column:
+        n = F.regexp_count(text, F.lit(f"(?iU){pattern}")).cast("long")
+        return F.when(~text.contains(NEEDS[kind]), 0).otherwise(n) if kind in NEEDS else n
 
-def counts(text: Column, patterns=tuple(PATTERNS)) -> list[Column]:
-    return [F.regexp_count(text, F.lit(p)).cast("long").alias(k.lower()) for k, p in patterns]
-
-
-def _kept(hits: list[list[str]], gaps: list[list[int]]) -> list[tuple[int, int, int, str]]:
-    """(start, end, kind's number, entity) of a text's matches that no better one overlaps, by start. ``gaps`` are the
-    lengths between the matches of a kind."""
-    spans = []
-    for k, (own, between) in enumerate(zip(hits, gaps, strict=True)):
-        at = 1
-        for entity, gap in zip(own, between, strict=False):
-            spans.append((at + gap, at + gap + len(entity), k, entity))
-            at += gap + len(entity)
+    return [count(k, p).alias(k.lower()) for k, p in patterns]
+
+
+def _kept(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, kind's number, entity) of matches that no better one overlaps, by start."""
     spans.sort(key=lambda s: s[:3])
     lost = set()
     for i, (a, b, k, _) in enumerate(spans):
@@ -55,29 +68,26 @@ def _kept(hits: list[list[str]], gaps: list[list[int]]) -> list[tuple[int, int,
 
 
 def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS)) -> DataFrame:
-    """(key, order, kind, entity, start): matches of all patterns; of overlapping ones the longest stays, then the kind
-    registered first. Positions follow from splitting the text at each match, in the row; texts are not shuffled, and work
-    in a row follows its number of matches, since matches of one kind don't overlap."""
-    kinds = [k for k, _ in patterns]
-    hits = [F.regexp_extract_all(F.col(text), F.lit(f"(?:{p})"), 0).alias(f"__h{i}") for i, (_, p) in enumerate(patterns)]
-    gaps = [
-        F.transform(F.split(F.col(text), f"(?:{p})", -1), lambda x: F.char_length(x)).alias(f"__g{i}") for i, (_, p) in enumerate(patterns)
-    ]
-    found = df.select(key, order, *hits, *gaps)
-    n = len(kinds)
+    """(key, order, kind, entity, start): matches of all patterns, each where it stands (from 1); of overlapping ones the
+    longest stays, then the kind registered first. One pass over the texts where they are; work in a row follows its
+    length and number of matches, since matches of one kind don't overlap."""
+    found = df.select(key, order, F.col(text).alias("__text"))
+    compiled = [(re.compile(p, re.DOTALL | re.MULTILINE | re.IGNORECASE), NEEDS.get(k, "")) for k, p in patterns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b.column(i + 2).to_pylist() for i in range(2 * n)]
-            rows, out = [], []
-            for i, lists in enumerate(zip(*columns, strict=True)):
-                if any(lists[:n]):
-                    own = _kept([x or [] for x in lists[:n]], [x or [] for x in lists[n:]])
-                    rows += [i] * len(own)
-                    out += own
-            at = pa.array(rows, pa.int64())
+            at, out = [], []
+            for i in range(b.num_rows):
+                t = b.column(2)[i].as_py() or ""
+                own = [
+                    (m.start() + 1, m.end() + 1, k, m[0]) for k, (p, need) in enumerate(compiled) if need in t for m in p.finditer(t)
+                ]
+                own = _kept(own) if own else own
+                at += [i] * len(own)
+                out += own
+            rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array([kinds[s[2]] for s in out], pa.string()),
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array([patterns[s[2]][0] for s in out], pa.string()),
                  pa.array([s[3] for s in out], pa.string()), pa.array([s[0] for s in out], pa.int32())],
                 names=[key, order, "kind", "entity", "start"],
             )
@@ -94,16 +104,25 @@ def placeholders(found: DataFrame, key: str, order: str = "chunk_index") -> Data
 
 
 def anonymise(df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS)) -> DataFrame:
-    """The chunks with placeholders in their text, and ``pii_map``: kind -> entity -> placeholder of the document."""
-    names = placeholders(entities(df, key, order, text, patterns), key, order)
-    item = F.struct(F.negative(F.char_length("entity")).alias("l"), "entity", "placeholder", "kind")
-    own = names.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__m"))
+    """The chunks (one row for each key and order) with placeholders where an entity was matched, and ``pii_map``: kind ->
+    entity -> placeholder of the document. Only spans travel; a text meets those of its own chunk."""
+    found = entities(df, key, order, text, patterns)
+    names = placeholders(found, key, order)
+    placed = found.join(names, [key, "kind", "entity"])
+    item = F.struct("start", F.char_length("entity").alias("n"), "placeholder")
+    own = placed.groupBy(key, order).agg(F.array_sort(F.collect_list(item)).alias("__m"))
     kinds = names.groupBy(key, "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", "placeholder")))).alias("m"))
     maps = kinds.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.map_entries("m").alias("m"))))).alias("__p"))
     maps = maps.select(key, F.transform_values("__p", lambda _, v: F.map_from_entries(v)).alias("pii_map"))
-    out = df.join(own, key, "left").join(maps, key, "left")
-    replaced = F.aggregate("__m", F.col(text), lambda acc, m: F.replace(acc, m["entity"], m["placeholder"]))
-    return out.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(replaced)).drop("__m")
+    out = df.join(own, [key, order], "left").join(maps, key, "left")
+    whole = F.col(text)
+    until = lambda i: F.when(i == F.size("__m"), F.char_length(whole) + 1).otherwise(F.get("__m", i)["start"])
+    after = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get("__m", i - 1)["start"] + F.get("__m", i - 1)["n"])
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("__m")),
+        lambda i: F.concat(F.substring(whole, after(i), until(i) - after(i)), F.coalesce(F.get("__m", i)["placeholder"], F.lit(""))),
+    )
+    return out.withColumn(text, F.when(F.col("__m").isNull(), whole).otherwise(F.array_join(pieces, ""))).drop("__m")
 
 
 def restore(text: Column, pii_map: Column) -> Column:

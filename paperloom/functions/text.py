@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK, OVERLAP = 500, 50
 WINDOW = 3000
@@ -22,8 +22,13 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit("")), r"\s+", " "))
 
 
+# Fixed value: the header of a chunk that belongs to a section.
+HEADER = "SECTION: %s\n\n%s"
+
+
 def with_header(text: Column, title: Column) -> Column:
-    return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("\n", title, text)).otherwise(text)
+    name = F.trim(F.coalesce(title, F.lit("")))
+    return F.when(name != "", F.format_string(HEADER, name, text)).otherwise(text)
 
 
 def fixed_windows(df: DataFrame, key: str, text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -91,7 +96,7 @@ def split_recursive(text: str, size: int = CHUNK, overlap: int = OVERLAP, separa
     finer = separators[separators.index(sep) + 1 :] if sep in separators else ()
     parts = list(text) if sep == "" else text.split(sep)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
     total = 0
 
     def flush() -> None:
@@ -105,7 +110,8 @@ def split_recursive(text: str, size: int = CHUNK, overlap: int = OVERLAP, separa
         if len(part) > size:
             if held:
                 flush()
-                held, total = [], 0
+                held.clear()
+                total = 0
             out += split_recursive(part, size, overlap, finer or ("",))
             continue
         extra = len(part) + (len(sep) if held else 0)
@@ -113,7 +119,7 @@ def split_recursive(text: str, size: int = CHUNK, overlap: int = OVERLAP, separa
             flush()
             while held and (total > overlap or total + len(part) + len(sep) > size):
                 total -= len(held[0]) + (len(sep) if len(held) > 1 else 0)
-                held = held[1:]
+                held.popleft()
             extra = len(part) + (len(sep) if held else 0)
         held.append(part)
         total += extra
@@ -160,13 +166,28 @@ def normal_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(chars), index
 
 
-def strip_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and c not in "´ˆ˜¨¸ˇ")
+def _bases() -> tuple[str, str]:
+    """Characters whose compatibility form is one character without its combining marks, and these."""
+    pairs = []
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            pairs.append((chr(code), base))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+ACCENTED, PLAIN = _bases()
+# Fixed value: letters that stand for loose accents in some extracted texts; they go, as combining marks do.
+MODIFIERS = r"[\u02c6\u02c7\u02c8\u02ca-\u02cf\u02d8-\u02df\u02e0-\u02e7\u02ec-\u02ef]"
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
-@F.pandas_udf(T.StringType())
-def accents_stripped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else strip_accents(t))
+def accents_stripped(text: Column) -> Column:
+    """The text without accents: letters of Latin and Greek blocks give their base, combining and modifier marks go."""
+    out = F.translate(F.regexp_replace(text, MODIFIERS, ""), ACCENTED, PLAIN)
+    for a, b in LIGATURES.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(out, r"\p{M}", "")
 
 
 def split_sections(text: str, marks: list[dict]) -> list[dict]:

@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.latest import changed
-
-SEPARATOR = "\n---\n"
+# How a context, a query and a status are written.
+SEPARATOR = "\n\n---\n\n"
+SECTION_HEAD = "## CONTEXTO DA SESSÃO: %s\n"
+CHUNK_HEAD = "[FONTE] chunk_id: %s\n"
+UNKNOWN_CHUNK = "unknown_id"
+QUERY = "\nSECTION: %1$s\nSECTION: %1$s\nSECTION: %1$s\n--- %2$s\n"
 STATUSES = {
-    "PENDING": "Pending", "UNDER_CONSTRUCTION": "Under construction", "WAITING_FOR_REVIEW": "Waiting for review",
-    "COMPLETED": "Completed",
+    "PENDING": "Pendente", "UNDER_CONSTRUCTION": "Em construção", "WAITING_FOR_REVIEW": "Aguardando revisão",
+    "COMPLETED": "Concluído",
 }
 
 
 def context(chunks: DataFrame, keys: list[str], order: str = "chunk_index") -> DataFrame:
-    """(keys, context): each group's chunks in order, tagged with their source, a section header where it changes."""
-    head = F.when(
-        changed("section_title", keys, [order]) & F.col("section_title").isNotNull(),
-        F.concat(F.lit("## "), F.col("section_title"), F.lit("\n")),
-    ).otherwise(F.lit(""))
-    lines = chunks.withColumn("__line", F.concat(head, F.lit("["), F.col("source"), F.lit("] "), F.col("text")))
-    items = F.array_sort(F.collect_list(F.struct(order, "__line")))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["__line"]), SEPARATOR).alias("context"))
+    """(keys, context): each group's chunks in order, each under its chunk_id; where the section changes, a separator (but
+    at the start) and the new section's head (if it has a title). A chunk's own section header is left out."""
+    titled = chunks.withColumn("__s", F.coalesce(F.trim("section_title"), F.lit("")))
+    w = Window.partitionBy(*keys).orderBy(order, "chunk_id")
+    first = F.row_number().over(w) == 1
+    moved = ~F.col("__s").eqNullSafe(F.coalesce(F.lag("__s").over(w), F.lit("")))
+    lines = titled.withColumn("__first", first).withColumn("__moved", moved | first)
+    head = F.concat(
+        F.when(F.col("__moved") & ~F.col("__first"), SEPARATOR).otherwise(""),
+        F.when(F.col("__moved") & (F.col("__s") != ""), F.format_string(SECTION_HEAD, "__s")).otherwise(""),
+        F.format_string(CHUNK_HEAD, F.coalesce(F.col("chunk_id").cast("string"), F.lit(UNKNOWN_CHUNK))),
+    )
+    lines = lines.withColumn("__line", F.concat(head, strip_header(F.coalesce("text", F.lit("")), F.col("__s"))))
+    items = F.array_sort(F.collect_list(F.struct(order, "chunk_id", "__line")))
+    return lines.groupBy(*keys).agg(_stripped(F.array_join(F.transform(items, lambda x: x["__line"]), "")).alias("context"))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def strip_header(text: Column, title: Column) -> Column:
     """The text after its section header, if it begins with it."""
-    head = F.concat(title, F.lit("\n"))
+    head = F.concat(F.lit("SECTION: "), title, F.lit("\n\n"))
     return F.when(text.startswith(head), F.substring(text, F.char_length(head) + 1, F.char_length(text))).otherwise(text)
 
 
-def query_text(section: Column, title: Column, description: Column) -> Column:
-    """What is searched for: the section three times, then the requirement."""
-    return F.concat_ws(" ", section, section, section, requirement(title, description))
+def query_text(section: Column, query: Column) -> Column:
+    """What is searched for: the section three times, then the query."""
+    return F.format_string(QUERY, section, query)
 
 
 def requirement(title: Column, description: Column) -> Column:
@@ -42,7 +56,9 @@ def requirement(title: Column, description: Column) -> Column:
     return F.when(t.isNotNull() & d.isNotNull(), F.concat(t, F.lit(": "), d)).otherwise(F.coalesce(t, d))
 
 
-TAG = r"<([A-Za-z_]+):([A-Za-z0-9-]+)>"
+# What tags and a mention of the model look like.
+TAG = r"<([^:]+):([^>]+)>"
+MODEL_TAG = r"<ai:[^>]+>"
 
 
 def tags(text: Column) -> Column:
@@ -52,7 +68,7 @@ def tags(text: Column) -> Column:
 
 
 def mentions_model(text: Column) -> Column:
-    return text.rlike(r"(?i)(^|\W)@ai(\W|$)")
+    return F.coalesce(text.rlike(MODEL_TAG), F.lit(False))
 
 
 def basename(path: Column) -> Column:
@@ -74,9 +90,9 @@ def flatten_args(nested: DataFrame) -> DataFrame:
 
 def merge_maps(df: DataFrame, key: str, column: str, order: str) -> DataFrame:
     """One map a key: entries of all rows, the last write of each entry wins."""
-    entries = df.select(key, order, F.explode(column).alias("k", "v"))
-    last = entries.groupBy(key, "k").agg(F.max_by("v", order).alias("v"))
-    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+    entries = df.select(key, order, F.explode(column).alias("__k", "__v"))
+    last = entries.groupBy(key, "__k").agg(F.max_by("__v", order).alias("__v"))
+    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(column))
 
 
 def academic_context(documents: DataFrame, advisorships: DataFrame, project_documents: DataFrame, users: DataFrame) -> DataFrame:
@@ -100,16 +116,21 @@ def fanout(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*columns))).alias("user_id")).distinct()
 
 
-#: status -> roles of a document that are told of it
-TOLD = [("PENDING", "editor"), ("UNDER_CONSTRUCTION", "editor"), ("WAITING_FOR_REVIEW", "auditor"), ("COMPLETED", "editor"), ("COMPLETED", "author")]
+# The roles that are told of a new status; auditors are told of every document.
+TOLD = [("UNDER_CONSTRUCTION", "editor"), ("WAITING_FOR_REVIEW", "creator"), ("WAITING_FOR_REVIEW", "auditor"), ("COMPLETED", "editor")]
 
 
-def notifications(changes: DataFrame, parties: DataFrame) -> DataFrame:
-    """(document_id, status, user_id) to tell: changes (document_id, status, changed_by) by the rules of TOLD to the
-    document's parties (document_id, role, user_id) but the one who made the change."""
+def notifications(changes: DataFrame, parties: DataFrame, auditors: DataFrame) -> DataFrame:
+    """(document_id, status, user_id) to tell, each once: changes (document_id, status) by the rules of TOLD to the
+    document's parties (document_id, role: editor or creator, user_id) and to all ``auditors`` (user_id). A status without
+    a rule tells nobody."""
     rules = changes.sparkSession.createDataFrame(TOLD, "status string, role string")
-    out = changes.join(F.broadcast(rules), "status").join(parties, ["document_id", "role"])
-    return out.where(~F.col("user_id").eqNullSafe(F.col("changed_by"))).select("document_id", "status", "user_id").distinct()
+    due = changes.join(F.broadcast(rules), "status")
+    own = due.join(parties, ["document_id", "role"]).select("document_id", "status", "user_id")
+    all_ = due.where("role = 'auditor'").select("document_id", "status").distinct()
+    held = auditors.select("user_id").distinct().withColumn("role", F.lit("auditor"))
+    every = all_.withColumn("role", F.lit("auditor")).join(held, "role").select("document_id", "status", "user_id")
+    return own.unionByName(every).where("user_id is not null").distinct()
 
 
 def translated(status: Column) -> Column:

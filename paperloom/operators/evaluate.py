@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 ATTEMPTS = 3
+WORD = re.compile(r"\w+")
+CHUNK = re.compile(r"\[FONTE\] chunk_id: (.*)\n((?:(?!\[FONTE\] chunk_id: )[\s\S])*)")
 RESULT = "branch_id string, feedback string, fulfilled boolean, score int, cited array<string>, attempts int"
 
 
@@ -19,13 +22,16 @@ class Evaluator(Protocol):
 
 
 def keyword_evaluator(payloads: list[dict]) -> list[dict]:
-    """A deterministic stand-in for a model: the share of the requirement's words that the context holds."""
+    """A deterministic stand-in for a model: the share of the requirement's words that the context holds, out of ten;
+    fulfilled from six on; cited are the chunks (of a context as context() writes it) that hold one of the words."""
     out = []
     for p in payloads:
-        need = {w for w in (p.get("requirement") or "").lower().split() if len(w) > 3}
-        have = (p.get("context") or "").lower()
-        share = sum(w in have for w in need) / len(need) if need else 0.0
-        out.append({"feedback": f"{share:.0%} of terms found", "fulfilled": share >= 0.5, "score": round(10 * share), "cited": []})
+        need = set(WORD.findall((p.get("requirement") or "").lower()))
+        chunks = [(m[1], set(WORD.findall(m[2].lower()))) for m in CHUNK.finditer(p.get("context") or "")]
+        have = set(WORD.findall((p.get("context") or "").lower()))
+        share = len(need & have) / len(need) if need else 0.0
+        cited = [i for i, words in chunks if need & words]
+        out.append({"feedback": f"{share:.0%} of terms found", "fulfilled": round(10 * share) >= 6, "score": round(10 * share), "cited": cited})
     return out
 
 

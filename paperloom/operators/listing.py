@@ -66,6 +66,26 @@ def ordered(df: DataFrame, column: str, direction: str = "desc", tie: str = "id"
     return df.orderBy(key, F.col(tie).asc_nulls_last())
 
 
+def ordered_by(df: DataFrame, *keys: tuple[str, str]) -> DataFrame:
+    """Ordered by several (column, direction) keys, each as in ordered(); the last one should make the order total."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() if d == "asc" else F.col(c).desc_nulls_first() for c, d in keys])
+
+
+def after(df: DataFrame, column: str, last, last_tie, limit: int = 100, tie: str = "id") -> DataFrame:
+    """The page after the row (last, last_tie) in ascending order: rows before it are filtered out, not counted off, so a
+    page costs the same wherever it stands. Without ``last`` the first page."""
+    if last is not None:
+        at = [F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in ((column, last), (tie, last_tie))]
+        df = df.where((F.col(column) >= at[0]) & (F.struct(column, tie) > F.struct(*at)))  # the first part reaches the scan
+    return df.orderBy(column, tie).limit(limit)
+
+
+def joined_if(df: DataFrame, other: DataFrame, on: Column, **equal) -> DataFrame:
+    """``df`` joined with ``other`` only if a filter on ``other`` has a value; a row with several partners repeats."""
+    asked = {c: v for c, v in equal.items() if v}
+    return df.join(optional(other, **asked), on).select(*[df[c] for c in df.columns]) if asked else df
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     """A page of an ordered table."""
     if offset < 0 or limit < 1:
@@ -142,3 +162,13 @@ def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFram
 def get_or_create(wanted: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct wanted keys that don't exist yet."""
     return wanted.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+
+
+def ensured(wanted: DataFrame, existing: DataFrame, keys: Sequence[str], id_column: str = "id") -> DataFrame:
+    """One row for each distinct wanted key: the existing one, else a new one with an id made of its keys (the same however
+    often it is done), and ``created``."""
+    new = get_or_create(wanted, existing, keys)
+    made = new.withColumn(id_column, F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256))
+    held = existing.join(wanted.select(*keys).distinct(), list(keys), "left_semi").withColumn(id_column, F.col(id_column).cast("string"))
+    one = latest(held, list(keys), [id_column])
+    return one.withColumn("created", F.lit(False)).unionByName(made.withColumn("created", F.lit(True)), allowMissingColumns=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,77 +79,86 @@ STOP_WORDS = frozenset(
     "teu tua teus tuas nosso nossa nossos nossas dela delas esta estes estas aquele aquela aqueles aquelas isto aquilo "
     "estou está estamos estão foi fomos foram era eram seja sejam ser é são tem têm há".split()
 )
-VOWELS = "aeiouáéíóúâêôãõ"
-
-# Endings that the stemmer knows, by step.
-STANDARD = [
-    ("logias", "log"), ("logia", "log"), ("uciones", "u"), ("ución", "u"), ("ências", "ente"), ("ência", "ente"),
-    ("amente", ""), ("mente", ""), ("idades", ""), ("idade", ""), ("ivas", ""), ("ivos", ""), ("iva", ""), ("ivo", ""),
-    ("amentos", ""), ("imentos", ""), ("amento", ""), ("imento", ""), ("adoras", ""), ("adores", ""), ("aço~es", ""),
-    ("ações", ""), ("adora", ""), ("ador", ""), ("ação", ""), ("antes", ""), ("ante", ""), ("âncias", ""), ("ância", ""),
-    ("ezas", ""), ("eza", ""), ("icos", ""), ("icas", ""), ("ico", ""), ("ica", ""), ("ismos", ""), ("ismo", ""),
-    ("áveis", ""), ("ável", ""), ("íveis", ""), ("ível", ""), ("istas", ""), ("ista", ""), ("osos", ""), ("osas", ""),
-    ("oso", ""), ("osa", ""),
-]
+VOWELS = "aeiouáéíóúâêô"
+
+# Endings that the published description names, by step. A tilde stands behind its vowel (a~, o~).
+PLAIN = (
+    "eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador "
+    "aça~o adoras adores aço~es ante antes ância"
+).split()
+REPLACED = {"logia": "log", "logias": "log", "uça~o": "u", "uço~es": "u", "ência": "ente", "ências": "ente"}
+BEFORE = {  # endings of which another one may go with them
+    "mente": ("ante", "avel", "ível"), "idade": ("abil", "ic", "iv"), "idades": ("abil", "ic", "iv"),
+    "iva": ("at",), "ivo": ("at",), "ivas": ("at",), "ivos": ("at",),
+}
+BEFORE_AMENTE = ("os", "ic", "ad")
 VERBAL = (
-    "aríamos eríamos iríamos ássemos êssemos íssemos aremos eremos iremos áramos éramos íramos ávamos aríeis eríeis iríeis "
-    "ariam eriam iriam assem essem issem arias erias irias ardes erdes irdes asses esses isses astes estes istes áreis "
-    "areis éreis ereis íreis ireis áveis íamos armos ermos irmos aria eria iria asse esse isse aste este iste arei erei "
-    "irei aram eram iram avam arem erem irem ando endo indo adas idas arás aras erás eras irás avas ares eres ires íeis "
-    "ados idos ámos amos emos imos iras ada ida ará ara erá era irá ava iam ado ido ias ais eis ira ia ei am em ar er ir "
-    "as es is eu iu ou"
+    "ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam "
+    "iriam aram eram iram avam em arem erem irem assem essem issem ado ido ando endo indo ara~o era~o ira~o ar er ir as adas "
+    "idas ias arias erias irias arás aras erás eras irás avas es ardes erdes irdes ares eres ires asses esses isses astes "
+    "estes istes is ais eis íeis aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis ados idos "
+    "ámos amos íamos aríamos eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos êssemos íssemos "
+    "imos armos ermos irmos eu iu ou ira iras"
 ).split()
+RESIDUAL = ("os", "a", "i", "o", "á", "í", "ó")
+_FIRST = sorted([*PLAIN, *REPLACED, *BEFORE, "amente", "ira", "iras"], key=len, reverse=True)
+_SECOND = sorted(VERBAL, key=len, reverse=True)
 
 
 def _regions(word: str) -> tuple[int, int, int]:
-    """Where the regions RV, R1 and R2 of the Snowball description begin."""
+    """Where the regions RV, R1 and R2 of the description begin."""
     n, v = len(word), [c in VOWELS for c in word]
 
-    def after(start: int) -> int:
-        for i in range(start + 1, n):
-            if not v[i] and v[i - 1]:
-                return i + 1
-        return n
+    def behind(start: int) -> int:
+        return next((i + 1 for i in range(start + 1, n) if not v[i] and v[i - 1]), n)
 
-    r1 = after(0)
-    r2 = after(r1)
+    r1 = behind(0)
     rv = n
-    if n > 2:
-        if not v[1]:
-            rv = next((i + 1 for i in range(2, n) if v[i]), n)
-        elif v[0]:
-            rv = next((i + 1 for i in range(2, n) if not v[i]), n)
-        else:
-            rv = 3
-    return rv, r1, r2
+    if n > 2 and not v[1]:
+        rv = next((i + 1 for i in range(2, n) if v[i]), n)
+    elif n > 2 and v[0]:
+        rv = next((i + 1 for i in range(2, n) if not v[i]), n)
+    elif n > 2:
+        rv = 3
+    return rv, r1, behind(r1)
+
+
+def _cut(word: str, ends: Sequence[str], start: int) -> str:
+    """The word without the first of ``ends`` that it has at or after ``start``."""
+    return next((word[: -len(e)] for e in ends if word.endswith(e) and len(word) - len(e) >= start), word)
+
+
+def _standard(word: str, rv: int, r1: int, r2: int) -> str:
+    """The first step: the longest ending, if it lies in its region."""
+    end = next((e for e in _FIRST if word.endswith(e)), "")
+    at = len(word) - len(end)
+    if not end:
+        return word
+    if end in ("ira", "iras"):
+        return word[:at] + "ir" if at >= rv and word[:at].endswith("e") else word
+    if at < (r1 if end == "amente" else r2):
+        return word
+    out = word[:at] + REPLACED.get(end, "")
+    if end == "amente":
+        less = _cut(out, ("iv",), r2)
+        return _cut(less, ("at",), r2) if less != out else _cut(out, BEFORE_AMENTE, r2)
+    return _cut(out, BEFORE.get(end, ()), r2)
 
 
 def stem(word: str) -> str:
     """A Portuguese word without its endings."""
     word = word.replace("ã", "a~").replace("õ", "o~")
     rv, r1, r2 = _regions(word)
-    out = word
-    for end, to in sorted(STANDARD, key=lambda x: -len(x[0])):
-        end = end.replace("ã", "a~").replace("õ", "o~")
-        if out.endswith(end) and len(out) - len(end) >= (r1 if end in ("amente",) else r2):
-            out = out[: len(out) - len(end)] + to
-            break
+    out = _standard(word, rv, r1, r2)
     if out == word:
-        for end in sorted(VERBAL, key=len, reverse=True):
-            if out.endswith(end) and len(out) - len(end) >= rv:
-                out = out[: len(out) - len(end)]
-                break
+        out = _cut(word, _SECOND, rv)
     if out != word:
-        if out.endswith("ci") and len(out) - 1 >= rv:
-            out = out[:-1]
+        out = out[:-1] if out.endswith("ci") and len(out) > rv else out
     else:
-        for end in ("os", "a", "i", "o", "á", "í", "ó"):
-            if out.endswith(end) and len(out) - len(end) >= rv:
-                out = out[: len(out) - len(end)]
-                break
-    m = re.search("(?:gue|gué|guê|cie|cié|ciê|[eéê])$", out)
-    if m and m.start() >= rv:
-        out = out[: m.start() + (1 if m[0][0] in "gc" else 0)]
+        out = _cut(out, RESIDUAL, rv)
+    less = _cut(out, ("e", "é", "ê"), rv)
+    if less != out:
+        out = less[:-1] if less.endswith(("gu", "ci")) and len(less) > rv else less
     elif out.endswith("ç"):
         out = out[:-1] + "c"
     return out.replace("a~", "ã").replace("o~", "õ")

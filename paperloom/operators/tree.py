@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,56 @@ def flatten(roots: DataFrame, mids: DataFrame, leaves: DataFrame, mid_key: str,
     )
 
 
-def nest(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str, order: str, alias: str) -> DataFrame:
+def nest_via(parents: DataFrame, bridge: DataFrame, children: DataFrame, parent_id: str, parent_key: str, child_key: str, order: str, alias: str, child_id: str = "id"):
+    """Parents with the array ``alias`` of the children that a bridge table links them with."""
+    links = bridge.select(F.col(parent_key).alias("__bp"), F.col(child_key).alias("__bc")).distinct()
+    own = links.join(children, F.col("__bc") == F.col(child_id)).drop("__bc")
+    return nest(parents, own, parent_id, "__bp", order, alias)
+
+
+def by_release(releases: DataFrame, histories: DataFrame, documents: DataFrame, links: DataFrame, typifications: DataFrame) -> DataFrame:
+    """(release_id, id, name): the typifications of each release's document, through its history; deleted ones are out of
+    their tables."""
+    r = releases.select(F.col("id").alias("release_id"), F.col("history_id").alias("__h"))
+    h = histories.select(F.col("id").alias("__h"), F.col("document_id").alias("__d"))
+    d = documents.select(F.col("id").alias("__d"))
+    link = links.select(F.col("document_id").alias("__d"), F.col("typification_id").alias("id"))
+    out = r.join(h, "__h").join(d, "__d").join(link, "__d").join(typifications.select("id", "name"), "id")
+    return out.select("release_id", "id", "name").distinct()
+
+
+def release_details(releases: DataFrame, histories: DataFrame, documents: DataFrame, editors: DataFrame, users: DataFrame) -> DataFrame:
+    """Releases with their history, its document and that document's editors as nested structs; a missing hop is null."""
+    docs = nest_via(documents.select("id", "name"), editors, users.select("id", "username"), "id", "document_id", "user_id", "username", "editors")
+    h = histories.select(F.col("id").alias("__h"), "status", F.col("document_id").alias("__d"))
+    d = docs.select(F.col("id").alias("__d"), F.struct("id", "name", "editors").alias("document"))
+    h = h.join(d, "__d", "left").select("__h", F.struct(F.col("__h").alias("id"), "status", "document").alias("history"))
+    return releases.join(h, releases["history_id"] == F.col("__h"), "left").drop("__h")
+
+
+def full_branches(branches: DataFrame, taxonomies: DataFrame, typifications: DataFrame, taxonomy_sources: DataFrame, typification_sources: DataFrame, sources: DataFrame):
+    """Branches with their taxonomy and typification, each with its sources, as nested structs."""
+    s = sources.select("id", "name")
+    typ = nest_via(typifications.select("id", "name"), typification_sources, s, "id", "typification_id", "source_id", "name", "sources")
+    tax = nest_via(taxonomies.select("id", "title", "typification_id"), taxonomy_sources, s, "id", "taxonomy_id", "source_id", "name", "sources")
+    typ = typ.select(F.col("id").alias("__t"), F.struct("id", "name", "sources").alias("typification"))
+    tax = tax.join(typ, F.col("typification_id") == F.col("__t"), "left")
+    tax = tax.select(F.col("id").alias("__x"), F.struct("id", "title", "sources", "typification").alias("taxonomy"))
+    return branches.join(tax, branches["taxonomy_id"] == F.col("__x"), "left").drop("__x")
+
+
+def with_roles(links: DataFrame, people: DataFrame, roles: Sequence[str], name: str = "username") -> DataFrame:
+    """Links with the name of the person in each role (columns ``<role>_id``): one dimension, joined once for each role."""
+    for role in roles:
+        own = people.select(F.col("id").alias(f"__{role}"), F.col(name).alias(role))
+        links = links.join(own, F.col(f"{role}_id") == F.col(f"__{role}"), "left").drop(f"__{role}")
+    return links
+
+
+def nest(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str, order: str, alias: str, descending: bool = False) -> DataFrame:
     """Parents with the array ``alias`` of their children, sorted by ``order``; parents without any have an empty array."""
     item = F.struct(F.col(order).alias("__o"), F.struct(*[c for c in children.columns if c != child_key]).alias("v"))
-    own = children.groupBy(F.col(child_key).alias("__p")).agg(F.array_sort(F.collect_list(item)).alias("__c"))
+    own = children.groupBy(F.col(child_key).alias("__p")).agg(F.sort_array(F.collect_list(item), asc=not descending).alias("__c"))
     out = parents.join(own, F.col(parent_id) == F.col("__p"), "left")
     kind = own.select(F.transform("__c", lambda x: x["v"]).alias("x")).schema["x"].dataType
     values = F.coalesce(F.transform("__c", lambda x: x["v"]), F.array().cast(kind))
@@ -39,7 +87,7 @@ def report_lines(nested: DataFrame, root_name: str = "name", mids: str = "taxono
 
 def tri_state(fulfilled: Column) -> Column:
     """How a report shows a verdict."""
-    return F.when(fulfilled.isNull(), F.lit("undefined")).when(fulfilled, F.lit("fulfilled")).otherwise(F.lit("not fulfilled"))
+    return F.when(fulfilled.isNull(), F.lit("Indefinido")).when(fulfilled, F.lit("Cumprido")).otherwise(F.lit("Não cumprido"))
 
 
 def references(tree: DataFrame, path: str = "references") -> DataFrame:

@@ -217,29 +217,14 @@ def _knn(spark, d, m, k):
     return vectors.knn(queries, rows, k, key="vec_id").select("query_id", "vec_id", "rank")
 
 
-@query(_KNN.format(m=100, k=5))
-def knn_filtered(spark, d):
-    return _knn(spark, d, 100, 5)
-
-
-@query(_KNN.format(m=10, k=3))
-def knn_batch(spark, d):
-    return _knn(spark, d, 10, 3)
-
-
 @query(_KNN.format(m=20, k=5))
-def knn_every20(spark, d):
-    """The search of knn_filtered for its whole query set, every id divisible by 20."""
+def knn_filtered(spark, d):
     return _knn(spark, d, 20, 5)
 
 
-@query("""
-with h as (select label, vec_id from embeddings where vec_id % 37 = 0)
-select distinct e.label as source, e.vec_id as chunk_index from embeddings e join h on e.label = h.label
- and e.vec_id between greatest(0, h.vec_id - 2) and h.vec_id + 2""")
-def neighbour_expand(spark, d):
-    chunks = t(spark, d, "embeddings").select(F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"))
-    return vectors.neighbours(chunks.where("chunk_index % 37 = 0"), chunks)
+@query(_KNN.format(m=20, k=3))
+def knn_batch(spark, d):
+    return _knn(spark, d, 20, 3)
 
 
 @query(f"""
@@ -247,7 +232,7 @@ with hits as ({_KNN.format(m=20, k=5)}),
 h as (select distinct label, vec_id from hits join embeddings using (vec_id))
 select distinct e.label as source, e.vec_id as chunk_index from embeddings e join h on e.label = h.label
  and e.vec_id between greatest(0, h.vec_id - 2) and h.vec_id + 2""")
-def neighbour_hits(spark, d):
+def neighbour_expand(spark, d):
     """Neighbours of what the search finds for its whole query set."""
     chunks = t(spark, d, "embeddings").select(F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"))
     hits = _knn(spark, d, 20, 5).select(F.col("vec_id").alias("chunk_index")).distinct()
@@ -266,12 +251,14 @@ def citation_resolve(spark, d):
 
 @query("""
 with l as (select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as before from conversations)
-select conv_id, sha256(string_agg(case when before is null or before <> role then '## ' || role || chr(10) else '' end
-   || '[' || conv_id || '] ' || text, chr(10) || '---' || chr(10) order by turn)) as digest
+select conv_id, sha256(regexp_replace(string_agg(case when before is null then '' when before <> role then chr(10) || chr(10) || '---' || chr(10) || chr(10) else '' end
+   || case when before is null or before <> role then '## CONTEXTO DA SESSÃO: ' || role || chr(10) else '' end
+   || '[FONTE] chunk_id: ' || turn || chr(10) || text, '' order by turn), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) as digest
 from l group by conv_id""")
 def context_format(spark, d):
     rows = t(spark, d, "conversations").select(
-        "conv_id", F.col("turn").alias("chunk_index"), F.col("role").alias("section_title"), F.col("conv_id").cast("string").alias("source"), "text"
+        "conv_id", F.col("turn").alias("chunk_index"), F.col("role").alias("section_title"), F.col("turn").alias("chunk_id"),
+        text.with_header(F.col("text"), F.col("role")).alias("text"),
     )
     return context.context(rows, ["conv_id"]).select("conv_id", F.sha2("context", 256).alias("digest"))
 
@@ -342,16 +329,18 @@ def coordinate_chunks(spark, d):
     return text.coordinate_chunks(words)
 
 
-_EMAIL = dict(pii.PATTERNS)["EMAIL_ADDRESS"]
-
-
-@query(f"""
-select doc_id, len(regexp_extract_all(text, '{_EMAIL}')) as email_address,
-       len(regexp_extract_all(text, '{dict(pii.PATTERNS)["ZIP_CODE"]}')) as zip_code,
-       len(regexp_extract_all(text, '{dict(pii.PATTERNS)["DATE"]}')) as date from documents""")
+@query(r"""
+select doc_id, len(regexp_extract_all(text, '\b(?:\+?55\s?)?(?:\(?\d{2}\)?\s?)?\d{4,5}-?\d{4}\b')) as phone_number_br,
+  len(regexp_extract_all(text, '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b')) as cpf, len(regexp_extract_all(text, '\b\d{2}\.?\d{3}\.?\d{3}/\d{4}-\d{2}\b')) as cnpj,
+  len(regexp_extract_all(text, '\b\d{2}\.?\d{3}\.?\d{3}-?\d{1,2}\b')) as rg,
+  len(regexp_extract_all(text, '(?i)\b(?:FIOCRUZ|Fundação Oswaldo Cruz|Ministério da Saúde/ANVISA)\b')) as institution,
+  len(regexp_extract_all(text, '(?i)R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}')) as money, len(regexp_extract_all(text, '\b\d+\.\d+/\d{4}-\d{2}\b')) as process_number,
+  len(regexp_extract_all(text, '\b\d{2,5}/\d{4}\b')) as edital_number,
+  len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b')) as email_address,
+  len(regexp_extract_all(text, '\b(?:0?[1-9]|[12][0-9]|3[01])/(?:0?[1-9]|1[0-2])/\d{4}\b')) as date,
+  len(regexp_extract_all(text, '\b(?:[01]\d|2[0-3]):[0-5]\d\b')) as time, len(regexp_extract_all(text, '\b\d{5}-?\d{3}\b')) as zip_code from documents""")
 def pii_counts(spark, d):
-    wanted = [p for p in pii.PATTERNS if p[0] in ("EMAIL_ADDRESS", "ZIP_CODE", "DATE")]
-    return t(spark, d, "documents").select("doc_id", *pii.counts(F.col("text"), wanted))
+    return t(spark, d, "documents").select("doc_id", *pii.counts(F.col("text")))
 
 
 @query()
@@ -370,11 +359,11 @@ def pii_round_trip(spark, d):
 
 
 @query("""
-with m as (select event_id, 'see <' || event_type || ':' || user_id || '> and <doc:' || event_id || '>' as s from events)
-select event_id, unnest(regexp_extract_all(s, '<([A-Za-z_]+):([A-Za-z0-9-]+)>', 1)) as type,
-       unnest(regexp_extract_all(s, '<([A-Za-z_]+):([A-Za-z0-9-]+)>', 2)) as id from m""")
+with m as (select event_id, 'see <' || event_type || ':' || user_id || '> and <my doc:' || event_id || '/x y>' as s from events)
+select event_id, unnest(regexp_extract_all(s, '<([^:]+):([^>]+)>', 1)) as type,
+       unnest(regexp_extract_all(s, '<([^:]+):([^>]+)>', 2)) as id from m""")
 def tag_extract(spark, d):
-    s = F.format_string("see <%s:%d> and <doc:%d>", "event_type", "user_id", "event_id")
+    s = F.format_string("see <%s:%d> and <my doc:%d/x y>", "event_type", "user_id", "event_id")
     out = t(spark, d, "events").select("event_id", F.explode(context.tags(s)).alias("x"))
     return out.select("event_id", "x.type", "x.id")
 
@@ -445,9 +434,9 @@ def top_bottom(spark, d):
 
 @query("""
 with p as (select event_id as id, event_type, props, lag(props) over (partition by user_id order by ts, event_id) as old from events)
-select id, case when event_type = 'login' then 'Record created.' when event_type = 'logout' then 'Record deleted.'
-  when old is not null and old ->> '$.k' = props ->> '$.k' then 'No changes.'
-  else 'k changed from ' || coalesce(old ->> '$.k', 'empty') || ' to ' || (props ->> '$.k') end as description from p""")
+select id, case when event_type = 'login' then 'Registro criado.' when event_type = 'logout' then 'Registro removido.'
+  when old is null then 'Registro alterado.' when old ->> '$.k' = props ->> '$.k' then 'Salvo sem alterações.'
+  else 'Alterou K de ' || chr(39) || (old ->> '$.k') || chr(39) || ' para ' || chr(39) || (props ->> '$.k') || chr(39) end as description from p""")
 def audit_diff(spark, d):
     old = F.lag("props").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     action = F.when(F.col("event_type") == "login", "CREATE").when(F.col("event_type") == "logout", "DELETE").otherwise("UPDATE")
@@ -539,14 +528,24 @@ def phone_normal(spark, d):
 
 
 @query("""
-select p_partkey, case when p_size is null then null else (select s from (values (0, 1.0), (1, 1.15), (2, 1.5), (3, 2.0)) v(i, s)
-  order by abs(p_size / 25.0 - s), i limit 1)::double::varchar end as label from part""")
+select p_partkey, case when p_size is null then 'indeterminado' else (select l from (values (0, 1.0, 'simples'), (1, 1.15, '1.15'), (2, 1.5, '1.5'), (3, 2.0, 'duplo')) v(i, s, l)
+  order by abs(p_size / 25.0 - s), i limit 1) end as label from part""")
 def spacing_labels(spark, d):
-    return t(spark, d, "part").select("p_partkey", layout.spacing_label(F.col("p_size") / 25.0).cast("double").cast("string").alias("label"))
+    return t(spark, d, "part").select("p_partkey", layout.spacing_label(F.col("p_size") / 25.0).alias("label"))
 
 
 @query()
 def evaluation(spark, d):
-    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    rows = docs.select(F.col("doc_id").cast("string").alias("branch_id"), F.concat_ws(" ", "lang", "source").alias("requirement"), F.col("text").alias("context"))
-    return evaluate.evaluate(rows).select("branch_id", "feedback", "fulfilled", "score", "attempts")
+    """Every document's chunks as one context, asked for the words of its first line and of its language."""
+    docs = t(spark, d, "documents").where("text is not null")
+    chunks = text.fixed_windows(docs, "doc_id").select(
+        "doc_id", F.col("ord").alias("chunk_index"), F.format_string("%d-%d", "doc_id", "ord").alias("chunk_id"), F.lit("").alias("section_title"), F.col("part").alias("text")
+    )
+    asked = docs.select("doc_id", F.concat_ws(" ", F.substring_index("text", "\n", 1), "lang").alias("requirement"))
+    rows = asked.join(context.context(chunks, ["doc_id"]), "doc_id").withColumn("branch_id", F.col("doc_id").cast("string"))
+    return evaluate.evaluate(rows).select("branch_id", "feedback", "fulfilled", "score", F.size("cited").alias("n_cited"), "attempts")
+
+
+# earlier names of the searches over the whole query set
+for _old, _new in (("knn_every20", "knn_filtered"), ("neighbour_hits", "neighbour_expand")):
+    QUERIES[_old], ORACLE_SQL[_old] = QUERIES[_new], ORACLE_SQL[_new]

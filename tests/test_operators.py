@@ -102,8 +102,14 @@ def test_asof_takes_the_last_section_before_the_middle(spark):
 
 
 def test_context_shows_a_header_where_the_section_changes(spark):
-    c = spark.createDataFrame([(1, 0, "I", "f", "x"), (1, 1, "I", "f", "y"), (1, 2, "M", "f", "z")], "k int, chunk_index int, section_title string, source string, text string")
-    assert context.context(c, ["k"]).first().context == "## I\n[f] x\n---\n[f] y\n---\n## M\n[f] z"
+    c = spark.createDataFrame(
+        [(1, 0, "I", "a", "SECTION: I\n\nx"), (1, 1, "I", "b", "y"), (1, 2, None, "c", "z"), (1, 3, "M", None, " w ")],
+        "k int, chunk_index int, section_title string, chunk_id string, text string",
+    )
+    assert context.context(c, ["k"]).first().context == (
+        "## CONTEXTO DA SESSÃO: I\n[FONTE] chunk_id: a\nx[FONTE] chunk_id: b\ny\n\n---\n\n[FONTE] chunk_id: c\nz"
+        "\n\n---\n\n## CONTEXTO DA SESSÃO: M\n[FONTE] chunk_id: unknown_id\n w"
+    )
 
 
 def test_audit_words(spark):
@@ -113,8 +119,23 @@ def test_audit_words(spark):
         "id int, action string, old_data string, new_data string",
     )
     assert rows(audit.audit_diff(df), "id", "description") == [
-        (1, "status moved from A to B"), (2, audit.CREATED), (3, audit.UNCHANGED), (4, "added to l: y; removed from l: x"),
+        (1, "Alterou Status de 'A' para 'B'"), (2, "Registro criado."), (3, "Salvo sem alterações."),
+        (4, "Adicionou 'y' em L; Removeu 'x' de L"),
+    ]
+    more = spark.createDataFrame(
+        [(1, "UPDATE", None, '{"a":1}'), (2, "UPDATE", '{"a":1}', "{}"),
+         (3, "UPDATE", '{"history":[{"status":"PENDING"}],"is_active":true,"meta_info":{"x":1}}',
+          '{"meta_info":{"x":2},"history":[{"status":"COMPLETED"}],"is_active":false,"z":null,"updated_at":3}'),
+         (4, "UPDATE", '{"history":[],"name":"q"}', '{"history":[{"status":"ODD"}],"name":"true"}'), (5, "DELETE", "{}", None)],
+        "id int, action string, old_data string, new_data string",
+    )
+    assert rows(audit.audit_diff(more), "id", "description") == [
+        (1, "Registro alterado."), (2, "Registro alterado."),
+        (3, "Meta info modificado; Moveu o documento da etapa 'Pendente' para 'Concluído'; Alterou Ativo de 'Sim' para 'Não'"),
+        (4, "Moveu o documento da etapa 'Sem status' para 'ODD'; Alterou Nome de 'q' para 'true'"), (5, "Registro removido."),
     ]
+    logs = audit.audit_rows(more.where("id = 5").withColumns({"record_id": F.lit(7), "user_id": F.lit(1)}), "documents", F.lit("now"))
+    assert rows(logs, "table_name", "record_id", "description") == [("documents", "7", "Registro removido.")]
 
 
 def test_evaluation_retries_then_says_so(spark):
@@ -159,13 +180,14 @@ def test_pseudonyms_are_stable_and_reversible(spark):
 
 
 def test_entities_that_are_parts_of_longer_ones_are_found(spark):
-    texts = ["a.b@x.com then b@x.com", "21:30 ... 1:30", "21:300 1:30 1:30", "em 01/02/2024 e 02/2024", "nothing", None]
+    texts = ["a.b@x.com then b@x.com", "21:30 ... 01:30", "21:300 11:30 01:30", "em 01/02/2024 e 02/2024", "x912345-678 or 12345-678", None]
     df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "doc_id int, chunk_index int, text string")
-    found = [(0, "a.b@x.com", 1), (0, "b@x.com", 16), (1, "1:30", 11), (1, "21:30", 1), (2, "1:30", 8), (2, "1:30", 13),
-             (3, "01/02/2024", 4), (3, "02/2024", 17)]
+    found = [(0, "a.b@x.com", 1), (0, "b@x.com", 16), (1, "01:30", 11), (1, "21:30", 1), (2, "11:30", 8), (2, "01:30", 14),
+             (3, "01/02/2024", 4), (3, "02/2024", 17), (4, "12345-678", 16)]
     assert rows(pii.entities(df, "doc_id"), "doc_id", "entity", "start") == sorted(found, key=str)
     out = {r.doc_id: r.text for r in pii.anonymise(df, "doc_id").collect()}
     assert out[0] == "<EMAIL_ADDRESS_0> then <EMAIL_ADDRESS_1>" and out[1] == "<TIME_0> ... <TIME_1>" and out[5] is None
+    assert out[4] == "x912345-678 or <ZIP_CODE_0>"
 
 
 def test_sections_are_found_without_accents(spark):
