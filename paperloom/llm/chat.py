@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, read
+from paperloom.llm.common import cut, least_hashes, read
 
 ROLES = ["system", "user", "assistant"]
 STRETCH = 256  # lines in a stretch, up to its last row's
@@ -161,8 +161,8 @@ def fit(turns: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
     hashes, the same however the table is partitioned; a hot transcript is drawn piece by piece."""
     own = turns.where(F.col("role").isin(ROLES) & (F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS))
     piece = F.struct(F.col("conv_id").cast("string").alias("c"), F.floor(F.col("turn") / TRAIN_TURNS).cast("long").alias("s"))
-    own = own.select(piece.alias("piece"), F.col("turn").alias("at"), "role", "text", F.xxhash64(piece, F.lit(1)).alias("dice"))
-    rows = own.orderBy("dice", "piece", "at", "text").limit(train_rows).collect()
+    own = own.select(piece.alias("piece"), F.col("turn").alias("at"), "role", "text")
+    rows = least_hashes(own, [F.col("piece"), F.lit(1)], train_rows, ["piece", "at", "text"]).collect()
     return train([((r["piece"]["c"], r["piece"]["s"]), r["at"], r["role"], r["text"]) for r in rows])
 
 
@@ -346,6 +346,7 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``conversations`` with its first role, number of turns and canonical form; cases as format_chats() says."""
     turns = read(spark, sf_dir, "conversations")
     out = format_chats(turns.select("conv_id", "turn", "text"), fit(turns))
     return out.select("conv_id", "turn", "role_pred", F.size("segments").alias("n_segments"), "rendered")

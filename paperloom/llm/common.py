@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,13 +37,22 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
     A lost executor then costs no recomputation of it. A table tells its true size, where a checkpoint carries on the
-    estimates of its plan, which multiply from round to round in an iteration."""
+    estimates of its plan, which multiply from round to round in an iteration. clear_cuts() removes the tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashes(df: DataFrame, keys: list[Column], rows: int, order: list[str]) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the least hashes of ``keys``, equal hashes by ``order``: the same rows however the
+    table is partitioned. A count bounds what tasks hand on to about twice as many rows in all."""
+    dice = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    most = int(min(1.0, 2 * rows / max(1, df.count())) * (1 << 40))
+    return df.where(dice < most).withColumn("__pl_dice", dice).orderBy("__pl_dice", *order).limit(rows).drop("__pl_dice")
+
+
 BATCH_ROWS = 1024  # rows of an Arrow batch at most: what a worker and its executor hold at once of whole texts
 
 
@@ -70,6 +79,15 @@ def released() -> None:
         libc.malloc_trim(0)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove what cut() has written in this session; tables that still read of it can't be read after."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+_CUTS: list[str] = []
 _TABLES: dict[Any, Any] = {}
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import read
+from paperloom.llm.common import least_hashes, read
 from paperloom.llm.spans import Span, digest, scan
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -323,8 +323,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Crf:
     """A field from the ``train_rows`` documents with the least hashes of doc_id (and text) among those with an address or
     a longer number and at most TRAIN_CHARS characters: the same rows however the table is partitioned."""
     own = docs.where((F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]"))
-    dice = F.xxhash64("doc_id", F.lit(6)).alias("dice")
-    rows = own.select(dice, F.xxhash64("text").alias("t"), "text").orderBy("dice", "t").limit(train_rows).collect()
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    rows = least_hashes(own, [F.col("doc_id"), F.lit(6)], train_rows, ["t"]).collect()
     return train([r["text"] for r in rows])
 
 
@@ -339,5 +339,6 @@ def scan_pii(docs: DataFrame, crf: Crf, name: str = "spans") -> DataFrame:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text of ``documents``; cases as scan_pii() says."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(scan_pii(docs, fit(docs)), KINDS)
