@@ -1,7 +1,12 @@
 """A corpus pipeline over ``documents``: language ID, line dedup, near-dedup, decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs. All
-but the last return the columns of ``documents``; ``n_chars`` follows the text."""
+but the last return the columns of ``documents``; ``n_chars`` follows the text.
+
+Of odd rows: a null text, or one without a letter, is rejected by the first stage; rows without a doc_id pass all stages
+(they are no one's near-duplicate); of rows that share a doc_id one stays after the third; very long texts are treated
+whole; extra columns, of whatever name, stay up to the last stage, which returns its own; an empty table gives an empty
+one."""
 
 from __future__ import annotations
 
@@ -53,11 +58,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", tokens),
 ]
 
-#: Language ID has no SQL form; tests hold the pipeline against a brute-force version.
+#: Language ID has no SQL form. Tests hold stages 2 to 5 against plain Python and the tokenizers library, each on its own
+#: input; of language ID they test what it rejects and how much it keeps.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)

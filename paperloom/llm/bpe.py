@@ -242,6 +242,7 @@ def default_path() -> str:
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token ids and decoded form of every whole text of ``documents``; cases as encode_bpe() says."""
     out = encode_bpe(read(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
     return out.select(
         "doc_id",

@@ -27,9 +27,10 @@ def _step(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each id on an edge, the smallest id that it reaches.
 
-    Edges may repeat and run either way; loops are left out; an empty table gives an empty one. Tasks hold partial
+    Edges may repeat and run either way; loops are left out, and so is an id that is on loops only; an edge with a null end
+    links nothing; an empty table gives an empty one. Other columns take no part. Tasks hold partial
     minima and salted joins only, whatever the degree of an id; each round is cut through the shared folder."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()  # also leaves null ends out
     e, seen = cut(e), None
     while True:
         e = cut(_step(e))

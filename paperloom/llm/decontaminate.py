@@ -311,6 +311,7 @@ def decontaminate(
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """What every whole text of ``documents`` holds of ``benchmark``; cases as find_leaks() says."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, read(spark, sf_dir, "benchmark")).select(
         "doc_id",

@@ -202,6 +202,7 @@ def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``; cases as identify() says."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")

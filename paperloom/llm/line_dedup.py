@@ -65,6 +65,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Line counts and what is kept of every whole text of ``documents``; cases as dedup_lines() says."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

@@ -198,6 +198,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op5_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """The 20 best of all other rows for each row of ``embeddings`` whose id is divisible by 20; cases as top_k() says."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
 

@@ -226,5 +226,6 @@ def scan_secrets(docs: DataFrame, name: str = "spans") -> DataFrame:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of ``documents``; cases as scan_secrets() says."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(scan_secrets(docs), BASE_KINDS)

@@ -356,4 +356,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCE
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document by four-word shingles; cases as near_duplicates() says."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=4)

@@ -87,8 +87,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of each row of ``docs``: byte sums of shards are near equal.
 
     Equal texts share a shard (null counts as empty), however many: a group with more than its share of all bytes makes
-    its shard larger, and the others still balance. Slots count from 0 in each shard without gaps, by a hash of doc_id,
-    then doc_id; repeated rows each have a slot of their own. Null ids and empty texts take part; an empty table gives an
+    its shard larger, and the others still balance. Slots count from 0 in each shard without gaps, by a hash of doc_id
+    and text, then doc_id; repeated rows each have a slot of their own. Null ids and empty texts take part; an empty table gives an
     empty one; other columns take no part. The size of a text is its UTF-8 bytes and one.
 
     Only ids, sizes and hashes are shuffled. A text of a third of all rows is one partial sum a task, its rows are dealt
@@ -105,7 +105,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
     at = partition_groups(cut(groups), shards)
     stretches = max(1, -(-rows.count() // SLOT_ROWS))
-    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
+    key = F.xxhash64("doc_id", "g1", "g2")  # null ids are dealt by their texts
     dealt = salted_join(rows, at, ["g1", "g2"], ["doc_id", "size"]).withColumn("st", F.pmod(key, F.lit(stretches)))
     dealt = cut(dealt)
     counts = dealt.groupBy("shard", "st").agg(F.count(F.lit(1)).alias("n"))
@@ -118,12 +118,21 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` (unique doc_id) as Parquet in a folder for each shard."""
-    where = assign_shards(docs, shards).select("doc_id", "shard")
-    docs.join(where, "doc_id").write.partitionBy("shard").parquet(path)
+    """Write all rows of ``docs`` as Parquet in a folder for each shard, the one that assign_shards() gives their texts: null
+    and repeated ids keep all their rows, null texts count as empty, a column called shard is replaced, an empty table
+    writes no folder."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.drop("shard").withColumns({"__pl_g1": F.xxhash64(text), "__pl_g2": F.xxhash64(F.lit(9), text)})
+    groups = rows.groupBy(F.col("__pl_g1").alias("g1"), F.col("__pl_g2").alias("g2"))
+    at = partition_groups(cut(groups.agg(F.sum(F.octet_length(text) + 1).alias("bytes"))), shards)
+    at = at.select(F.col("g1").alias("__pl_g1"), F.col("g2").alias("__pl_g2"), "shard")
+    rows = rows.withColumn("__pl_u", F.monotonically_increasing_id())
+    out = salted_join(rows, at, ["__pl_g1", "__pl_g2"], ["__pl_u"]).drop("__pl_g1", "__pl_g2", "__pl_u")
+    out.write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard by the law ``bytes``, and its slot there; nulls and repeats as assign_shards() says."""
     out = assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

@@ -33,6 +33,8 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     want = {q: sorted(((i, int(v[q] @ v[i])) for i in v if i != q), key=lambda p: (-p[1], p[0]))[:7] for q in v if q % 20 == 0}
     assert got == want
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
+    clash = df.withColumns({"id": F.lit("x"), "v": F.lit(0), "b": F.lit(1), "score": F.lit(2.0)})
+    assert mtree.top_k(clash, clash.where("vec_id % 20 = 0"), 7).count() == 7 * len(want)
 
 
 def test_differencing():
@@ -41,7 +43,7 @@ def test_differencing():
     assert abs(sums[0] - sums[1]) == 2 and sharding.differencing([], 3).size == 0
 
 
-def test_shards(spark, odd_docs, no_docs, monkeypatch):
+def test_shards(spark, odd_docs, no_docs, monkeypatch, tmp_path):
     monkeypatch.setattr(sharding, "NODE_GROUPS", 300)
     monkeypatch.setattr(sharding, "FAN", 2)
     monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
@@ -60,6 +62,8 @@ def test_shards(spark, odd_docs, no_docs, monkeypatch):
     for x in got:
         assert where.setdefault(text[x.doc_id], x.shard) == x.shard
     assert sharding.assign_shards(odd_docs).count() == odd_docs.count()
+    sharding.write_shards(odd_docs, str(tmp_path / "s"), 4)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == odd_docs.count()
     assert sharding.assign_shards(no_docs).count() == 0
 
 
