@@ -159,10 +159,10 @@ def segments(text: str | None, roles: list[int]) -> list[dict]:
 def fit(turns: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
     """A model from ``train_rows`` labelled rows: those of the pieces of transcripts (TRAIN_TURNS turns each) with the least
     hashes, the same however the table is partitioned; a hot transcript is drawn piece by piece."""
-    own = turns.where(F.col("role").isin(ROLES) & (F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS))
+    fit = F.col("role").isin(ROLES) & (F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
     piece = F.struct(F.col("conv_id").cast("string").alias("c"), F.floor(F.col("turn") / TRAIN_TURNS).cast("long").alias("s"))
-    own = own.select(piece.alias("piece"), F.col("turn").alias("at"), "role", "text")
-    rows = least_hashes(own, [F.col("piece"), F.lit(1)], train_rows, ["piece", "at", "text"]).collect()
+    own = turns.select(piece.alias("piece"), F.col("turn").alias("at"), "role", "text")
+    rows = least_hashes(own, fit, [F.col("piece"), F.lit(1)], train_rows, ["piece", "at", "text"]).collect()
     return train([((r["piece"]["c"], r["piece"]["s"]), r["at"], r["role"], r["text"]) for r in rows])
 
 

@@ -45,12 +45,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def least_hashes(df: DataFrame, keys: list[Column], rows: int, order: list[str]) -> DataFrame:
-    """The ``rows`` rows of ``df`` with the least hashes of ``keys``, equal hashes by ``order``: the same rows however the
-    table is partitioned. A count bounds what tasks hand on to about twice as many rows in all."""
+def least_hashes(df: DataFrame, fit: Column, keys: list[Column], rows: int, order: list[str]) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the least hashes of ``keys`` among those that are ``fit``, equal hashes by ``order``:
+    the same rows however the table is partitioned. A count bounds what tasks hand on to about twice as many rows in all."""
     dice = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
-    most = int(min(1.0, 2 * rows / max(1, df.count())) * (1 << 40))
-    return df.where(dice < most).withColumn("__pl_dice", dice).orderBy("__pl_dice", *order).limit(rows).drop("__pl_dice")
+    most = int(min(1.0, 2 * rows / max(1, df.where(fit).count())) * (1 << 40))
+    return df.where(dice < most).where(fit).withColumn("__pl_dice", dice).orderBy("__pl_dice", *order).limit(rows).drop("__pl_dice")
 
 
 BATCH_ROWS = 1024  # rows of an Arrow batch at most: what a worker and its executor hold at once of whole texts

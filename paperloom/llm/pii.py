@@ -322,9 +322,9 @@ def finder(crf: Crf):
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Crf:
     """A field from the ``train_rows`` documents with the least hashes of doc_id (and text) among those with an address or
     a longer number and at most TRAIN_CHARS characters: the same rows however the table is partitioned."""
-    own = docs.where((F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]"))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    rows = least_hashes(own, [F.col("doc_id"), F.lit(6)], train_rows, ["t"]).collect()
+    fit = (F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    rows = least_hashes(own, fit, [F.col("doc_id"), F.lit(6)], train_rows, ["t"]).collect()
     return train([r["text"] for r in rows])
 
 
