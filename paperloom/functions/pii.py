@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -96,18 +96,34 @@ def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "t
     return found.mapInArrow(run, f"{own}, kind string, entity string, start int")
 
 
-def placeholders(found: DataFrame, key: str, order: str = "chunk_index") -> DataFrame:
-    """(key, kind, entity, placeholder): ``<KIND_n>``, n from 0 in each document and kind, by first occurrence."""
+#: what stands for an entity, from its kind, its number in the document (from 0, by first occurrence) and itself
+Naming = Callable[[Column, Column, Column], Column]
+
+
+def counted(kind: Column, n: Column, entity: Column) -> Column:
+    """``<KIND_n>``: one for each entity of a document, so restore() finds the way back."""
+    return F.format_string("<%s_%d>", kind, n)
+
+
+def redacted(kind: Column, n: Column, entity: Column) -> Column:
+    """``<KIND>``: all entities of a kind alike; there is no way back."""
+    return F.format_string("<%s>", kind)
+
+
+def placeholders(found: DataFrame, key: str, order: str = "chunk_index", naming: Naming = counted) -> DataFrame:
+    """(key, kind, entity, placeholder), named by ``naming``; numbers count a document's entities of a kind."""
     first = found.groupBy(key, "kind", "entity").agg(F.min(F.struct(order, "start")).alias("f"))
     n = F.row_number().over(Window.partitionBy(key, "kind").orderBy("f", "entity")) - 1
-    return first.withColumn("n", n).select(key, "kind", "entity", F.format_string("<%s_%d>", "kind", "n").alias("placeholder"))
+    return first.withColumn("n", n).select(key, "kind", "entity", naming(F.col("kind"), F.col("n"), F.col("entity")).alias("placeholder"))
 
 
-def anonymise(df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS)) -> DataFrame:
+def anonymise(
+    df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS), naming: Naming = counted
+) -> DataFrame:
     """The chunks (one row for each key and order) with placeholders where an entity was matched, and ``pii_map``: kind ->
     entity -> placeholder of the document. Only spans travel; a text meets those of its own chunk."""
     found = entities(df, key, order, text, patterns)
-    names = placeholders(found, key, order)
+    names = placeholders(found, key, order, naming)
     placed = found.join(names, [key, "kind", "entity"])
     item = F.struct("start", F.char_length("entity").alias("n"), "placeholder")
     own = placed.groupBy(key, order).agg(F.array_sort(F.collect_list(item)).alias("__m"))

@@ -26,43 +26,89 @@ def lexemes(*columns: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def matches(tokens: Column, query: str | None) -> Column:
-    """Every term is a prefix of some token; a blank query matches all."""
-    return reduce(lambda a, b: a & b, [_has(tokens, t) for t in terms(query)], F.lit(True))
+# The configuration in which each entity's words are read, and the columns that are searched.
+CONFIGS = {
+    "users": ("simple", ["username"]),
+    "sources": ("portuguese", ["name", "description"]),
+    "typifications": ("portuguese", ["name"]),
+    "taxonomies": ("portuguese", ["title", "description"]),
+    "branches": ("portuguese", ["title", "description"]),
+    "documents": ("portuguese", ["name", "identifier", "description"]),
+}
 
 
-def _has(tokens: Column, term: str) -> Column:
-    return F.exists(tokens, lambda x: x.startswith(term))
+def tokens_of(columns: Sequence[Column], config: str = "simple") -> Column:
+    """Tokens of the columns: words (``simple``) or stems without stop words (``portuguese``)."""
+    if config == "simple":
+        return lexemes(*columns)
+    return portuguese_lexemes(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
 
 
-def rank(tokens: Column, query: str | None) -> Column:
-    """The share of tokens that a term begins: a tie-break among matches."""
-    hits = [F.size(F.filter(tokens, _begins(t))) for t in terms(query)]
-    if not hits:
-        return F.lit(0.0)
-    return reduce(lambda a, b: a + b, hits) / F.greatest(F.size(tokens), F.lit(1))
+def terms_in(query: str | None, config: str = "simple") -> list[str]:
+    """terms(), read as the configuration reads words."""
+    return terms(query) if config == "simple" else [stem(t) for t in terms(query) if t not in STOP_WORDS]
+
+
+def _all(tokens: Column, wanted: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.exists(tokens, _begins(t)) for t in wanted], F.lit(True))
+
+
+def _share(tokens: Column, wanted: list[str]) -> Column:
+    hits = [F.size(F.filter(tokens, _begins(t))) for t in wanted]
+    return reduce(lambda a, b: a + b, hits, F.lit(0)) / F.greatest(F.size(tokens), F.lit(1))
 
 
 def _begins(term: str):
     return lambda x: x.startswith(term)
 
 
-def search(df: DataFrame, columns: list[str], query: str | None) -> DataFrame:
-    """Matching rows with ``rank``; order by the listing's own key first, then rank."""
-    tokens = lexemes(*[F.col(c) for c in columns])
-    return df.where(matches(tokens, query)).withColumn("rank", rank(tokens, query))
+def matches(tokens: Column, query: str | None) -> Column:
+    """Every term is a prefix of some token; a blank query matches all."""
+    return _all(tokens, terms(query))
 
 
-def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def rank(tokens: Column, query: str | None) -> Column:
+    """The share of tokens that a term begins: a tie-break among matches."""
+    return _share(tokens, terms(query))
+
+
+def search(df: DataFrame, columns: list[str], query: str | None, config: str = "simple") -> DataFrame:
+    """Matching rows with ``rank``; order by the listing's own key first, then rank. A blank query matches all rows, one
+    of stop words alone none.
+
+    Tokens come from a generator of one row: no filter is pushed through it, so they are worked out once a row."""
+    if not terms(query):
+        return df.withColumn("rank", F.lit(0.0))
+    wanted = terms_in(query, config)
+    own = df.withColumn("__w", F.explode(F.array(tokens_of([F.col(c) for c in columns], config))))
+    own = own.where(_all(F.col("__w"), wanted) if wanted else F.lit(False))
+    return own.withColumn("rank", _share(F.col("__w"), wanted)).drop("__w")
+
+
+def search_entity(df: DataFrame, entity: str, query: str | None, config: str | None = None) -> DataFrame:
+    """search() in the entity's own columns and configuration; ``config`` takes the latter's place."""
+    own, columns = CONFIGS[entity]
+    return search(df, columns, query, config or own)
+
+
+def postings(df: DataFrame, key: str, columns: list[str], config: str = "simple") -> DataFrame:
     """(term, key): an inverted index; a prefix is a range of terms."""
-    return df.select(F.explode(lexemes(*[F.col(c) for c in columns])).alias("term"), key)
+    return df.select(F.explode(tokens_of([F.col(c) for c in columns], config)).alias("term"), key)
+
+
+def write_postings(index: DataFrame, key: str, path: str) -> None:
+    """Store an index in ranges of (term, key), sorted: search_postings() of what is read back skips files and row groups
+    outside its prefixes by their statistics, and a frequent term is shared by several files."""
+    index.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
 
 
-def search_postings(index: DataFrame, key: str, query: str | None) -> DataFrame:
+def search_postings(index: DataFrame, key: str, query: str | None, config: str = "simple") -> DataFrame:
     """Keys for which every term of the query is a prefix of some indexed term."""
-    wanted = terms(query)
-    if not wanted:
+    if not terms(query):
         return index.select(key).distinct()
+    wanted = terms_in(query, config)
+    if not wanted:
+        return index.select(key).where(F.lit(False))
     flags = [F.max(F.col("term").startswith(t).cast("int")).alias(f"__{i}") for i, t in enumerate(wanted)]
     near = index.where(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in wanted]))
     hit = near.groupBy(key).agg(*flags)

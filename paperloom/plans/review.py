@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.catalog import Catalog
 from paperloom.functions import text
-from paperloom.operators import context, criteria, latest, layout, listing, search, tree, vectors
+from paperloom.operators import context, criteria, embed, latest, layout, listing, search, tree, vectors
 from paperloom.plans.queries import query, t
 
 DOMAIN = """
@@ -385,6 +385,34 @@ def prefix_rank(spark, d):
     return search.search(t(spark, d, "documents").select("doc_id", "text"), ["text"], "th an").select("doc_id", "rank")
 
 
+_NAMES = _WORDS.replace("text", "coalesce(c_name, '')")
+
+
+@query(f"""
+select 'users' as entity, c_custkey as id from (select c_custkey, {_NAMES} as w from customer where c_custkey % 11 <> 0)
+where len(list_filter(w, lambda x: starts_with(x, 'cust'))) > 0 and len(list_filter(w, lambda x: starts_with(x, '0000'))) > 0
+union all select 'documents', doc_id from (select doc_id, {_WORDS} as w from documents)
+where len(list_filter(w, lambda x: starts_with(x, 'qu'))) > 0 and len(list_filter(w, lambda x: starts_with(x, 'os'))) > 0""")
+def entity_search(spark, d):
+    """Users in their own configuration, documents with theirs replaced."""
+    users = search.search_entity(Domain(spark, d).table("users"), "users", "CUST | 0000")
+    none = F.lit(None).cast("string")
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("name"), none.alias("identifier"), none.alias("description"))
+    found = search.search_entity(docs, "documents", "qu os", "simple").select(F.lit("documents").alias("entity"), F.col("doc_id").alias("id"))
+    return users.select(F.lit("users").alias("entity"), "id").unionByName(found)
+
+
+@query("""
+select doc_id, 'a' as letter, (length(text) - length(replace(text, 'a', '')))::double as n from documents where text is not null
+union all select doc_id, 'e', (length(text) - length(replace(text, 'e', '')))::double from documents where text is not null""")
+def embedded_texts(spark, d):
+    """Vectors by a model that SQL can follow: how often two letters stand in a text."""
+    out = embed.embed(t(spark, d, "documents").select("doc_id", "text"), lambda texts: [[x.count("a"), x.count("e")] for x in texts])
+    return out.select("doc_id", F.posexplode("embedding").alias("i", "x")).select(
+        "doc_id", F.when(F.col("i") == 0, "a").otherwise("e").alias("letter"), F.col("x").cast("double").alias("n")
+    )
+
+
 @query("""
 with p as (select p_partkey as k, p_size from part)
 select k, '#' || lpad(upper(to_hex(k * 1000)), 6, '0') as colour, (k // 16) % 2 = 1 as bold,

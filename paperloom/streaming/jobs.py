@@ -66,7 +66,8 @@ def kanban_batches(parties: DataFrame, append: Callable[[DataFrame], None], noti
 def state_machine(events: DataFrame, key: str, state: str, time: str, allowed: list[tuple[str, str]]) -> DataFrame:
     """(key, state, valid) of each change of a stream: whether the change from the key's last state is allowed.
 
-    Keyed state is one string; a key's first change is valid."""
+    Keyed state is one string; a key's first change is valid. The changes of a key in one trigger are put in order of time
+    together: what a trigger reads (``per_trigger`` of feed()) bounds them."""
     from collections.abc import Iterator
 
     import pandas as pd
@@ -76,14 +77,11 @@ def state_machine(events: DataFrame, key: str, state: str, time: str, allowed: l
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last = held.get[0] if held.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(time)
-            valid = []
-            for s in pdf[state]:
-                valid.append(last is None or (last, s) in steps)
-                last = s
-            yield pd.DataFrame({key: k[0], state: pdf[state], "valid": valid})
-        held.update((last,))
+        states = pd.concat(list(batches)).sort_values(time, kind="stable")[state].tolist()
+        before = [last, *states[:-1]]
+        valid = [a is None or (a, b) in steps for a, b in zip(before, states, strict=True)]
+        held.update((states[-1],))
+        yield pd.DataFrame({key: k[0], state: states, "valid": valid})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(

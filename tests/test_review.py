@@ -1,14 +1,17 @@
 """Cases worked out by hand from the review domain's own rules, not from the library's constants."""
 
+import os
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import schemas
 from paperloom.functions import pii, text
-from paperloom.operators import context, criteria, evaluate, latest, layout, search, tree
+from paperloom.operators import context, criteria, embed, evaluate, latest, layout, search, tree
 from paperloom.sources.store import FileStore
+from paperloom.streaming import jobs
 
 
 def rows(df, *columns):
@@ -161,6 +164,73 @@ def test_whole_texts_keep_their_end(spark):
     assert text.whole_text(pages, "k", cap=3).first().text == "\n\nb"
 
 
+def test_entities_are_searched_in_their_own_configuration(spark):
+    for entity, (_, columns) in search.CONFIGS.items():
+        assert set(columns) <= set(schemas.schema_of(entity).names)
+    names = [(1, "Informações dos livros", None), (2, "informante", "livro novo"), (3, None, "de livraria")]
+    df = spark.createDataFrame(names, "id int, name string, description string")
+    found = lambda q, *config: [r[0] for r in rows(search.search_entity(df, "sources", q, *config), "id")]
+    assert found("informação") == [1, 2] and found("livros & novos") == [2] and found("livros", "simple") == [1]
+    assert found("os") == [] and found("os", "simple") == [] and found("  ") == [1, 2, 3] and found("de", "simple") == [3]
+    users = spark.createDataFrame([(1, "Livros"), (2, "livro")], "id int, username string")
+    assert rows(search.search_entity(users, "users", "livros"), "id") == [(1,)]
+
+
+def test_stored_postings_are_read_by_range(spark, tmp_path):
+    df = spark.createDataFrame([(1, "graph theory"), (2, "graphs"), (3, "other words"), (4, None)], "id int, t string")
+    search.write_postings(search.postings(df, "id", ["t"]), "id", str(tmp_path / "p"))
+    out = search.search_postings(spark.read.parquet(str(tmp_path / "p")), "id", "gra & the")
+    assert rows(out, "id") == [(1,)] and "StringStartsWith(term,gra)" in out._jdf.queryExecution().executedPlan().toString()
+    stems = search.postings(df, "id", ["t"], "portuguese")
+    assert search.search_postings(stems, "id", "de os", "portuguese").count() == 0
+
+
+def test_tokens_are_worked_out_once(spark):
+    df = spark.createDataFrame([(1, "graph theory of graphs")], "id int, t string")
+    out = search.search(df, ["t"], "gra the")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1 and out.first()["rank"] == 0.75
+
+
+def test_embedders_are_pluggable(spark):
+    df = spark.createDataFrame([(1, "two words"), (2, None), (3, ""), (4, "words two")], "id int, text string").coalesce(1)
+    got = {r.id: r.embedding for r in embed.embed(df).collect()}
+    assert got[2] is None and got[3] == [0.0] * embed.SIZE and got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-6
+    sizes = embed.vectors_of(F.col("text"), lambda texts: [[len(texts), len(x)] for x in texts], batch=2)
+    assert rows(df.select("id", sizes.alias("v")), "id", "v") == [(1, [2.0, 9.0]), (2, None), (3, [2.0, 0.0]), (4, [1.0, 9.0])]
+    with pytest.raises(Exception, match="3 texts, 1 vectors"):
+        df.select(embed.vectors_of(F.col("text"), lambda texts: [[1.0]])).collect()
+
+
+def test_names_of_entities_are_replaceable(spark):
+    df = spark.createDataFrame([(1, 0, "a@b.org, c@d.net 21:30")], "doc_id int, chunk_index int, text string")
+    assert pii.anonymise(df, "doc_id", naming=pii.redacted).first().text == "<EMAIL_ADDRESS>, <EMAIL_ADDRESS> <TIME>"
+    own = pii.anonymise(df, "doc_id", naming=lambda kind, n, entity: F.concat(F.lit("["), F.sha2(entity, 256), F.lit("]")))
+    r = own.withColumn("back", pii.restore(F.col("text"), F.col("pii_map"))).first()
+    assert "@" not in r.text and r.back == "a@b.org, c@d.net 21:30"
+
+
+def test_states_are_kept_between_triggers(spark, tmp_path):
+    kind = "doc string, state string, at int"
+    first = [("a", "QUEUED", 2), ("a", "IDLE", 1), ("b", "IDLE", 1)]
+    second = [("a", "PROCESSING", 3), ("b", "PROCESSING", 2), ("a", "IDLE", 4), ("c", "FAILED", 1)]
+    for i, batch in enumerate((first, second)):
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("part-*.parquet"):  # files are read in the order of their times
+            if not f.with_suffix(".seen").exists():
+                os.utime(f, (1_700_000_000 + i * 100,) * 2)
+                f.with_suffix(".seen").touch()
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    steps = [("IDLE", "QUEUED"), ("QUEUED", "PROCESSING"), ("PROCESSING", "IDLE"), ("PROCESSING", "FAILED")]
+    got = []
+    out = jobs.state_machine(stream, "doc", "state", "at", steps)
+    q = jobs.publish(out, lambda df, n: got.extend((n, *r) for r in df.collect()), str(tmp_path / "ck"), once=True)
+    assert q.awaitTermination(120)
+    assert sorted(got) == [
+        (0, "a", "IDLE", True), (0, "a", "QUEUED", True), (0, "b", "IDLE", True), (1, "a", "IDLE", True), (1, "a", "PROCESSING", True),
+        (1, "b", "PROCESSING", False), (1, "c", "FAILED", True),
+    ]
+
+
 def test_invalid_changes_are_named(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(["IDLE", "QUEUED", "IDLE", "QUEUED", "PROCESSING"])], "k int, o int, s string")
     assert rows(latest.invalid_transitions(df, ["k"], ["o"], "s"), "from_state", "to_state", "n") == [("QUEUED", "IDLE", 1)]
