@@ -52,7 +52,7 @@ def vectors_of(text: Column, embedder: Callable[[list[str]], Sequence[Sequence[f
                 out.at[i] = v
             yield out
 
-    return F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "array<float>")(text)
 
 
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], Sequence[Sequence[float]]] = hashed_embedder, text: str = "text", name: str = "embedding") -> DataFrame:
