@@ -10,12 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import arrow_map, read, released, strings
 
-TRAIN_ROWS = 6000  # labelled rows that training takes in all, about; the bound of the sample
+TRAIN_ROWS = 6000  # labelled rows that training takes in all; the bound of the sample
+MIN_EACH = 20  # labelled rows of a language that training takes where TRAIN_ROWS would leave it fewer
+DICE = 1 << 40  # values of the hash that draws the sample: a share of the largest tables is still told apart from none
 TRAIN_CHARS = 50_000  # longer texts are not drawn into the sample (they are predicted whole like all others)
 MOST_LANGS = 200  # languages that are learnt: those with the most labelled rows
 BUCKETS_LOG2 = 16
@@ -112,7 +114,7 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
             b, c = np.unique(np.concatenate(got), return_counts=True)
             # buckets fit 16 bits, counts of a sampled text nearly always: the driver holds four bytes for each subword
             rows.append((b.astype(np.uint16), np.minimum(c, 65535).astype(np.uint16), langs.index(label)))
-    emb = rng.normal(0, 0.1, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
+    emb = np.zeros((1 << BUCKETS_LOG2, DIM), np.float32)  # subwords that no row shows say nothing: strange texts score low
     w = rng.normal(0, 0.1, (DIM, max(1, len(langs)))).astype(np.float32)
     bias = np.zeros(max(1, len(langs)), np.float32)
     held = [r for i, r in enumerate(rows) if i % 5 == 0] if len(rows) >= 50 else rows
@@ -134,7 +136,11 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     z = np.array([(r[1] / np.float32(r[1].sum())) @ model.table[r[0]] + model.bias for r in held])
     y = np.array([r[2] for r in held])
     if len(langs) > 1 and len(held):
-        loss = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.25, 8, 41)}
+        # targets are smoothed by their number (Platt's rule): held-back rows without an error don't ask for certainty
+        rest = 1 / (len(y) + 2)
+        goal = np.full(z.shape, rest / (len(langs) - 1))
+        goal[np.arange(len(y)), y] = 1 - rest
+        loss = {t: -(goal * np.log(_softmax(z / t) + 1e-12)).sum() for t in np.geomspace(0.25, 8, 41)}
         model.temperature = float(min(loss, key=loss.get))
         p = _softmax(z / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
@@ -144,18 +150,22 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from a sample of about ``train_rows`` labelled rows, alike many from each of the MOST_LANGS languages with
-    the most rows, chosen by a hash of doc_id among rows whose crc32(doc_id as text) mod 4 is not 2 and whose text has at
-    most TRAIN_CHARS code points: rows, languages and lengths bound what the driver collects."""
+    """A model from a sample of ``train_rows`` labelled rows at most (MIN_EACH of a language, if more), alike many from
+    each of the MOST_LANGS languages with the most rows: those with the least hashes of doc_id and text among rows whose
+    crc32(doc_id as text) mod 4 is not 2 and whose text has at most TRAIN_CHARS code points. Rows of equal id and text
+    count once. Rows, languages and lengths bound what the driver collects, whatever ids repeat or are null."""
     own = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & ~held_out())
     by = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     counts = {r["lang"]: r["n"] for r in by.collect()}
     if not counts:
         return Model([], np.zeros((1 << BUCKETS_LOG2, 0), np.float32), np.zeros(0))
-    each = max(20, train_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1_000_000)) / 1_000_000
-    rows = own.where(dice < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").collect()
+    each = max(MIN_EACH, train_rows // len(counts))
+    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * each / n) * DICE))])
+    dice = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(DICE))
+    drawn = own.select("doc_id", "text", "lang", dice.alias("dice")).where(F.col("dice") < F.element_at(most, F.col("lang")))
+    drawn = drawn.groupBy("lang", "dice", "doc_id").agg(F.min("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy("dice", F.col("doc_id").asc_nulls_last())
+    rows = drawn.withColumn("at", F.row_number().over(least)).where(F.col("at") <= each).select("doc_id", "text", "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
     del rows

@@ -18,6 +18,32 @@ def test_language_on_held_out_rows(spark, sf_dir, odd_docs, no_docs):
     assert language_id.keep_identified(docs, 600).count() > 0.95 * docs.count()
 
 
+def test_language_scores_are_calibrated_and_reject(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).where(language_id.held_out() & F.col("lang").isNotNull()).collect()
+    right = sum(r.lang == r.lang_pred for r in got) / len(got)
+    assert right > 0.99 and abs(sum(r.score for r in got) / len(got) - right) < 0.02
+    assert sum(r.accepted for r in got) / len(got) >= 1 - 2 * language_id.REJECT_SHARE
+    rng = random.Random(1)
+    strange = [(i, "".join(chr(0x3041 + rng.randrange(80)) for _ in range(60))) for i in range(100)]
+    none = language_id.identify(spark.createDataFrame(strange, "doc_id long, text string"), model).where("accepted").count()
+    assert none <= 10
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: taken.append(sorted(zip(langs, texts, strict=True))))
+    monkeypatch.setattr(language_id, "held_out", lambda: F.lit(False))
+    rows = [(None, "hot", "en")] * 600 + [(7, f"copy {i % 300}", "en") for i in range(600)] + [(i, f"text {i}", "fr") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language_id.fit(docs.repartition(7), 200)
+    language_id.fit(docs.coalesce(1), 200)
+    assert taken[0] == taken[1]  # however the table is dealt
+    by = [[x for lang, x in taken[0] if lang == y] for y in ("en", "fr")]
+    assert all(20 < len(set(x)) == len(x) <= 100 for x in by) and by[0].count("hot") <= 1
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mtree, "BLOCK", 40)
     monkeypatch.setattr(mtree, "QUERIES", 5)
@@ -43,6 +69,25 @@ def test_differencing():
     assert abs(sums[0] - sums[1]) == 2 and sharding.differencing([], 3).size == 0
 
 
+def plain_differencing(weights, k):
+    """Byte sums by the textbook rule over plain lists: join the two partitions of the widest spread, largest with least."""
+    parts = [[w] + [0] * (k - 1) for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0] if p[0] < p[-1] else p[0] - p[-1])
+        a, b = sorted(parts.pop(), reverse=True), sorted(parts.pop())
+        parts.append(sorted((x + y for x, y in zip(a, b, strict=True)), reverse=True))
+    return sorted(parts[0])
+
+
+def test_differencing_against_plain_lists():
+    for seed in range(5):
+        r = random.Random(seed)
+        weights = [r.randrange(1 << 40) for _ in range(r.randrange(1, 120))]
+        lanes = sharding.differencing([[(w, i)] for i, w in enumerate(weights)], 16)
+        sums = [sum(w for w, x in zip(weights, lanes, strict=True) if x == lane) for lane in range(16)]
+        assert sorted(sums) == plain_differencing(weights, 16)
+
+
 def test_shards(spark, odd_docs, no_docs, monkeypatch, tmp_path):
     monkeypatch.setattr(sharding, "NODE_GROUPS", 300)
     monkeypatch.setattr(sharding, "FAN", 2)
