@@ -264,8 +264,8 @@ def context_format(spark, d):
 
 
 @query("""
-with c as (select user_id, event_id, epoch(ts)::bigint + 50 as mid from events where event_type <> 'purchase'),
-s as (select user_id, epoch(ts)::bigint as start, event_id from events where event_type = 'purchase')
+with c as (select user_id, event_id, floor(epoch(ts))::bigint + 50 as mid from events where event_type <> 'purchase'),
+s as (select user_id, floor(epoch(ts))::bigint as start, event_id from events where event_type = 'purchase')
 select c.user_id as user_id, c.event_id as event_id, s.event_id::varchar as section
 from c asof left join (select user_id, start, max(event_id) as event_id from s group by user_id, start) s
   on c.user_id = s.user_id and c.mid >= s.start""")
