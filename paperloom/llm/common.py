@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,35 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[s
     left = many.withColumn("__pl_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = one.withColumn("__pl_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__pl_salt"], how).drop("__pl_salt")
+
+
+HEAVY_KEYS = 1024  # a key with more than this part of all rows is heavy: so there are fewer than so many heavy keys
+
+
+def heavy_join(many: DataFrame, one: DataFrame, keys: list[str], weight: str, rows: int, parts: int = HEAVY_KEYS) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (one row a key; no null keys), whose column ``weight`` tells how many of the
+    ``rows`` rows of ``many`` have its key; the column goes.
+
+    Heavy keys are those with more than a ``parts``-th of all rows, hence fewer than ``parts`` rows of ``one``: the size of
+    what is broadcast is bounded. Their rows of ``many`` stay where they are; the others are shuffled, none of them hot.
+    ``many`` is read twice and should be a written table."""
+    hot = F.col(weight) > rows // parts
+    heavy, light = one.where(hot).drop(weight), one.where(~hot).drop(weight)
+    rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return many.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+def in_order(df: DataFrame, order: list[Column], place: str = "__pl_n", name: str = "order") -> DataFrame:
+    """``df`` with the column ``place``: where a row stands (from 0) in ``order``; equal rows take neighbouring places.
+
+    Rows are sorted in slices of a range partitioning, however often a value repeats: the row's own number in ``df``, which
+    must be a table as written, parts equal ones. Counts of slices, one row each, give their offsets."""
+    keys = [*order, F.col("__pl_u")]
+    placed = df.withColumn("__pl_u", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(placed.drop("__pl_u").withColumn("__pl_m", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("__pl_p", F.shiftright("__pl_m", 33)).withColumn("__pl_i", F.col("__pl_m").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("__pl_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__pl_p").agg(F.count(F.lit(1)).alias("__pl_c"))
+    offsets = sizes.select("__pl_p", F.coalesce(F.sum("__pl_c").over(before), F.lit(0)).alias("__pl_o"))
+    out = placed.join(F.broadcast(offsets), "__pl_p")  # one row a slice
+    return out.withColumn(place, F.col("__pl_o") + F.col("__pl_i")).drop("__pl_p", "__pl_m", "__pl_i", "__pl_o")

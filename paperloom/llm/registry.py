@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, chat, decontaminate, language_id, line_dedup, mtree, pii, secrets, setsketch, sharding
+from paperloom.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, mtree, pii, secrets, setsketch, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": setsketch.op10_near_dedup,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_exact_topk": mtree.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
 }
