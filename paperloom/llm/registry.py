@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, mtree, pii, resample, secrets, setsketch, sharding
+from paperloom.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, mtree, pii, prefix_trie, resample, secrets, setsketch, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": setsketch.op10_near_dedup,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_resample": resample.op13_resample,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_exact_topk": mtree.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_resample": resample.OP13_SQL,
 }
