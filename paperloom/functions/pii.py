@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,23 +55,39 @@ def counts(text: Column, patterns=tuple(PATTERNS)) -> list[Column]:
     return [count(k, p).alias(k.lower()) for k, p in patterns]
 
 
-def _kept(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """(start, end, kind's number, entity) of matches that no better one overlaps, by start."""
-    spans.sort(key=lambda s: s[:3])
-    lost = set()
-    for i, (a, b, k, _) in enumerate(spans):
-        for j in range(i + 1, len(spans)):
-            c, d, o, _ = spans[j]
-            if c >= b:
-                break
-            lost.add(j if (b - a, -k) > (d - c, -o) else i)
-    return [s for i, s in enumerate(spans) if i not in lost]
+def _kept(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint (start, end, kind's number) by start that cover all characters of ``spans``.
+
+    The longest span is kept first, then that of the kind registered first; one that overlaps a kept span is lost, and only
+    kept spans make others lose. Then what is still uncovered of a lost span is kept too, as a part of its kind."""
+    kept: list[tuple[int, int, int]] = []
+    lost = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[2], s[0])):
+        i = bisect_left(kept, s)
+        over = i and kept[i - 1][1] > s[0] or i < len(kept) and kept[i][0] < s[1]
+        lost.append(s) if over else kept.insert(i, s)
+    for a, b, k in lost:
+        i = max(bisect_left(kept, (a, a, k)) - 1, 0)
+        parts = []
+        while a < b:
+            while i < len(kept) and kept[i][1] <= a:
+                i += 1
+            if i < len(kept) and kept[i][0] <= a:
+                a = kept[i][1]
+            else:
+                end = min(b, kept[i][0]) if i < len(kept) else b
+                parts.append((a, end, k))
+                a = end
+        for part in parts:
+            insort(kept, part)
+    return kept
 
 
 def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS)) -> DataFrame:
     """(key, order, kind, entity, start): matches of all patterns, each where it stands (from 1); of overlapping ones the
-    longest stays, then the kind registered first. One pass over the texts where they are; work in a row follows its
-    length and number of matches, since matches of one kind don't overlap."""
+    longest stays, then the kind registered first; of another what sticks out stays as an entity of its kind, so every
+    matched character is part of one. One pass over the texts where they are; work in a row follows its length and number
+    of matches, since matches of one kind don't overlap."""
     found = df.select(key, order, F.col(text).alias("__text"))
     compiled = [(re.compile(p, re.DOTALL | re.MULTILINE | re.IGNORECASE), NEEDS.get(k, "")) for k, p in patterns]
 
@@ -79,16 +96,14 @@ def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "t
             at, out = [], []
             for i in range(b.num_rows):
                 t = b.column(2)[i].as_py() or ""
-                own = [
-                    (m.start() + 1, m.end() + 1, k, m[0]) for k, (p, need) in enumerate(compiled) if need in t for m in p.finditer(t)
-                ]
-                own = _kept(own) if own else own
+                own = [(m.start(), m.end(), k) for k, (p, need) in enumerate(compiled) if need in t for m in p.finditer(t)]
+                own = [(c + 1, k, t[c:d]) for c, d, k in _kept(own)] if own else own
                 at += [i] * len(own)
                 out += own
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array([patterns[s[2]][0] for s in out], pa.string()),
-                 pa.array([s[3] for s in out], pa.string()), pa.array([s[0] for s in out], pa.int32())],
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array([patterns[s[1]][0] for s in out], pa.string()),
+                 pa.array([s[2] for s in out], pa.string()), pa.array([s[0] for s in out], pa.int32())],
                 names=[key, order, "kind", "entity", "start"],
             )
 
@@ -110,21 +125,43 @@ def redacted(kind: Column, n: Column, entity: Column) -> Column:
     return F.format_string("<%s>", kind)
 
 
-def placeholders(found: DataFrame, key: str, order: str = "chunk_index", naming: Naming = counted) -> DataFrame:
-    """(key, kind, entity, placeholder), named by ``naming``; numbers count a document's entities of a kind."""
+def numbers(found: DataFrame, key: str, order: str = "chunk_index", held: DataFrame | None = None) -> DataFrame:
+    """(key, kind, entity, n, new): numbers from 0 that count a document's entities of a kind by first occurrence.
+
+    ``held`` (key, kind, entity, n) are numbers of earlier runs: they stay, and new entities go on from the largest, so runs
+    over parts of a document in their order number as one run over all of it does."""
     first = found.groupBy(key, "kind", "entity").agg(F.min(F.struct(order, "start")).alias("f"))
-    n = F.row_number().over(Window.partitionBy(key, "kind").orderBy("f", "entity")) - 1
-    return first.withColumn("n", n).select(key, "kind", "entity", naming(F.col("kind"), F.col("n"), F.col("entity")).alias("placeholder"))
+    rank = F.row_number().over(Window.partitionBy(key, "kind").orderBy("f", "entity")) - 1
+    if held is None:
+        return first.select(key, "kind", "entity", rank.cast("long").alias("n"), F.lit(True).alias("new"))
+    known = held.select(key, "kind", "entity", F.col("n").cast("long").alias("n"))
+    least = known.groupBy(key, "kind").agg((F.max("n") + 1).alias("__from"))
+    fresh = first.join(known, [key, "kind", "entity"], "left_anti").withColumn("__r", rank).join(least, [key, "kind"], "left")
+    n = (F.col("__r") + F.coalesce("__from", F.lit(0))).cast("long").alias("n")
+    old = first.select(key, "kind", "entity").join(known, [key, "kind", "entity"])
+    return old.withColumn("new", F.lit(False)).unionByName(fresh.select(key, "kind", "entity", n, F.lit(True).alias("new")))
+
+
+def placeholders(found: DataFrame, key: str, order: str = "chunk_index", naming: Naming = counted, held: DataFrame | None = None) -> DataFrame:
+    """(key, kind, entity, placeholder), named by ``naming``; numbers and ``held`` as in numbers()."""
+    named = naming(F.col("kind"), F.col("n"), F.col("entity")).alias("placeholder")
+    return numbers(found, key, order, held).select(key, "kind", "entity", named)
 
 
 def anonymise(
-    df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS), naming: Naming = counted
-) -> DataFrame:
+    df: DataFrame, key: str, order: str = "chunk_index", text: str = "text", patterns=tuple(PATTERNS), naming: Naming = counted,
+    held: DataFrame | None = None,
+) -> DataFrame:
     """The chunks (one row for each key and order) with placeholders where an entity was matched, and ``pii_map``: kind ->
-    entity -> placeholder of the document. Only spans travel; a text meets those of its own chunk."""
+    entity -> placeholder of the document, those of ``held`` (numbers()) included. Only spans travel; a text meets those of
+    its own chunk."""
     found = entities(df, key, order, text, patterns)
-    names = placeholders(found, key, order, naming)
+    names = placeholders(found, key, order, naming, held)
     placed = found.join(names, [key, "kind", "entity"])
+    if held is not None:
+        known = held.select(key, "kind", "entity", naming(F.col("kind"), F.col("n"), F.col("entity")).alias("placeholder"))
+        known = known.join(df.select(key), key, "left_semi")
+        names = names.unionByName(known).distinct()
     item = F.struct("start", F.char_length("entity").alias("n"), "placeholder")
     own = placed.groupBy(key, order).agg(F.array_sort(F.collect_list(item)).alias("__m"))
     kinds = names.groupBy(key, "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", "placeholder")))).alias("m"))

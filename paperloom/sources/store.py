@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import pii
 
 
 class FileStore:
@@ -48,3 +51,28 @@ class FileStore:
 
     def url(self, name: str) -> str:
         return f"{self.base_url}/{name}"
+
+
+class PseudonymStore:
+    """Numbers of entities (key, kind, entity, n), kept under ``path`` so that later runs go on with them.
+
+    A run adds a folder of its own, named by ``run``; run again, it replaces that folder and nothing else."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long") -> None:
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.schema = f"`{key}` {kind}, kind string, entity string, n long, run string"
+
+    def held(self, without: str | None = None) -> DataFrame:
+        """All numbers, but for those that the run ``without`` added."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows if without is None else rows.where(F.col("run") != without)
+
+    def anonymise(self, df: DataFrame, run: str, order: str = "chunk_index", text: str = "text", **how) -> DataFrame:
+        """pii.anonymise() of a document's next chunks: entities of earlier runs keep their numbers, new ones are added."""
+        found = pii.entities(df, self.key, order, text, how.get("patterns", tuple(pii.PATTERNS)))
+        fresh = pii.numbers(found, self.key, order, self.held(without=run)).where("new").drop("new")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/run={run}")
+        return pii.anonymise(df, self.key, order, text, held=self.held(), **how)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import clean
 from paperloom.operators.context import mentions_model, notifications
+from paperloom.sources.store import FileStore
 
 EVENT = "channel string, event string, message string, payload string, ts timestamp"
 
@@ -42,25 +43,59 @@ def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minute
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def chat_batches(answer: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A batch handler: messages are stored, those that mention the model are answered, answers stored too."""
+Step = Callable[[DataFrame, int], None]
 
-    def handle(batch: DataFrame, _: int) -> None:
-        messages = batch.withColumn("content", clean(F.col("content")))
-        store(messages)
-        store(answer(messages.where(mentions_model(F.col("content")))))
+
+def in_steps(ledger: FileStore, *steps: tuple[str, Step]) -> Step:
+    """A batch handler that takes named steps one after the other, each once for a batch number.
+
+    A step that is done is noted in ``ledger``, a folder that lives as long as the stream's checkpoint. A batch that comes
+    again after a failure goes on with the first step not noted: of the failed step alone its own work may be seen twice,
+    and a sink that replaces what the batch wrote before (table_sink()) leaves no trace of that."""
+
+    def handle(batch: DataFrame, n: int) -> None:
+        held = batch.persist()
+        try:
+            for name, step in steps:
+                note = f"{n:012d}-{name}"
+                if not ledger.exists(note):
+                    step(held, n)
+                    ledger.save(note, b"")
+        finally:
+            held.unpersist()
 
     return handle
 
 
-def kanban_batches(parties: DataFrame, append: Callable[[DataFrame], None], notify: Callable[[DataFrame], None]):
-    """A batch handler: status changes are appended to the history and their notifications handed on."""
+def table_sink(path: str) -> Step:
+    """A step that writes a batch as Parquet in a folder of its own, which it replaces when the batch comes again."""
 
-    def handle(batch: DataFrame, _: int) -> None:
-        append(batch)
-        notify(notifications(batch, parties))
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
 
-    return handle
+    return write
+
+
+def chat_batches(answer: Callable[[DataFrame], DataFrame], store: Step, store_answers: Step, ledger: FileStore) -> Step:
+    """A batch handler: messages are stored, those that mention the model are answered, answers stored too, each once."""
+
+    def cleaned(batch: DataFrame) -> DataFrame:
+        return batch.withColumn("content", clean(F.col("content")))
+
+    def answers(batch: DataFrame, n: int) -> None:
+        store_answers(answer(cleaned(batch).where(mentions_model(F.col("content")))), n)
+
+    return in_steps(ledger, ("messages", lambda batch, n: store(cleaned(batch), n)), ("answers", answers))
+
+
+def kanban_batches(parties: DataFrame, auditors: DataFrame, append: Step, notify: Step, ledger: FileStore) -> Step:
+    """A batch handler: status changes (document_id, status) are appended to the history, then their notifications, by the
+    rules of notifications(), handed on; each once for a batch."""
+
+    def told(batch: DataFrame, n: int) -> None:
+        notify(notifications(batch, parties, auditors), n)
+
+    return in_steps(ledger, ("history", append), ("notifications", told))
 
 
 def state_machine(events: DataFrame, key: str, state: str, time: str, allowed: list[tuple[str, str]]) -> DataFrame:
@@ -87,3 +122,73 @@ def state_machine(events: DataFrame, key: str, state: str, time: str, allowed: l
     return events.groupBy(key).applyInPandasWithState(
         update, f"{key} {kind}, {state} string, valid boolean", "last string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SUPERVISED = "state string, at timestamp, valid boolean, timed_out boolean"
+
+
+def supervised(
+    events: DataFrame, key: str, state: str, time: str, allowed: list[tuple[str, str]], busy: str = "PROCESSING",
+    failed: str = "FAILED", stale_ms: int = 1_800_000, keep_ms: int = 86_400_000, late: str = "1 minute",
+) -> DataFrame:
+    """(key, state, at, valid, timed_out) of each change of a stream, with an end to what is kept of a key.
+
+    A key that is ``busy`` and says nothing for ``stale_ms`` of event time becomes ``failed`` by a timer (timed_out); a key
+    that says nothing for ``keep_ms`` more is forgotten, so state follows the keys that are alive, not all ever seen. A
+    forgotten key begins anew: its next change is valid. Changes of a key in one trigger are put in order of time; those
+    older than what the key last said are valid by the order in which they come. Rows without key, state or time go."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # timers need it
+    name, steps = key, set(allowed)
+
+    class Supervisor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "state string, ms bigint")
+
+        def out(self, k: tuple, states: list[str], ms: list[int], valid: list[bool], timed_out: bool) -> pd.DataFrame:
+            at = pd.to_datetime(pd.Series(ms, dtype="int64"), unit="ms")
+            return pd.DataFrame({name: [k[0]] * len(states), "state": states, "at": at, "valid": valid, "timed_out": timed_out})
+
+        def keep(self, now: str, ms: int, due: int) -> None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.last.update((now, ms))
+            self.handle.registerTimer(due)
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+            pdf = pd.concat(list(rows)).sort_values("ms", kind="stable")
+            states, ms = pdf["said"].tolist(), [int(x) for x in pdf["ms"]]
+            last = self.last.get() if self.last.exists() else None
+            # timers of this trigger come after its rows: what was due before the first of them is made up for here
+            if last and last[0] == busy and ms[0] >= last[1] + stale_ms:
+                last = (failed, last[1] + stale_ms)
+                yield self.out(key, [failed], [last[1]], [(busy, failed) in steps], True)
+            if last and last[0] != busy and ms[0] >= last[1] + keep_ms:
+                last = None
+            before = [last[0] if last else None, *states[:-1]]
+            at = max(ms[-1], last[1] if last else ms[-1])
+            self.keep(states[-1], at, at + (stale_ms if states[-1] == busy else keep_ms))
+            yield self.out(key, states, ms, [a is None or (a, b) in steps for a, b in zip(before, states, strict=True)], False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            now, _ = self.last.get()
+            due = expiredTimerInfo.getExpiryTimeInMs()
+            if now == busy:
+                self.keep(failed, due, due + keep_ms)
+                yield self.out(key, [failed], [due], [(busy, failed) in steps], True)
+            else:
+                self.last.clear()
+
+        def close(self) -> None:
+            pass
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.where(F.col(key).isNotNull() & F.col(state).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late)
+    rows = rows.select(F.col(key), F.col(state).alias("said"), F.unix_millis(time).alias("ms"), F.col(time))
+    return rows.groupBy(key).transformWithStateInPandas(Supervisor(), f"`{key}` {kind}, {SUPERVISED}", "append", "eventTime")
