@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators import scan
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row of each key: the last by ``order``. A partial maximum in each task, no sort of the groups."""
+    """One row of each key: the last by ``order``. Tasks keep the last of their own rows of a key before anything travels."""
     rest = [c for c in df.columns if c not in keys]
     top = F.max_by(F.struct(*rest), F.struct(*order)).alias("__top")
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"__top.{c}").alias(c) for c in rest]).select(*df.columns)
@@ -32,8 +34,18 @@ def last_n_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     return kept.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def release_versions(releases: DataFrame, key: str, order: Sequence[str], column: str = "version") -> DataFrame:
-    """Back-filled versions 1.0.n, n from 0 in each key's order."""
+def _spread(df: DataFrame, keys: Sequence[str], spread: bool | None) -> bool:
+    """Whether to scan in slices: as asked, or else if some key is more than one task should order."""
+    return scan.crowded(df, keys) if spread is None else spread
+
+
+def release_versions(releases: DataFrame, key: str, order: Sequence[str], column: str = "version", spread: bool | None = None) -> DataFrame:
+    """Back-filled versions 1.0.n, n from 0 in each key's order; ``spread`` shares a key among tasks (scan.py; None: if one
+    has more than scan.CROWD rows)."""
+    if _spread(releases, [key], spread):
+        rows = scan.slices(releases, [key], [F.col(c).asc() for c in order])
+        out = scan.scan(rows, [key], {"__n": ("count", None, False)})
+        return scan.unsliced(out.withColumn(column, F.concat(F.lit("1.0."), F.col("__n").cast("string"))).drop("__n"))
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     return releases.withColumn(column, F.concat(F.lit("1.0."), n.cast("string")))
 
@@ -79,19 +91,28 @@ def mirrored_status(histories: DataFrame, project_documents: DataFrame, document
     return out.withColumn("status", F.coalesce("__s", "status")).drop("__p", "__s")
 
 
-def lead_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str) -> DataFrame:
-    """Open ends end where the next row starts."""
+def lead_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, spread: bool | None = None) -> DataFrame:
+    """Open ends end where the next row starts; ``spread`` as in release_versions()."""
+    if _spread(df, keys, spread):
+        rows = scan.slices(df, keys, [F.col(c).desc_nulls_last() for c in order])
+        out = scan.scan(rows, keys, {"__next": ("before", F.col(start), False)})
+        return scan.unsliced(out.withColumn(end, F.coalesce(end, "__next")).drop("__next"))
     nxt = F.lead(start).over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(end, F.coalesce(end, nxt))
 
 
-def islands(df: DataFrame, keys: Sequence[str], low: str, high: str, gap: float) -> DataFrame:
-    """Intervals merged where the next begins at most ``gap`` after all before it end: keys, low, high, n."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
-    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(low) - reach > gap), 1).otherwise(0)
-    marked = df.withColumn("__new", new)
-    marked = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def islands(df: DataFrame, keys: Sequence[str], low: str, high: str, gap: float, spread: bool | None = None) -> DataFrame:
+    """Intervals merged where the next begins at most ``gap`` after all before it end: keys, low, high, n; ``spread`` as in
+    release_versions()."""
+    new = F.when(F.col("__reach").isNull() | (F.col(low) - F.col("__reach") > gap), 1).otherwise(0)
+    if _spread(df, keys, spread):
+        rows = scan.slices(df, keys, [F.col(low).asc(), F.col(high).asc()])
+        marked = scan.scan(rows, keys, {"__reach": ("max", F.col(high), False)})
+        marked = scan.scan(marked.withColumn("__new", new), keys, {"__i": ("sum", F.col("__new"), True)})
+    else:
+        w = Window.partitionBy(*keys).orderBy(low, high)
+        marked = df.withColumn("__reach", F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__new", new)
+        marked = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = marked.groupBy(*keys, "__i").agg(F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("n"))
     return out.drop("__i")
 

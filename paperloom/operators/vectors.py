@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators import scan
+
 MARGIN = 2
 BLOCK = 1024  # chunks, and queries, of one filter value that meet in one task, about
 
@@ -90,22 +92,33 @@ def rect_structs(rects: Column) -> Column:
     )
 
 
-def asof_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+def asof_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id", spread: bool | None = None) -> DataFrame:
     """Each chunk (key, start, length) with the last section (key, ord, start, section) that starts at or before the
     chunk's middle, start + length // 2; sections count up to the first whose start lies before its forerunner's.
 
-    One sort of chunks and sections together; no pairs are formed."""
+    One sort of chunks and sections together; no pairs are formed. ``spread`` shares a key among tasks (scan.py; None: if
+    one has more than scan.CROWD chunks)."""
+    spread = scan.crowded(chunks, [key]) if spread is None else spread
     w = Window.partitionBy(key).orderBy("ord")
-    drop = F.when(F.col("start") < F.lag("start").over(w), 1).otherwise(0)
-    marked = sections.withColumn("__bad", drop)
-    fine = marked.withColumn("__bad", F.sum("__bad").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__bad = 0")
+    drop = F.when(F.col("start") < F.col("__before"), 1).otherwise(0)
+    if spread:
+        rows = scan.scan(scan.slices(sections, [key], [F.col("ord").asc()]), [key], {"__before": ("before", F.col("start"), False)})
+        marked = scan.scan(rows.withColumn("__drop", drop), [key], {"__bad": ("sum", F.col("__drop"), True)})
+    else:
+        marked = sections.withColumn("__before", F.lag("start").over(w)).withColumn("__drop", drop)
+        marked = marked.withColumn("__bad", F.sum("__drop").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fine = marked.where("__bad = 0")
     names = [c for c in chunks.columns]
     mid = F.col("start") + F.floor(F.col("length") / 2)
     left = chunks.select(key, mid.alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("int").alias("__ord"),
                          F.struct(*names).alias("__c"), F.lit(None).cast("string").alias("__s"))
     right = fine.select(key, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__side"), F.col("ord").cast("int").alias("__ord"),
                         F.lit(None).cast(left.schema["__c"].dataType).alias("__c"), F.col("section").alias("__s"))
-    order = Window.partitionBy(key).orderBy("__at", "__side", F.col("__ord").asc_nulls_last())
-    seen = order.rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("section", F.last("__s", ignorenulls=True).over(seen))
+    both = left.unionByName(right).withColumnRenamed("__at", "__pos")
+    order = [F.col("__pos").asc(), F.col("__side").asc(), F.col("__ord").asc_nulls_last()]
+    if spread:
+        both = scan.scan(scan.slices(both, [key], order), [key], {"section": ("last", F.col("__s"), True)})
+    else:
+        seen = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("section", F.last("__s", ignorenulls=True).over(seen))
     return both.where("__side = 1").select(*[F.col(f"__c.{c}").alias(c) for c in names], "section")

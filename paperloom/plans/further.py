@@ -3,10 +3,12 @@ SQL. Inputs are the driver's tables, or texts made of their numbers."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import pii
-from paperloom.plans.queries import query, t
+from paperloom.operators import latest, vectors
+from paperloom.plans.queries import ORACLE_SQL, query, t
 
 # One text a customer: an entity of each kind, made of the customer's number, and near misses.
 _NAMES = [name.replace("'", "''") for name in pii.INSTITUTIONS]
@@ -69,3 +71,48 @@ def pii_overlaps(spark, d):
     out = pii.anonymise(rows, "c_custkey")
     readable = F.col("text").rlike(r"\d\d:\d\d|\d{4}-")
     return out.select("c_custkey", pii.restore(F.col("text"), F.col("pii_map")).alias("text"), readable.alias("readable"))
+
+
+# One key of a third of all rows: the events of every third user are those of one.
+_HOT_EVENTS = "with events as (select event_id, ts, event_type, case when user_id % 3 = 0 then 0 else user_id end as user_id from events)"
+
+
+def _hot_events(spark, d):
+    return t(spark, d, "events").withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
+def _under_hot_key(name: str) -> str:
+    """The SQL of a query over events, over those with a hot key."""
+    sql = ORACLE_SQL[name].strip()
+    return f"{_HOT_EVENTS}, {sql[5:]}" if sql.startswith("with ") else f"{_HOT_EVENTS} {sql}"
+
+
+@query(_under_hot_key("asof_section"))
+def asof_section_hot(spark, d):
+    rows = _hot_events(spark, d).withColumn("start", F.unix_seconds(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("start", "event_id")
+    marks = rows.where("event_type = 'purchase'").withColumn("ord", F.row_number().over(w))
+    marks = marks.select("user_id", "ord", "start", F.col("event_id").cast("string").alias("section"))
+    chunks = rows.where("event_type <> 'purchase'").select("user_id", "event_id", "start", F.lit(100).alias("length"))
+    return vectors.asof_sections(chunks, marks, "user_id", spread=True).select("user_id", "event_id", "section")
+
+
+@query(_under_hot_key("lead_fill"))
+def lead_fill_hot(spark, d):
+    ends = F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("interval 1 hour")).alias("ends")
+    rows = _hot_events(spark, d).select("user_id", "event_id", "ts", ends)
+    return latest.lead_fill(rows, ["user_id"], ["ts", "event_id"], "ts", "ends", spread=True).select("event_id", "ends")
+
+
+@query(_under_hot_key("islands"))
+def islands_hot(spark, d):
+    x0 = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = _hot_events(spark, d).select("user_id", x0.alias("x0"), (x0 + 600).alias("x1"))
+    return latest.islands(rows, ["user_id"], "x0", "x1", 3600, spread=True)
+
+
+@query(f"""
+{_HOT_EVENTS} select event_id, '1.0.' || (row_number() over (partition by user_id order by ts, event_id) - 1) as version from events""")
+def versions_hot(spark, d):
+    rows = _hot_events(spark, d).select("event_id", "user_id", "ts")
+    return latest.release_versions(rows, "user_id", ["ts", "event_id"], spread=True).select("event_id", "version")
