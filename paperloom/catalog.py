@@ -41,6 +41,21 @@ class Catalog:
         rows.write.mode("error").parquet(path)
         return path
 
+    def register(self, *names: str, prefix: str = "", suffix: str = "_all") -> None:
+        """Views of tables for SQL text: ``prefix`` and name without deleted rows, with ``suffix`` behind it all rows.
+
+        What a query does with a view, by whatever alias, in joins with itself or in subqueries, it does with live rows;
+        deleted ones take the other name. The predicate reaches the scan as in table()."""
+        for name in names:
+            self.table(name).createOrReplaceTempView(f"{prefix}{name}")
+            self.table(name, include_deleted=True).createOrReplaceTempView(f"{prefix}{name}{suffix}")
+
+    def sql(self, text: str, *names: str, include_deleted: bool = False) -> DataFrame:
+        """A query in SQL over the tables ``names``; with ``include_deleted`` the same text sees deleted rows too.
+
+        The text names them in braces, as ``from {documents} d``: no view is left behind or replaced."""
+        return self.spark.sql(text, **{name: self.table(name, include_deleted) for name in names})
+
 
 def active(df: DataFrame) -> DataFrame:
     return df.where(F.col("deleted_at").isNull()) if "deleted_at" in df.columns else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -91,6 +92,53 @@ def search_entity(df: DataFrame, entity: str, query: str | None, config: str | N
     return search(df, columns, query, config or own)
 
 
+# What a hit counts by the weight of its column.
+WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+# The weight of an entity's columns where it is not D.
+WEIGHTED = {"users": "A"}
+
+
+def positions(columns: dict[str, str], config: str = "simple") -> Column:
+    """Words (or stems) of the columns in order, each with what its column's weight counts: its place in the array is its
+    position in the row. Stop words keep their place without a term."""
+
+    def of(column: str, weight: str) -> Column:
+        text = F.coalesce(F.col(column), F.lit(""))
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "") if config == "simple" else portuguese_words(text)
+        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(WEIGHTS[weight]).alias("weight")))
+
+    return F.concat(*[of(c, w) for c, w in columns.items()])
+
+
+def _hits(words: Column, term: str) -> Column:
+    """The weights of a prefix term's hits, by position, each over the square of its number among them, summed."""
+    start = F.struct(F.lit(0).alias("j"), F.lit(0.0).alias("s"))
+    step = lambda acc, w: F.when(w["term"].startswith(term), F.struct((acc["j"] + 1).alias("j"), (acc["s"] + w["weight"] / ((acc["j"] + 1) * (acc["j"] + 1))).alias("s"))).otherwise(acc)  # noqa: E731, E501
+    return F.aggregate(words, start, step, lambda acc: acc["s"])
+
+
+def ranked(df: DataFrame, columns: dict[str, str], query: str | None, config: str = "simple") -> DataFrame:
+    """search() over ``columns`` (name -> weight A to D), with ``rank`` by weights and positions.
+
+    A term's hits count their column's weight, the j-th of them by position only a j * j-th part of it, so a first hit weighs
+    more than all that repeat it; the rank is the mean over the query's terms of that sum over its limit, pi * pi / 6. It is
+    meant to come after the listing's own key. Work in a row follows its words times the query's terms."""
+    if not terms(query):
+        return df.withColumn("rank", F.lit(0.0))
+    wanted = terms_in(query, config)
+    own = df.withColumn("__w", F.explode(F.array(positions(columns, config))))
+    sums = own.withColumn("__s", F.explode(F.array(F.array(*[_hits(F.col("__w"), t) for t in wanted])))) if wanted else own.where(F.lit(False)).withColumn("__s", F.array(F.lit(0.0)))
+    sums = sums.where(F.forall("__s", lambda s: s > 0))
+    total = F.aggregate("__s", F.lit(0.0), lambda a, s: a + s)
+    return sums.withColumn("rank", total / (max(1, len(wanted)) * math.pi**2 / 6)).drop("__w", "__s")
+
+
+def ranked_entity(df: DataFrame, entity: str, query: str | None, config: str | None = None) -> DataFrame:
+    """ranked() in the entity's own columns, weights and configuration."""
+    own, columns = CONFIGS[entity]
+    return ranked(df, dict.fromkeys(columns, WEIGHTED.get(entity, "D")), query, config or own)
+
+
 def postings(df: DataFrame, key: str, columns: list[str], config: str = "simple") -> DataFrame:
     """(term, key): an inverted index; a prefix is a range of terms."""
     return df.select(F.explode(tokens_of([F.col(c) for c in columns], config)).alias("term"), key)
@@ -220,3 +268,14 @@ def portuguese_lexemes(text):
         return list(dict.fromkeys(held.setdefault(w, stem(w)) for w in words))
 
     return text.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def portuguese_words(text):
+    """Stems of all words in order; a stop word is an empty one."""
+    held: dict[str, str] = {}
+
+    def one(t):
+        return [held.setdefault(w, "" if w in STOP_WORDS else stem(w)) for w in re.findall(r"[^\W_]+", (t or "").lower())]
+
+    return text.map(one)

@@ -3,12 +3,17 @@ SQL. Inputs are the driver's tables, or texts made of their numbers."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import pii
-from paperloom.operators import latest, vectors
+from paperloom.operators import evaluate, latest, search, vectors
 from paperloom.plans.queries import ORACLE_SQL, query, t
+from paperloom.plans.review import Domain, domain_query
+from paperloom.sources.segments import SegmentedIndex
+from paperloom.stored import shared_dir
 
 # One text a customer: an entity of each kind, made of the customer's number, and near misses.
 _NAMES = [name.replace("'", "''") for name in pii.INSTITUTIONS]
@@ -116,3 +121,103 @@ def islands_hot(spark, d):
 def versions_hot(spark, d):
     rows = _hot_events(spark, d).select("event_id", "user_id", "ts")
     return latest.release_versions(rows, "user_id", ["ts", "event_id"], spread=True).select("event_id", "version")
+
+
+_WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_WEIGHTED = (
+    f"list_concat(list_transform({_WORDS_SQL.format('coalesce(source, chr(0))')}, lambda x: {{'t': x, 'w': 1.0::double}}), "
+    f"list_transform({_WORDS_SQL.format('coalesce(text, chr(0))')}, lambda x: {{'t': x, 'w': 0.1::double}}))"
+)
+
+
+def _hits_sql(term: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_filter(ws, lambda x: starts_with(x.t, '{term}')), lambda x, i: x.w / (i * i))), 0)"
+
+
+_RANKED = f"""
+select doc_id, lang, round(({_hits_sql("src1")} + {_hits_sql("th")}) / (2 * pi() * pi() / 6), 9) as rank
+from (select doc_id, lang, {_WEIGHTED} as ws from documents) where {_hits_sql("src1")} > 0 and {_hits_sql("th")} > 0"""
+
+
+@query(_RANKED)
+def weighted_rank(spark, d):
+    """Documents by source (weight A) and text (weight D), with their ranks."""
+    rows = search.ranked(t(spark, d, "documents").select("doc_id", "lang", "source", "text"), {"source": "A", "text": "D"}, "src1 th")
+    return rows.select("doc_id", "lang", F.round("rank", 9).alias("rank"))
+
+
+@query(f"select doc_id, lang, rank from ({_RANKED}) order by lang desc, rank desc, doc_id limit 40")
+def weighted_listing(spark, d):
+    """The listing's own key first, rank among equals."""
+    return weighted_rank(spark, d).orderBy(F.desc("lang"), F.desc("rank"), "doc_id").limit(40)
+
+
+_CHANGED = """select doc_id, case when doc_id % 5 = 0 then 'renewed ' || source else text end as text from documents where doc_id % 7 <> 3"""
+_CHANGED_WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+
+def _segmented(spark, d) -> SegmentedIndex:
+    """The words of all documents; then a fifth are changed, then a seventh deleted: three updates."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source")
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}", "doc_id")
+    index.update(search.postings(docs, "doc_id", ["text"]))
+    new = docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("renewed "), "source"))
+    index.update(search.postings(new, "doc_id", ["text"]))
+    index.update(search.postings(new, "doc_id", ["text"]).where("false"), docs.where("doc_id % 7 = 3"))
+    return index
+
+
+@query(f"""
+select doc_id, len({_CHANGED_WORDS}) as n from ({_CHANGED}) where len({_CHANGED_WORDS}) > 0""")
+def segment_postings(spark, d):
+    """How many terms an updated index holds of each document: as many as one that is built anew."""
+    index = _segmented(spark, d)
+    index.merge(fan=2)
+    return index.postings().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+select doc_id from (select doc_id, {_CHANGED_WORDS} as w from ({_CHANGED}))
+where len(list_filter(w, lambda x: starts_with(x, 'renew'))) > 0 and len(list_filter(w, lambda x: starts_with(x, 'src1'))) > 0""")
+def segment_search(spark, d):
+    return _segmented(spark, d).search("renew src1")
+
+
+@domain_query("""
+select a.id, count(*) as n from documents a join documents b on a.created_by = b.created_by and a.id <> b.id
+where exists (select 1 from users u where u.id = a.created_by) group by a.id""")
+def governed_sql(spark, d):
+    """SQL text with a self join and a subquery: no deleted row on either side."""
+    text = """select a.id, count(*) as n from {documents} a join {documents} b on a.created_by = b.created_by and a.id <> b.id
+              where exists (select 1 from {users} u where u.id = a.created_by) group by a.id"""
+    return Domain(spark, d).sql(text, "documents", "users")
+
+
+@domain_query("""
+select (select count(*) from documents) as live, (select count(*) from documents_all) as every,
+       (select count(*) from documents_all a where not exists (select 1 from documents b where a.id = b.id)) as gone""")
+def governed_views(spark, d):
+    """Views for SQL, live and all."""
+    Domain(spark, d).register("documents", prefix="review_")
+    return spark.sql("""select (select count(*) from review_documents) as live, (select count(*) from review_documents_all) as every,
+      (select count(*) from review_documents_all a where not exists (select 1 from review_documents b where a.id = b.id)) as gone""")
+
+
+def _every_hundredth_fails(payloads: list[dict]) -> list[dict]:
+    """A model that can't bear some payloads, and judges by the length of the others."""
+    if any(int(p["branch_id"]) % 97 == 5 for p in payloads):
+        raise ValueError("unreadable")
+    return [{"feedback": p["requirement"], "fulfilled": len(p["context"]) % 2 == 0, "score": len(p["context"]) % 11, "cited": []} for p in payloads]
+
+
+@query("""
+select o_orderkey::varchar as branch_id, case when o_orderkey % 97 = 5 then 'not evaluated: unreadable' else o_orderpriority end as feedback,
+  case when o_orderkey % 97 <> 5 then length(o_clerk) % 2 = 0 end as fulfilled, case when o_orderkey % 97 <> 5 then (length(o_clerk) % 11)::int end as score
+from (select *, o_orderdate::varchar || o_orderstatus as o_clerk from orders)""")
+def evaluation_in_parts(spark, d):
+    """A verdict for every payload but those that fail by themselves."""
+    rows = t(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("branch_id"), F.col("o_orderpriority").alias("requirement"),
+        F.concat(F.col("o_orderdate").cast("string"), "o_orderstatus").alias("context"),
+    )
+    return evaluate.evaluate(rows, _every_hundredth_fails).select("branch_id", "feedback", "fulfilled", "score")

@@ -34,6 +34,14 @@ class FileStore:
             out.close()
         return self.url(name)
 
+    def load(self, name: str) -> bytes:
+        path = self._path(name)
+        stream = self._fs(path).open(path)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def exists(self, name: str) -> bool:
         path = self._path(name)
         return self._fs(path).exists(path)
