@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, least_hashes, read
+from paperloom.llm.common import bounded_batches, cut, least_hashes, read
 
 ROLES = ["system", "user", "assistant"]
 STRETCH = 256  # lines in a stretch, up to its last row's
 GROUP = 256  # matrices that are chained into one, level by level, until a transcript has no more of them
+SLICE_ROWS = 64  # rows of a batch that are Python objects at once
 TRAIN_ROWS = 4000  # labelled rows that training takes; the bound of the sample
 TRAIN_TURNS = 256  # turns of a transcript that are drawn together
 TRAIN_CHARS = 50_000  # longer rows are not drawn into the sample (they are formatted whole like all others)
@@ -208,7 +209,9 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
     Rows are numbered by counts of lines in range-partitioned slices and running offsets, and dealt by transcript and
     stretch of STRETCH lines, whatever the turn numbers are, so a transcript of any length is shared by many tasks; between
     the passes only a matrix of three by three for each stretch travels, and GROUP of them are chained into one, level by
-    level, so no task meets all of a transcript's. Memory: the rows of one stretch, which may end in a longer row."""
+    level, so no task meets all of a transcript's. Memory: an Arrow batch of bounded rows, of which SLICE_ROWS at a time are
+    Python objects, and the rows of one stretch, which may end in a longer row."""
+    bounded_batches(turns.sparkSession)
     k = len(ROLES)
     shared = turns.sparkSession.sparkContext.broadcast(hmm)
     dealt = numbered(turns)
@@ -218,13 +221,14 @@ def format_chats(turns: DataFrame, hmm: Hmm) -> DataFrame:
         """Consecutive rows of equal keys, across batches."""
         key, held = None, []
         for b in batches:
-            for r in b.to_pylist():
-                now = tuple(r[x] for x in keys)
-                if held and now != key:
-                    yield key, held
-                    held = []
-                key = now
-                held.append(r)
+            for i in range(0, b.num_rows, SLICE_ROWS):
+                for r in b.slice(i, SLICE_ROWS).to_pylist():
+                    now = tuple(r[x] for x in keys)
+                    if held and now != key:
+                        yield key, held
+                        held = []
+                    key = now
+                    held.append(r)
         if held:
             yield key, held
 

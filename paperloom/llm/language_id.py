@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import arrow_map, read, released, strings
 
 TRAIN_ROWS = 6000  # labelled rows that training takes in all; the bound of the sample
-MIN_EACH = 20  # labelled rows of a language that training takes where TRAIN_ROWS would leave it fewer
 DICE = 1 << 40  # values of the hash that draws the sample: a share of the largest tables is still told apart from none
 TRAIN_CHARS = 50_000  # longer texts are not drawn into the sample (they are predicted whole like all others)
-MOST_LANGS = 200  # languages that are learnt: those with the most labelled rows
 BUCKETS_LOG2 = 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)  # characters of a subword
@@ -150,16 +148,18 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from a sample of ``train_rows`` labelled rows at most (MIN_EACH of a language, if more), alike many from
-    each of the MOST_LANGS languages with the most rows: those with the least hashes of doc_id and text among rows whose
-    crc32(doc_id as text) mod 4 is not 2 and whose text has at most TRAIN_CHARS code points. Rows of equal id and text
-    count once. Rows, languages and lengths bound what the driver collects, whatever ids repeat or are null."""
+    """A model from a sample of ``train_rows`` labelled rows at most, alike many from each language: those with the least
+    hashes of doc_id and text among rows whose crc32(doc_id as text) mod 4 is not 2 and whose text has at most TRAIN_CHARS
+    code points. Rows of equal id and text count once, in the sample and in the numbers that set its shares. All languages
+    are learnt, one row each at least; were there more of them than ``train_rows``, those with the most rows. Rows and
+    lengths bound what the driver collects, whatever ids repeat or are null."""
     own = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & ~held_out())
-    by = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    counts = {r["lang"]: r["n"] for r in by.collect()}
+    n = F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02)  # the same however rows are dealt
+    by = own.groupBy("lang").agg(n.alias("n")).orderBy(F.desc("n"), "lang").limit(train_rows)
+    counts = {r["lang"]: max(1, r["n"]) for r in by.collect()}
     if not counts:
         return Model([], np.zeros((1 << BUCKETS_LOG2, 0), np.float32), np.zeros(0))
-    each = max(MIN_EACH, train_rows // len(counts))
+    each = max(1, train_rows // len(counts))
     most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * each / n) * DICE))])
     dice = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(DICE))
     drawn = own.select("doc_id", "text", "lang", dice.alias("dice")).where(F.col("dice") < F.element_at(most, F.col("lang")))

@@ -38,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile("[0-9]")
 NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20-]*[0-9]")
+PIECE = re.compile(r"[0-9][0-9-]*")
+MOST_DIGITS = 19  # of a number of any kind
 CONTEXT = {
     1: ("mail", "email", "e-mail", "contact"), 2: ("ip", "host", "server", "addr", "address"),
     3: ("card", "visa", "credit", "mastercard", "carte", "tarjeta", "karte"),
@@ -97,10 +99,28 @@ class Node:
     text: str
     label: int | None  # observed, or None
     key: str
+    clear: bool = False  # observed in a stretch that the base rules refuse as a whole
+
+
+def cards_in(text: str) -> list[tuple[int, int]]:
+    """Card numbers side by side in a stretch of more digits than one has: pieces between blanks that are one by themselves,
+    and four pieces of four digits that are one together."""
+    pieces = [(m.start(), m.end(), _digits(m[0])) for m in PIECE.finditer(text)]
+    out, i = [], 0
+    while i < len(pieces):
+        four = pieces[i : i + 4]
+        if 13 <= len(pieces[i][2]) <= 19 and luhn(pieces[i][2]):
+            out.append(pieces[i][:2])
+        elif [len(p[2]) for p in four] == [4, 4, 4, 4] and luhn("".join(p[2] for p in four)):
+            out.append((four[0][0], four[3][1]))
+            i += 3
+        i += 1
+    return out
 
 
 def candidates(text: str, base: list[Span]) -> list[Node]:
-    """Base spans as observed nodes, and other stretches of numbers or around an at sign as open ones, in order."""
+    """Base spans, and card numbers side by side, as observed nodes, and other stretches of numbers or around an at sign as
+    open ones, in order."""
     held = sorted(base, key=lambda s: (s[1], -s[2]))
     nodes, end = [], -1
     for kind, a, b, _, _ in held:
@@ -116,7 +136,11 @@ def candidates(text: str, base: list[Span]) -> list[Node]:
     free.append((at, len(text)))
     for a, b in free:
         numbers = [m for m in NUMBER.finditer(text, a, b) if sum("0" <= c <= "9" for c in m[0]) >= 4]
-        nodes += [Node(*m.span(), m[0], None, "") for m in numbers]
+        for m in numbers:
+            parts = cards_in(m[0]) if len(_digits(m[0])) > MOST_DIGITS else []
+            nodes += [Node(m.start() + s, m.start() + e, m[0][s:e], LABELS.index("card"), "", True) for s, e in parts]
+            if not parts:
+                nodes.append(Node(*m.span(), m[0], None, ""))
         starts, ends, last = [m.start() for m in numbers], [m.end() for m in numbers], a
         x = text.find("@", a, b)
         while x >= 0:
@@ -303,9 +327,10 @@ def finder(crf: Crf):
         if "@" not in text and not DIGIT.search(text):
             return base
         nodes = candidates(text, base)
+        out = base + [(LABELS[n.label], n.start, n.end, False, 1.0) for n in nodes if n.clear]
         if all(n.label is not None for n in nodes):
-            return base
-        belief, out = crf.marginals(text, nodes), list(base)
+            return out
+        belief = crf.marginals(text, nodes)
         seen = {(n.label, n.key) for n in nodes if n.label is not None}
         seen |= {(n.label, f) for n in nodes if n.label is not None for f in forms(n.key)}
         for n, p in zip(nodes, belief, strict=True):
@@ -331,7 +356,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Crf:
 def scan_pii(docs: DataFrame, crf: Crf, name: str = "spans") -> DataFrame:
     """Add ``name``: the personal data in each whole text, an array of (kind, start, end, base, score) by start, then kind.
 
-    Base spans follow the fixed rules; others are those that the field adds outside them. A null or empty text has no
+    Base spans follow the fixed rules; others are card numbers side by side, and those that the field adds. A null or empty text has no
     spans; repeated rows get equal results; an empty table stays empty; a column called ``name`` is replaced, others
     stay. The field (a few hundred numbers) goes with the tasks; texts stay where they are, without a shuffle; work and
     memory follow a text's length and its number of candidates, since each candidate has three skip edges at most."""

@@ -35,6 +35,8 @@ SENSITIVE_PAIRS = {
     ("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("encryption", "key"), ("signing", "key"),
     ("auth", "key"), ("account", "key"), ("master", "key"),
 }
+ENDINGS = ("password", "passwd", "pass", "pwd", "secret", "token")  # of a word that runs names together
+NO_ENDINGS = {"compass", "bypass", "trespass", "surpass", "overpass", "underpass", "encompass"}
 PLACEHOLDERS = {"password", "changeme", "example", "placeholder", "undefined", "redacted", "your_password", "secret"}
 
 OPERATOR = re.compile(r":=|=>|[=!<>]=|[=:]")
@@ -42,7 +44,16 @@ NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 QUOTED = {q: re.compile(rf"{q}(?P<body>(?:[^{q}\\\n]|\\[^\n])*+){q}") for q in "\"'`"}
 LONG_QUOTED = re.compile(r"""(\"\"\"|'''|```)(?P<body>(?:(?!\1)[^\\]|\\.)*+)\1""", re.DOTALL)
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>\n]++)</\1>")
-SETTING = re.compile(r"""<[^<>]{0,400}?\b(?:name|key)\s*+=\s*+["']([^"'<>]++)["'][^<>]{0,400}?\bvalue\s*+=\s*+["']([^"'<>\n]++)["']""")
+TAG = re.compile(r"<[A-Za-z][^<>]*+>")
+ATTRIBUTE = re.compile(r"""(?<![A-Za-z0-9_.:-])([A-Za-z_][A-Za-z0-9_.:-]*+)\s*+=\s*+(?:"([^"<>\n]++)"|'([^'<>\n]++)')""")
+LITERAL = r"""(["'])((?:(?!\2)[^\\\n]|\\[^\n])++)\2"""
+DEFINE = re.compile(rf"^[ \t]*+#[ \t]*+define[ \t]++([A-Za-z_][A-Za-z0-9_]*+)[ \t]++{LITERAL}", re.MULTILINE)
+SETTER = re.compile(rf"(?<![A-Za-z0-9_])(?:set|with|use)_?([A-Z_a-z][A-Za-z0-9_]*+)\([ \t]*+{LITERAL}[ \t]*+\)")
+FLAG = re.compile(r"""(?<![A-Za-z0-9_-])--([A-Za-z][A-Za-z0-9_-]*+)[ \t]++(?:(["'])([^"'\n]++)\2|([^\s"'-]\S*+))""")
+NEXT_LINE = re.compile(r"[(\[]?[ \t]*+\\?\n[ \t]*+(?=[fFrRbBuU]{0,2}[\"'`])|[(\[][ \t]*+(?=[fFrRbBuU]{0,2}[\"'`])")
+AGAIN = re.compile(r"[ \t]*+\n[ \t]*+(?=[fFrRbBuU]{0,2}[\"'`])")  # in brackets: the next of literals that are one
+PREFIX = re.compile(r"[fFrRbBuU]{1,2}(?=[\"'`])")
+FIELD = re.compile(r"\{\s*+([A-Za-z_][A-Za-z0-9_.]*+)\s*+\}")
 NO_LITERAL = re.compile(r"[<>{}\n]|\$\(")
 LONGEST_PLACEHOLDER = 16
 MOST_COUNTED = 1 << 60
@@ -70,7 +81,8 @@ def name_score(name: str) -> float:
         return 0.0
     best = 0.0
     for i, p in enumerate(parts):
-        score = max(SENSITIVE.get(p, 0.0), 1.0 if i and (parts[i - 1], p) in SENSITIVE_PAIRS else 0.0)
+        joined = 0.8 if p.endswith(ENDINGS) and p not in NO_ENDINGS else 0.0
+        score = max(SENSITIVE.get(p, joined), 1.0 if i and (parts[i - 1], p) in SENSITIVE_PAIRS else 0.0)
         best = max(best, score if i == len(parts) - 1 else 0.7 * score)
     return best
 
@@ -133,14 +145,35 @@ def _kind_of(c: str) -> str:
     return "" if c.isspace() else "other"
 
 
-def marked_up(text: str) -> Iterator[tuple[int, str, Value]]:
-    """(position, name, literal) of elements with plain content, and of name or key attributes with a value beside them."""
-    if "<" not in text:
-        return
-    for m in ELEMENT.finditer(text):
-        yield m.start(2), m[1], Value(m[2], m.start(2), m.end(2), True)
-    for m in SETTING.finditer(text):
-        yield m.start(2), m[1], Value(m[2], m.start(2), m.end(2), True)
+def stated(text: str) -> Iterator[tuple[int, str, Value]]:
+    """(position, name, literal) of what is assigned without a sign between: elements with plain content, attributes called
+    name or key with one called value in the same tag, definitions, calls of setters, and flags of a command line."""
+
+    def found(m: re.Match, name: int, *values: int) -> tuple[int, str, Value]:
+        v = next(x for x in values if m[x] is not None)
+        return m.start(v), m[name], Value(m[v], *m.span(v), v != values[-1] or len(values) == 1)
+
+    if "<" in text:
+        for m in ELEMENT.finditer(text):
+            yield found(m, 1, 2)
+        for tag in TAG.finditer(text):
+            held: dict[str, tuple[str, int, int]] = {}
+            for m in ATTRIBUTE.finditer(text, *tag.span()):
+                v = 2 if m[2] is not None else 3
+                held.setdefault(m[1].lower(), (m[v], *m.span(v)))
+            name = held.get("name") or held.get("key")
+            if name and "value" in held:
+                v, start, end = held["value"]
+                yield start, name[0], Value(v, start, end, True)
+    if "define" in text:
+        for m in DEFINE.finditer(text):
+            yield found(m, 1, 3)
+    if "(" in text:
+        for m in SETTER.finditer(text):
+            yield found(m, 1, 3)
+    if "--" in text:
+        for m in FLAG.finditer(text):
+            yield found(m, 1, 3, 4)
 
 
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
@@ -165,11 +198,21 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
         at, parts, whole = op.end(), [], True
         while at < len(text) and text[at] in " \t":
             at += 1
+        over = NEXT_LINE.match(text, at)
+        if over:
+            at = over.end()
         while at < len(text):
+            prefix = PREFIX.match(text, at)
+            at = prefix.end() if prefix else at
             q = QUOTED.get(text[at])
             m = (LONG_QUOTED.match(text, at) or q.match(text, at)) if q else BARE.match(text, at)
             if not m:
                 break
+            if q and (text[at] == "`" or prefix and "f" in prefix[0].lower()) and FIELD.search(m["body"]):
+                parts += [known[f] for f in FIELD.findall(m["body"]) if f in known]  # what it is put together of
+                whole = False
+                at = m.end()
+                break
             if q:
                 parts.append(Value(m["body"], *m.span("body"), True))
             elif IDENTIFIER.match(m[0]) and m[0] in known:
@@ -182,7 +225,7 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
                 break
             if not q and m[0][-1] in "+." and text[at : at + 1] in QUOTED:  # a name joined to a literal without a blank
                 continue
-            more = JOINER.match(text, at) if parts else None
+            more = JOINER.match(text, at) or (AGAIN.match(text, at) if q and over and over[0][0] in "([" else None)
             if not more:
                 break
             at = more.end()
@@ -201,12 +244,12 @@ def find_secrets(text: str) -> list[Span]:
     Time and memory follow the text's length: values are shared, each literal is given once, and what is covered is
     marked by position."""
     out = base_spans(text)
-    if "=" not in text and ":" not in text and "<" not in text:
+    if not any(sign in text for sign in ("=", ":", "<", "(", "--", "define")):
         return out
     covered = bytearray(len(text))
     for _, a, b, _, _ in out:
         covered[a:b] = b"\1" * (b - a)
-    for name, value in chain(assignments(text), ((n, v) for _, n, v in marked_up(text))):
+    for name, value in chain(assignments(text), ((n, v) for _, n, v in stated(text))):
         target = name_score(name)
         if target and (score := target * value.score()) >= LEAST_SCORE:
             for a, b in value.spans():

@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bounded_batches, cut, read, released, salted_join, strings, worker_table
+from paperloom.llm.common import bounded_batches, cut, in_order, read, released, salted_join, strings, worker_table
 from paperloom.llm.components import components
 
 BANDS, ROWS = 30, 4  # a pair of similarity 0.8 shares no band once in seven million times
@@ -30,7 +29,7 @@ ALIKE = REGISTERS // 3  # equal registers that a pair needs to be looked at: a l
 SMALL_BUCKET = 64  # buckets of more members go by families and blocks, which find the same links with fewer pairs
 BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000  # of one side of a block
 FANOUT = 128  # texts that are verified against one copy of another
-BIN_ROWS = 1500  # rows of a verifying task's group, about
+BIN_ROWS = 1500  # a fourth of the members of a group of small buckets, about
 WORDS_HELD = 60_000  # hashes of words that a Python worker remembers
 
 _rng = np.random.default_rng(20)
@@ -163,25 +162,35 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets (of 64-bit shingle hashes) are similar enough. ``a`` is the hub: its text travels
-    once for FANOUT others."""
+    once for FANOUT others and comes before them, so a task holds the hub's set and that of one other text, besides an Arrow
+    batch, whose rows and bytes are bounded."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("f"))
     dealt = salted_join(pairs, fan, ["a"], ["b"]).withColumn("s", F.pmod(F.xxhash64("b"), F.col("f")))
     dealt = cut(dealt.select("a", "b", "s"))
-    bins = max(1, dealt.count() // BIN_ROWS)
-    rows = dealt.select("a", "s", F.col("b").alias("id")).unionByName(
-        dealt.select("a", "s", F.col("a").alias("id")).distinct()
-    )
-    rows = rows.join(texts, "id").withColumn("bin", F.pmod(F.xxhash64("a", "s"), F.lit(bins)))
+    others = dealt.select("a", "s", F.col("b").alias("id"), F.lit(1).alias("turn"))
+    hubs = dealt.select("a", "s", F.col("a").alias("id"), F.lit(0).alias("turn")).distinct()
+    rows = others.unionByName(hubs).join(texts, "id")
+    rows = rows.select("a", "s", "turn", "id", "text").repartition("a", "s").sortWithinPartitions("a", "s", "turn")
 
-    def check(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (a, _), own in group.groupby(["a", "s"], sort=False):
-            sets = [(i, shingles(t, k)) for i, t in zip(own["id"], own["text"], strict=True)]
-            hubs = [s for i, s in sets if i == a]
-            found += [(a, i) for i, s in sets if i != a and any(linked(h, s, percent) for h in hubs)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for b in batches:
+            found = []
+            hub, salt, turn, ids = (b.column(i).to_pylist() for i in range(4))
+            for a, s, t, i, text in zip(hub, salt, turn, ids, strings(b.column(4)), strict=True):
+                if (a, s) != key:
+                    key, own = (a, s), []
+                x = shingles(text, k)
+                if t == 0:
+                    own.append(x)
+                elif any(linked(h, x, percent) for h in own):
+                    found.append((a, i))
+            cols = [pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
+        released()
 
-    return rows.select("bin", "a", "s", "id", "text").groupBy("bin").applyInPandas(check, "a long, b long")
+    bounded_batches(pairs.sparkSession)
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def _labelled(live: DataFrame, links: DataFrame) -> DataFrame:
@@ -342,17 +351,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, one of each group (and one of each repeated doc_id; rows
-    without an id all stay); columns as they are. Null and empty texts are linked with nothing and stay; an empty table
-    stays empty."""
-    gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("__pl_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("__pl_gone"), "left_anti")
+    """One row of each near-duplicate group of ``docs``: that with the smallest doc_id, of rows that share it the first by
+    text. Unlike texts all stay, also under one doc_id; rows without an id all stay; columns as they are. Null and empty
+    texts are linked with nothing and stay; an empty table stays empty. ``docs`` is a table as written."""
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.limit(1).count():
-        return kept
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+        gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where(~F.col("kept"))
+        gone = gone.select(F.col("doc_id").alias("__pl_gone"))
+        return docs.join(gone, docs["doc_id"] == F.col("__pl_gone"), "left_anti")
+    # rows are told apart by their place in order of id and text
+    named = in_order(docs.where(F.col("doc_id").isNotNull()), [F.col("doc_id").asc(), F.col("text").asc_nulls_first()], "__pl_place")
+    found = near_duplicates(named.select(F.col("__pl_place").alias("doc_id"), "text"), k, percent)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__pl_place"))
+    kept = named.join(gone, "__pl_place", "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
