@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written a
 but the last return the columns of ``documents``; ``n_chars`` follows the text.
 
 Of odd rows: a null text, or one without a letter, is rejected by the first stage; rows without a doc_id pass all stages
-(they are no one's near-duplicate); of rows that share a doc_id one stays after the third; very long texts are treated
+(they are no one's near-duplicate); of rows that share a doc_id unlike texts all stay in the third; very long texts are treated
 whole; extra columns, of whatever name, stay up to the last stage, which returns its own; an empty table gives an empty
 one."""
 
