@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import schemas
+from paperloom.sources.store import FileStore
 
 
 class Catalog:
@@ -14,9 +15,12 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._current = FileStore(spark, f"{self.root}/_current")
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}.parquet"
+        """The published version of a table, or the table itself where none is."""
+        current = self._current.load(name).decode() if self._current.exists(name) else ""
+        return f"{self.root}/{name}{current and '@'}{current}.parquet"
 
     def source(self, name: str) -> DataFrame:
         """All rows of a table."""
@@ -36,11 +40,15 @@ class Catalog:
         rows.write.mode("append").parquet(self.path(name))
 
     def snapshot(self, name: str, rows: DataFrame, version: str) -> str:
-        """Write a whole new version of a table beside it; the caller points readers at it."""
+        """Write a whole new version of a table beside it; publish() points readers at it."""
         path = f"{self.root}/{name}@{version}.parquet"
         rows.write.mode("error").parquet(path)
         return path
 
+    def publish(self, name: str, version: str) -> None:
+        """From now on reads and appends take this version, which snapshot() wrote; the older ones stay where they are."""
+        self._current.save(name, version.encode())
+
     def register(self, *names: str, prefix: str = "", suffix: str = "_all") -> None:
         """Views of tables for SQL text: ``prefix`` and name without deleted rows, with ``suffix`` behind it all rows.
 

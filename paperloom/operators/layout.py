@@ -489,6 +489,13 @@ def visual_verdict(skipped: Column, rendered: Column, failed: Column, verdict: C
     return F.when(skipped, True).when(~rendered, False).when(failed, False).otherwise(F.coalesce(verdict, F.lit(False)))
 
 
+def with_visual(checks: DataFrame, visuals: DataFrame, keys: Sequence[str], section: str = "section", name: str = "visual") -> DataFrame:
+    """Checks (keys, section, passed) and, as one more of section ``name``, the visual verdict of each of ``visuals`` (keys,
+    skipped, rendered, failed, verdict): sections() and summary() then count it like any other."""
+    own = visual_verdict(*[F.coalesce(F.col(c), F.lit(c == "rendered")) for c in ("skipped", "rendered", "failed")], F.col("verdict"))
+    return checks.select(*keys, section, "passed").unionByName(visuals.select(*keys, F.lit(name).alias(section), own.alias("passed")))
+
+
 def sections(checks: DataFrame, all_sections: DataFrame, keys: Sequence[str], section: str = "section") -> DataFrame:
     """Each section's verdict: all its checks pass; a section without checks does not."""
     own = checks.groupBy(*keys, section).agg(F.bool_and("passed").alias("passed"), F.count(F.lit(1)).alias("n"))

@@ -159,6 +159,18 @@ def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFram
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def update_matching(df: DataFrame, matches: dict[str, DataFrame], condition: Column | None = None, **values: Column) -> DataFrame:
+    """Set-based update of rows for which ``condition`` holds or a column is among the ids of its table in ``matches`` (column
+    -> its first column): a new snapshot. Ids may repeat and be null; a null column matches none."""
+    out, hits = df, [F.lit(False) if condition is None else F.coalesce(condition, F.lit(False))]
+    for i, (column, ids) in enumerate(matches.items()):
+        flag = f"__m{i}"
+        own = ids.select(F.col(ids.columns[0]).alias(f"__k{i}")).where(F.col(f"__k{i}").isNotNull()).distinct().withColumn(flag, F.lit(True))
+        out = out.join(own, F.col(column) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        hits.append(F.coalesce(flag, F.lit(False)))
+    return update_where(out, reduce(lambda a, b: a | b, hits), **values).select(*df.columns)
+
+
 def get_or_create(wanted: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct wanted keys that don't exist yet."""
     return wanted.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")

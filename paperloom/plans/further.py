@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import pii
-from paperloom.operators import evaluate, latest, search, vectors
+from paperloom.operators import evaluate, latest, layout, listing, search, stats, vectors
 from paperloom.plans.queries import ORACLE_SQL, query, t
 from paperloom.plans.review import Domain, domain_query
 from paperloom.sources.segments import SegmentedIndex
@@ -221,3 +221,72 @@ def evaluation_in_parts(spark, d):
         F.concat(F.col("o_orderdate").cast("string"), "o_orderstatus").alias("context"),
     )
     return evaluate.evaluate(rows, _every_hundredth_fails).select("branch_id", "feedback", "fulfilled", "score")
+
+
+@domain_query("""
+select u.id, u.username, count(*) as n from documents d join users u on d.created_by = u.id group by all order by n desc, u.id limit 5""")
+def named_activity(spark, d):
+    """The busiest users by key and name."""
+    own = Domain(spark, d)
+    users = own.table("users").select(F.col("id").alias("created_by"), "username")
+    rows = own.table("documents").join(users, "created_by").select(F.col("created_by").alias("id"), "username")
+    return stats.most_used(rows, ["id", "username"], 5)
+
+
+@domain_query("""
+select id, case when name = '1-URGENT' or created_by in (select id from users where username like '%7') or id in (select document_id from histories where status = 'R')
+  then 'renamed' else name end as name from documents""")
+def update_matching(spark, d):
+    """Rows renamed by a condition or by ids of other tables."""
+    own = Domain(spark, d)
+    matches = {
+        "created_by": own.table("users").where("username like '%7'").select("id"),
+        "id": own.table("document_histories").where("status = 'R'").select("document_id"),
+    }
+    return listing.update_matching(own.table("documents"), matches, F.col("name") == "1-URGENT", name=F.lit("renamed")).select("id", "name")
+
+
+_CHECKS = "select p_brand as k, p_size % 5 <> 0 as passed, 'size' as section from part"
+_VISUALS = "select p_brand as k, bool_or(p_partkey % 11 = 0) as skipped, min(p_partkey) % 7 <> 0 as rendered, max(p_partkey) % 5 = 0 as failed, sum(p_size) % 2 = 0 as verdict from part group by p_brand"
+
+
+@query(f"""
+with v as ({_VISUALS}), every as ({_CHECKS} union all
+  select k, case when skipped then true when not rendered then false when failed then false else verdict end, 'visual' from v)
+select k, section, bool_and(passed) as passed, count(*) as n from every group by all""")
+def visual_rollup(spark, d):
+    """Sections with the visual criterion among them."""
+    parts = t(spark, d, "part")
+    checks = parts.select(F.col("p_brand").alias("k"), (F.col("p_size") % 5 != 0).alias("passed"), F.lit("size").alias("section"))
+    visuals = parts.groupBy(F.col("p_brand").alias("k")).agg(
+        F.bool_or(F.col("p_partkey") % 11 == 0).alias("skipped"), (F.min("p_partkey") % 7 != 0).alias("rendered"),
+        (F.max("p_partkey") % 5 == 0).alias("failed"), (F.sum("p_size") % 2 == 0).alias("verdict"),
+    )
+    rows = layout.with_visual(checks, visuals, ["k"])
+    return layout.sections(rows, rows, ["k"])
+
+
+@query("""
+select c_custkey, c_custkey % 3 = 0 and c_custkey % 5 <> 0 as strong, split_part(c_name, '#', 1) as base,
+  case when c_custkey % 4 = 0 then null else 'x' end as kept, c_custkey % 2 = 0 as image,
+  c_custkey % 6 > 2 as late, 'data:image/png;base64,' || base64(encode(c_name)) as url,
+  substr(sha256(encode(c_name)), 1, 16) || '_' || c_custkey || '.png' as unique_name,
+  list_filter(range(1, 6), lambda p: p <> c_custkey % 5 + 1) as pages
+from customer""")
+def small_functions(spark, d):
+    """Passwords, base names, empty texts, images, expiry, addresses of data, unique names, page ranges."""
+    from paperloom.functions import text
+    from paperloom.operators import context
+
+    k = F.col("c_custkey")
+    strong = F.when(k % 5 == 0, "Short1a").when(k % 3 == 0, "Longer1word").when(k % 3 == 1, "longer1word").otherwise("LongerWord")
+    now, file = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.concat(k.cast("string"), F.when(k % 2 == 0, ".PNG").otherwise(".txt"))
+    bytes_ = F.col("c_name").cast("binary")
+    return t(spark, d, "customer").select(
+        "c_custkey", text.password_ok(strong).alias("strong"),
+        context.basename(F.concat(F.lit("/a/b/"), F.split("c_name", "#")[0])).alias("base"),
+        text.empty_to_null(F.when(k % 4 == 0, "").otherwise("x")).alias("kept"), text.is_image(file).alias("image"),
+        text.expired(text.expires(now, 3), now + F.make_dt_interval(mins=(k % 6 + 1).cast("int"))).alias("late"),
+        text.data_url(bytes_).alias("url"), text.unique_name(bytes_, F.concat(k.cast("string"), F.lit(".png"))).alias("unique_name"),
+        layout.page_range(F.lit(1), F.lit(5), F.array((k % 5 + 1).cast("int"))).alias("pages"),
+    )

@@ -333,7 +333,7 @@ def coordinate_chunks(spark, d):
 select doc_id, len(regexp_extract_all(text, '\b(?:\+?55\s?)?(?:\(?\d{2}\)?\s?)?\d{4,5}-?\d{4}\b')) as phone_number_br,
   len(regexp_extract_all(text, '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b')) as cpf, len(regexp_extract_all(text, '\b\d{2}\.?\d{3}\.?\d{3}/\d{4}-\d{2}\b')) as cnpj,
   len(regexp_extract_all(text, '\b\d{2}\.?\d{3}\.?\d{3}-?\d{1,2}\b')) as rg,
-  len(regexp_extract_all(text, '(?i)\b(?:FIOCRUZ|Fundação Oswaldo Cruz|Ministério da Saúde/ANVISA)\b')) as institution,
+  len(regexp_extract_all(text, '(?i)\b(?:FIOCRUZ|Fundação Oswaldo Cruz|Instituto  Nacional  de  Saúde  da  Mulher,  da  Criança  e  do Adolescente Fernandes Figueira|Ministério da Saúde/ANVISA|Fiocruz|fiocruz)\b')) as institution,
   len(regexp_extract_all(text, '(?i)R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}')) as money, len(regexp_extract_all(text, '\b\d+\.\d+/\d{4}-\d{2}\b')) as process_number,
   len(regexp_extract_all(text, '\b\d{2,5}/\d{4}\b')) as edital_number,
   len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b')) as email_address,

@@ -83,6 +83,11 @@ def result(store: DataFrame, key: str, column: str = "doc_id", order: str = "sav
     return store.where(F.col(column) == key).orderBy(F.desc(order)).limit(1)
 
 
+def result_keys(store: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The keys under which results are saved, each once, in order."""
+    return store.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
 def append_chunks(chunks: DataFrame, path: str) -> None:
     """The vector sink: chunks by source, so that reads of one source touch its files only."""
     chunks.write.mode("append").partitionBy("source").parquet(path)

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.catalog import Catalog
-from paperloom.operators import evaluate, search
-from paperloom.sources import documents
+from paperloom.operators import context, evaluate, layout, listing, search, vectors
+from paperloom.sources import documents, files
 from paperloom.sources.segments import SegmentedIndex
 
 
@@ -154,3 +154,69 @@ def test_files_are_not_opened_for_their_names(spark, folder, tmp_path):
     assert got["pdf"] == 4 and set(got) == {"txt", "docx", "words", "pdf"}
     (tmp_path / "none").mkdir()
     assert spark.read.format(documents.FORMAT).load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_a_published_version_is_what_readers_find(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").write.parquet(str(tmp_path / "notes.parquet"))
+    own = Catalog(spark, str(tmp_path))
+    new = listing.update_where(own.table("notes"), F.col("id") == 2, name=F.lit("c"))
+    own.snapshot("notes", new, "v2")
+    assert own.by_id("notes", 2).first().name == "b"
+    own.publish("notes", "v2")
+    assert own.by_id("notes", 2).first().name == "c" and own.by_id("notes", 1).first().name == "a"
+    own.append("notes", spark.createDataFrame([(3, "d")], "id int, name string"))
+    assert own.table("notes").count() == 3
+
+
+def test_updates_by_ids_of_other_tables(spark):
+    docs = spark.createDataFrame([(1, 7, "a"), (2, 8, "b"), (3, None, "c"), (4, 9, None)], "id int, p int, name string")
+    ids = spark.createDataFrame([(8,), (8,), (None,)], "x int")
+    got = listing.update_matching(docs, {"p": ids}, F.col("name") == "a", name=F.lit("new"))
+    assert got.columns == docs.columns and sorted(r.name or "" for r in got.collect()) == ["", "c", "new", "new"]
+
+
+def test_keys_of_a_result_store(spark):
+    store = spark.createDataFrame([("b", 1), ("a", 1), ("b", 2), (None, 3)], "doc_id string, saved_at int")
+    assert [r.doc_id for r in files.result_keys(store).collect()] == ["a", "b"]
+
+
+def test_visual_verdicts_count(spark):
+    checks = spark.createDataFrame([(1, "m", True), (2, "m", True)], "k int, section string, passed boolean")
+    visuals = spark.createDataFrame([(1, False, None, False, True), (2, False, True, False, None)], "k int, skipped boolean, rendered boolean, failed boolean, verdict boolean")
+    got = layout.summary(layout.with_visual(checks, visuals, ["k"]), ["k"])
+    assert sorted((r.k, r.total, r.passed, r.compliant) for r in got.collect()) == [(1, 2, 2, True), (2, 2, 1, False)]
+
+
+def test_all_auditors_are_told_of_all_documents(spark):
+    changes = spark.createDataFrame([(i, "WAITING_FOR_REVIEW") for i in range(300)], "document_id int, status string")
+    parties = spark.createDataFrame([], "document_id int, role string, user_id int")
+    auditors = spark.createDataFrame([(1,), (2,), (2,), (None,)], "user_id int")
+    got = context.notifications(changes, parties, auditors)
+    assert got.count() == 600 == got.distinct().count()
+
+
+def test_neighbours_of_groups_and_boxes(spark):
+    chunks = spark.createDataFrame([("s", i) for i in range(6)], "source string, chunk_index int")
+    hits = spark.createDataFrame([("g", "s", 0), ("g", "s", 1), ("h", "t", 3)], "g string, source string, chunk_index int")
+    got = vectors.expanded_or_hits(hits, chunks, "g")
+    assert sorted(tuple(r) for r in got.select("g", "source", "chunk_index").collect()) == [("g", "s", 0), ("g", "s", 1), ("g", "s", 2), ("g", "s", 3), ("h", "t", 3)]
+    boxes = spark.createDataFrame([([[1.0, 2.0, 3.0, 4.0], [1.0]],)], "r array<array<double>>").select(vectors.rect_structs(F.col("r")).alias("r")).first().r
+    assert [tuple(b) for b in boxes] == [(1.0, 2.0, 3.0, 4.0)]
+
+
+def test_body_spans(spark):
+    rows = [(1, 0, "long body text", 10.04), (1, 1, "Title", 16.0), (1, 2, "more body", 9.98), (1, 3, "  ", 10.0)]
+    got = layout.body_spans(spark.createDataFrame(rows, "page int, ord int, text string, size double"), ["page"])
+    assert sorted(r.ord for r in got.collect()) == [0, 2]
+
+
+def test_sources_read_and_write(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for n in ("b.pdf", "a.pdf"):
+        (tmp_path / "t" / n).write_bytes(b"x")
+    assert [r.name for r in files.templates(spark, str(tmp_path / "t")).collect()] == ["a.pdf", "b.pdf"]
+    names = F.array(F.lit("a.pdf"))
+    got = spark.range(1).select(files.chosen_template(F.lit("z"), names, "d.pdf"), files.chosen_template(F.lit("a.pdf"), names, "d.pdf"), files.upload_name(F.lit("1/ç.x"), F.lit(""))).first()
+    assert tuple(got) == ("d.pdf", "a.pdf", "1çx.pdf")
+    files.append_chunks(spark.createDataFrame([("s", 1), ("t", 2)], "source string, n int"), str(tmp_path / "chunks"))
+    assert spark.read.parquet(str(tmp_path / "chunks")).where("source = 't'").first().n == 2
