@@ -1,5 +1,7 @@
 """Small cases of the review-domain operators, with results worked out by hand."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import pii, text
@@ -72,6 +74,38 @@ def test_knn_is_exact_within_its_source(spark):
     assert rows(vectors.knn(q, c, 5), "chunk_id", "rank") == [(1, 1), (2, 2)]
 
 
+def test_knn_leaves_unsound_vectors_out_and_keeps_columns(spark):
+    nan, far = float("nan"), float("inf")
+    held = [("b", "s", [1.0, 0.0], "x"), ("a", "s", [2.0, 0.0], "y"), (None, "s", [3.0, 0.0], "n"), ("c", "s", None, "z"), ("d", "s", [1.0, None], "z"),
+            ("e", "s", [nan, 1.0], "z"), ("f", "s", [1.0, far], "z"), ("g", "s", [1.0], "z"), ("h", "s", [], "z"), ("i", None, [1.0, 0.0], "z"), ("j", "only", [1.0, 0.0], "z")]
+    c = spark.createDataFrame(held, "chunk_id string, source string, embedding array<double>, note string")
+    asked = [(1, "s", [5.0, 0.0]), (2, "s", None), (3, "s", [0.0, 0.0]), (4, None, [1.0, 0.0]), (5, "none", [1.0, 0.0]), (6, "s", [nan, 0.0]), (7, "s", [2.0])]
+    q = spark.createDataFrame(asked, "query_id int, source string, vector array<double>")
+    out = vectors.knn(q, c, 9)
+    assert out.columns == ["source", "query_id", "chunk_id", "embedding", "note", "distance", "rank"]
+    # nulls come first among equal distances, as in any ascending order of the engine
+    assert rows(out, "query_id", "chunk_id", "note", "rank") == sorted([(1, None, "n", 1), (1, "a", "y", 2), (1, "b", "x", 3), (7, "g", "z", 1)], key=str)
+    assert vectors.knn(q.limit(0), c, 3).count() == 0 and vectors.knn(q, c.limit(0), 3).count() == 0
+
+
+def test_knn_equals_pairs_scored_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "SLICE", 3)
+    draw = np.random.default_rng(5)
+    held = draw.normal(size=(12, 33))
+    # a third of the rows are copies of one vector: their ties are settled by key in every block
+    points = [(i, "hot" if i % 4 else "cold", (held[0] if i % 3 == 0 else held[draw.integers(12)] + draw.integers(3)).tolist()) for i in range(150)]
+    c = spark.createDataFrame(points, "chunk_id int, source string, embedding array<float>")
+    q = c.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "source", F.col("embedding").alias("vector"))
+    both = q.join(c, "source").withColumn("distance", 1 - vectors.cosine(F.col("vector"), F.col("embedding")))
+    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    want = both.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
+    names = ["query_id", "chunk_id", "rank", "distance"]
+    assert rows(vectors.knn(q, c, 7), *names) == rows(want, *names)
+    monkeypatch.setattr(vectors, "MOST_HOT", 0)
+    assert rows(vectors.knn(q, c, 7), *names) == rows(want, *names)
+
+
 def test_knn_deals_a_frequent_source_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 8)
     points = [(i, "hot" if i % 3 else f"s{i % 5}", [float(i * 7 % 11), float(i * 5 % 13) + 0.5]) for i in range(90)]
