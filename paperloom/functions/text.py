@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ CHUNK, OVERLAP = 500, 50
 WINDOW = 3000
 SEPARATORS = ("\n\n", "\n", " ", "")
 TEXT_CAP = 80_000
+SLICE = 256  # texts of which the chunks are held at once
 
 
 def clean(text: Column) -> Column:
@@ -90,60 +92,68 @@ def coordinate_chunks(words: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def split_recursive(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that the text has, finer ones for what is too
-    long still; neighbours share up to ``overlap`` characters of whole parts."""
-    sep = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(sep) + 1 :] if sep in separators else ()
-    parts = list(text) if sep == "" else text.split(sep)
-    out: list[str] = []
-    held: deque[str] = deque()
-    total = 0
+    """Pieces of at most ``size`` characters, cut before the coarsest separator that the text has, finer ones for what is not
+    shorter than ``size``; neighbours share up to ``overlap`` characters of whole parts.
 
-    def flush() -> None:
-        joined = sep.join(held).strip()
-        if joined:
-            out.append(joined)
+    A part keeps the separator that it begins with, and its length counts it; pieces are trimmed last. Parts of one level
+    lie side by side, so a piece is a stretch of the text and only places are kept, in time that follows the length."""
+    out: list[str] = []
 
-    for part in parts:
-        if not part and sep != "":
-            continue
-        if len(part) > size:
-            if held:
-                flush()
+    def parts(a: int, b: int, sep: str) -> Iterator[tuple[int, int]]:
+        if not sep:
+            yield from ((i, i + 1) for i in range(a, b))
+            return
+        at = text.find(sep, a, b)
+        while at >= 0:
+            if at > a:
+                yield a, at
+            a, at = at, text.find(sep, at + len(sep), b)
+        yield a, b
+
+    def cut(a: int, b: int, seps: tuple[str, ...]) -> None:
+        own = next((i for i, s in enumerate(seps) if not s or text.find(s, a, b) >= 0), None)
+        sep, finer = ("", ()) if own is None else (seps[own], seps[own + 1 :])
+        held: deque[int] = deque()  # where the parts of the open piece begin
+        end = a
+
+        def close() -> None:
+            if held and (piece := text[held[0] : end].strip()):
+                out.append(piece)
+
+        for p, q in parts(a, b, sep) if b > a else ():
+            if q - p >= size and (finer or q - p > size):
+                close()
                 held.clear()
-                total = 0
-            out += split_recursive(part, size, overlap, finer or ("",))
-            continue
-        extra = len(part) + (len(sep) if held else 0)
-        if held and total + extra > size:
-            flush()
-            while held and (total > overlap or total + len(part) + len(sep) > size):
-                total -= len(held[0]) + (len(sep) if len(held) > 1 else 0)
-                held.popleft()
-            extra = len(part) + (len(sep) if held else 0)
-        held.append(part)
-        total += extra
-    if held:
-        flush()
+                cut(p, q, finer)
+                continue
+            if held and q - held[0] > size:
+                close()
+                while held and (p - held[0] > overlap or q - held[0] > size):
+                    held.popleft()
+            held.append(p)
+            end = q
+        close()
+
+    cut(0, len(text), separators)
     return out
 
 
 def recursive_chunks(df: DataFrame, key: str, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk_index, chunk_id, page, text) of each whole text; null and blank texts have no chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [split_recursive(t or "", size, overlap) for t in pdf[text]]
-            yield pd.DataFrame(
-                {
-                    key: pdf[key].repeat([len(c) for c in cut]).to_numpy(),
-                    "chunk_index": [i for c in cut for i in range(len(c))],
-                    "text": [re.sub(r"\s+", " ", x.replace("\x00", "")).strip() for c in cut for x in c],
-                }
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                cut = [split_recursive(x.as_py() or "", size, overlap) for x in part.column(1)]
+                at = pa.array([i for i, c in enumerate(cut) for _ in c], pa.int64())
+                own = [re.sub(r"\s+", " ", x.replace("\x00", "")).strip() for c in cut for x in c]
+                ordinals = pa.array([i for c in cut for i in range(len(c))], pa.int32())
+                columns = [part.column(0).take(at), ordinals, pa.array(own, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "chunk_index", "text"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, text string")
+    out = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, chunk_index int, text string")
     return out.select(key, "chunk_index", F.concat(F.lit("chunk_fallback_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.lit(0).alias("page"), "text")
 
 

@@ -1,6 +1,8 @@
 """Small cases of the review-domain operators, with results worked out by hand."""
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -205,6 +207,47 @@ def test_recursive_chunks_keep_to_their_size():
     assert list(dict.fromkeys(seen)) == words.split()
 
 
+def plain_pieces(whole: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    """The published rule with lists of strings: parts keep the separator before them; short ones are merged, long ones cut."""
+    at = next(i for i, s in enumerate(separators) if s in whole)
+    first, *rest = whole.split(separators[at]) if separators[at] else whole
+    parts = [p for p in [first, *[separators[at] + r for r in rest]] if p]
+    groups: list[list[str]] = [[]]
+    for p in parts:
+        groups += [[p], []] if len(p) >= size and separators[at] else []
+        groups[-1] += [] if len(p) >= size and separators[at] else [p]
+    out = []
+    for g in groups:
+        if len(g) == 1 and len(g[0]) >= size and separators[at]:
+            out += plain_pieces(g[0], size, overlap, separators[at + 1 :])
+            continue
+        held: list[str] = []
+        for p in g:
+            if held and len("".join(held)) + len(p) > size:
+                out.append("".join(held))
+                while held and (len("".join(held)) > overlap or len("".join(held)) + len(p) > size):
+                    held = held[1:]
+            held.append(p)
+        out += ["".join(held)]
+    return [x.strip() for x in out if x.strip()]
+
+
+@given(st.lists(st.sampled_from(["a", "bc", "def", " ", " ", "\n", "\n\n", "long" * 5, "\u00e9"]), max_size=60).map("".join), st.integers(2, 30), st.data())
+def test_recursive_chunks_follow_the_published_rule(whole, size, data):
+    overlap = data.draw(st.integers(0, size - 1))
+    want = plain_pieces(whole, size, overlap, list(text.SEPARATORS)) if whole else []
+    assert text.split_recursive(whole, size, overlap) == want
+
+
+def test_recursive_chunks_of_small_texts(spark):
+    assert text.split_recursive("word0 word1 word2", 11, 5) == ["word0 word1", "word2"]
+    assert text.split_recursive("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert text.split_recursive("one\n\ntwo three", 9, 0) == ["one", "two", "three"]  # a separator counts with its part
+    docs = spark.createDataFrame([(1, "x" * 700), (2, None), (3, " \n "), (4, "a\x00b")], "doc_id int, text string")
+    got = rows(text.recursive_chunks(docs, "doc_id"), "doc_id", "chunk_index", "text")
+    assert got == sorted([(1, 0, "x" * 500), (1, 1, "x" * 250), (4, 0, "ab")], key=str)
+
+
 def test_pseudonyms_are_stable_and_reversible(spark):
     own = "a@b.org then a@b.org and c@d.net"
     out = pii.anonymise(spark.createDataFrame([(1, 0, own), (2, 0, None)], "doc_id int, chunk_index int, text string"), "doc_id")
