@@ -7,7 +7,6 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ CHUNK, OVERLAP = 500, 50
 WINDOW = 3000
 SEPARATORS = ("\n\n", "\n", " ", "")
 TEXT_CAP = 80_000
+# Words of reports.
+YES, NO, NO_RATIO = "sim", "não", "indeterminado"
 SLICE = 256  # texts of which the chunks are held at once
 
 
@@ -234,15 +235,21 @@ def section_split(docs: DataFrame, marks: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("ord", "section", "start_text", "end_text")))
     both = docs.select("doc_id", "text").join(marks.groupBy("doc_id").agg(items.alias("marks")), "doc_id", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, t, ms in zip(pdf["doc_id"], pdf["text"], pdf["marks"], strict=True):
-                for i, s in enumerate(split_sections(t or "", [] if ms is None else [dict(m) for m in ms])):
-                    rows.append((d, i, s["section"], s["start"], s["text"]))
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "section", "start", "text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return both.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, section string, start long, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                texts, marked = part.column(1).to_pylist(), part.column(2).to_pylist()
+                found = [split_sections(x or "", m or []) for x, m in zip(texts, marked, strict=True)]
+                at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+                flat = [s for own in found for s in own]
+                ordinals = pa.array([i for own in found for i in range(len(own))], pa.int32())
+                named = [pa.array([s[c] for s in flat], t) for c, t in (("section", pa.string()), ("start", pa.int64()), ("text", pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), ordinals, *named], names=["doc_id", "ord", "section", "start", "text"])
+
+    return both.mapInArrow(run, f"doc_id {kind}, ord int, section string, start long, text string")
 
 
 def merge_sections(found: DataFrame, key: str) -> DataFrame:
@@ -313,5 +320,25 @@ def safe_id(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "")
 
 
+def _decimals(value: Column, n: int) -> Column:
+    """A number with n decimals; halves go to the even digit."""
+    return F.format_string(f"%.{n}f", F.bround(value.cast("double"), n))
+
+
 def number_shown(value: Column) -> Column:
-    return F.format_string("%.1f", value.cast("double"))
+    return _decimals(value, 1)
+
+
+def truth_shown(value: Column) -> Column:
+    """Yes and no as reports show them; null: null."""
+    return F.when(value, YES).when(~value, NO)
+
+
+def measure_shown(value: Column, unit: str) -> Column:
+    """One decimal and the unit (mm, pt)."""
+    return F.concat(_decimals(value, 1), F.lit(f" {unit}"))
+
+
+def ratio_shown(value: Column) -> Column:
+    """Two decimals; null: no ratio could be told."""
+    return F.when(value.isNull(), NO_RATIO).otherwise(_decimals(value, 2))

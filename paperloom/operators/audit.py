@@ -111,3 +111,11 @@ def audit_rows(records: DataFrame, table: str, at: Column) -> DataFrame:
         F.col("id").cast("string").alias("id"), F.lit(table).alias("table_name"), F.col("record_id").cast("string").alias("record_id"),
         "action", F.col("user_id").cast("string").alias("user_id"), "old_data", at.alias("created_at"), "description",
     )
+
+
+def list_changes(before: Column, after: Column) -> tuple[Column, Column]:
+    """(added, removed): distinct elements of one list that the other lacks, sorted; a missing list is an empty one."""
+    gone = lambda x, y: F.array_sort(F.array_except(x, y))
+    none = F.array()
+    own, new = F.coalesce(before, none), F.coalesce(after, none)
+    return gone(new, own), gone(own, new)

@@ -45,6 +45,11 @@ def weighted_mode(df: DataFrame, keys: Sequence[str], value: str, weight: str, a
     return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", F.negative("p").alias("v"))).alias(alias))
 
 
+def medians(df: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
+    """(keys, new names): exact medians of columns, the mean of the middle two of an even number; nulls don't count."""
+    return df.groupBy(*keys).agg(*[F.median(c).alias(name) for name, c in columns.items()])
+
+
 def body_size(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, body_size): the font size, to a tenth, of most characters."""
     sized = spans.withColumn("__s", F.bround("size", 1)).withColumn("__w", F.char_length(F.trim("text"))).where("__w > 0")
@@ -484,6 +489,39 @@ def tolerance_checks(template: DataFrame, article: DataFrame, keys: Sequence[str
     return out.select(*keys, "criterion", "expected", "found", (both | F.coalesce(near, F.lit(False))).alias("passed"))
 
 
+# The names of the checks of a references section.
+LOCATED, FAMILY, SIZE, ALIGNMENT, NUMBERING = "secao_localizada", "familia_fonte", "tamanho_fonte", "alinhamento", "estilo_numeracao"
+
+
+def reference_checks(files: DataFrame, template: DataFrame, article: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, criterion, expected, found, passed): how the references of each of ``files`` (keys) are set in template and
+    article, both as reference_metrics() gives them.
+
+    Where a side has no references there is one check, whether both have or lack them; else families of one name, sizes
+    within tolerance, equal alignment and numbering; a missing value passes nothing. Values are shown as reports show them.
+    A join for each side, four rows a file at most. Keys of template and article are unique."""
+    from paperloom.functions.text import measure_shown, truth_shown
+
+    own = ("font_family", "font_size", "text_alignment", "numbering_style")
+    side = lambda df, n: df.select(*keys, F.struct(*own).alias(n))
+    both = files.select(*keys).join(side(template, "a"), list(keys), "left").join(side(article, "b"), list(keys), "left")
+    a, b = F.col("a"), F.col("b")
+
+    def check(name: str, expected: Column, found: Column, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("criterion"), expected.alias("expected"), found.alias("found"), F.coalesce(passed, F.lit(False)).alias("passed"))
+
+    near = F.abs(a["font_size"] - b["font_size"]) <= dict(TOLERANCES)["font_size"]
+    typography = F.array(
+        check(FAMILY, a["font_family"], b["font_family"], same_family(a["font_family"], b["font_family"])),
+        check(SIZE, measure_shown(a["font_size"], "pt"), measure_shown(b["font_size"], "pt"), near),
+        check(ALIGNMENT, a["text_alignment"], b["text_alignment"], a["text_alignment"] == b["text_alignment"]),
+        check(NUMBERING, a["numbering_style"], b["numbering_style"], a["numbering_style"] == b["numbering_style"]),
+    )
+    there = check(LOCATED, truth_shown(a.isNotNull()), truth_shown(b.isNotNull()), a.isNotNull() == b.isNotNull())
+    rows = F.when(a.isNull() | b.isNull(), F.array(there)).otherwise(typography)
+    return both.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
+
+
 def visual_verdict(skipped: Column, rendered: Column, failed: Column, verdict: Column) -> Column:
     """Skipped passes; a page that can't be rendered and a model's error fail; else the verdict."""
     return F.when(skipped, True).when(~rendered, False).when(failed, False).otherwise(F.coalesce(verdict, F.lit(False)))

@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from paperloom.operators.latest import latest
 
 
+def json_text(column: str, key: str) -> Column:
+    """The value of a key of a JSON text as text; null where the key is missing or null."""
+    return F.get_json_object(column, f"$.{key}")
+
+
+def json_is(column: str, key: str, *values) -> Column:
+    """Whether the text of a JSON key is one of ``values``; of none it is false."""
+    return json_text(column, key).isin([str(v) for v in values]) if values else F.lit(False)
+
+
+def concatenated(*results: DataFrame, part: str | None = None) -> DataFrame:
+    """The rows of all results, repeats kept; columns meet by name, and ``part`` (if given) numbers the results from 0."""
+    numbered = results if part is None else [r.withColumn(part, F.lit(i)) for i, r in enumerate(results)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
 def any_of(predicates: Sequence[Column]) -> Column:
     """OR of the predicates; none is true of nothing."""
     return reduce(lambda a, b: a | b, predicates, F.lit(False))

@@ -65,6 +65,15 @@ def with_roles(links: DataFrame, people: DataFrame, roles: Sequence[str], name:
     return links
 
 
+def with_quoted(messages: DataFrame, key: Sequence[str], quoted: Sequence[str], /, **columns: str) -> DataFrame:
+    """Messages with columns (new name = column) of the message that each quotes, whose key stands in ``quoted``: the table
+    joined to itself, so a message that quotes none, or one that is gone, has nulls. Keys are unique."""
+    names = [f"__{i}" for i in range(len(key))]
+    own = messages.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], *[F.col(c).alias(n) for n, c in columns.items()])
+    same = [F.col(q) == F.col(n) for q, n in zip(quoted, names, strict=True)]
+    return messages.join(own, same, "left").drop(*names)
+
+
 def nest(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str, order: str, alias: str, descending: bool = False) -> DataFrame:
     """Parents with the array ``alias`` of their children, sorted by ``order``; parents without any have an empty array."""
     item = F.struct(F.col(order).alias("__o"), F.struct(*[c for c in children.columns if c != child_key]).alias("v"))
@@ -76,7 +85,7 @@ def nest(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str
 
 
 def report_lines(nested: DataFrame, root_name: str = "name", mids: str = "taxonomies", leaves: str = "branches") -> DataFrame:
-    """(root, i, j, k, line): a nested tree as report lines in display order, headings before what they hold."""
+    """(root, j, k, line): a nested tree as report lines in display order, headings before what they hold."""
     base = nested.select(F.col(root_name).alias("root"), F.posexplode_outer(mids).alias("j", "m"))
     roots = nested.select(F.col(root_name).alias("root"), F.lit(-1).alias("j"), F.lit(-1).alias("k"), F.col(root_name).alias("line"))
     mid = base.where("m is not null").select("root", "j", F.lit(-1).alias("k"), F.concat(F.lit("  "), "m.title").alias("line"))

@@ -316,7 +316,19 @@ def recursive_chunks(spark, d):
     return text.recursive_chunks(t(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query(r"""
+with recursive w as (select conv_id, turn, unnest(string_split_regex(text, '\s+')) as word,
+    generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 as ord from conversations),
+l as (select conv_id, turn, ord // 8 as l, string_agg(word, ' ' order by ord) as text,
+    [min((ord % 8) * 50)::double, min(ord // 8 * 12)::double, max((ord % 8) * 50 + 45)::double, max(ord // 8 * 12 + 10)::double] as rect from w group by all),
+f as (select conv_id, turn, l, 0 as n, length(text) + 1 as used from l where l = 0 union all
+  select l.conv_id, l.turn, l.l, case when f.used > 0 and f.used + length(l.text) + 1 > 500 then f.n + 1 else f.n end,
+    case when f.used > 0 and f.used + length(l.text) + 1 > 500 then length(l.text) + 1 else f.used + length(l.text) + 1 end
+  from f join l on l.conv_id = f.conv_id and l.turn = f.turn and l.l = f.l + 1),
+c as (select conv_id as doc_id, turn as page, n, 'chunk_' || turn || '_' || n as chunk_id,
+  trim(regexp_replace(string_agg(l.text, ' ' order by l.l), '\s+', ' ', 'g')) as text, list(rect order by l.l) as rects
+  from f join l using (conv_id, turn, l) group by all)
+select *, row_number() over (partition by doc_id order by page, n) - 1 as chunk_index from c where text <> ''""")
 def coordinate_chunks(spark, d):
     """Words of conversations, placed on pages: a turn is a page, eight words a line."""
     w = F.posexplode(F.split("text", r"\s+")).alias("ord", "text")
@@ -379,7 +391,7 @@ def layout_mode(spark, d):
 
 @query("select l_returnflag, l_linestatus, median(l_quantity) as med from lineitem group by all")
 def layout_median(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.median("l_quantity").alias("med"))
+    return layout.medians(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], med="l_quantity")
 
 
 @query("""
@@ -446,8 +458,8 @@ def audit_diff(spark, d):
 
 @query("select event_id, cast(props ->> '$.k' as bigint) as k from events where (props ->> '$.k') in ('1', '2', '3')")
 def json_extract(spark, d):
-    k = F.variant_get(F.parse_json("props"), "$.k", "bigint")
-    return t(spark, d, "events").select("event_id", k.alias("k")).where(F.col("k").isin(1, 2, 3))
+    rows = t(spark, d, "events").where(listing.json_is("props", "k", 1, 2, 3))
+    return rows.select("event_id", listing.json_text("props", "k").cast("long").alias("k"))
 
 
 @query("select distinct u as user_id from (select o_custkey as u from orders union all select user_id from events)")
@@ -473,7 +485,8 @@ def last_messages(spark, d):
 
 @query("select c_custkey as k from customer union all select s_suppkey from supplier")
 def union_all(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).unionByName(t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")))
+    customers, suppliers = t(spark, d, "customer"), t(spark, d, "supplier")
+    return listing.concatenated(customers.select(F.col("c_custkey").alias("k")), suppliers.select(F.col("s_suppkey").alias("k")))
 
 
 @query("""
@@ -484,8 +497,8 @@ select k, array_to_string(list_sort(list_filter(b.m, lambda x: not list_contains
 def array_diff(spark, d):
     a = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.month("o_orderdate")).alias("a"))
     b = t(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.collect_set(F.dayofmonth("ts")).alias("b"))
-    shown = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ",")
-    return a.join(b, "k").select("k", shown(F.col("b"), F.col("a")).alias("added"), shown(F.col("a"), F.col("b")).alias("removed"))
+    added, removed = (F.array_join(x, ",") for x in audit.list_changes(F.col("a"), F.col("b")))
+    return a.join(b, "k").select("k", added.alias("added"), removed.alias("removed"))
 
 
 @query("""
@@ -502,8 +515,8 @@ select a.conv_id, a.turn, b.role as quoted from conversations a left join conver
 on a.conv_id = b.conv_id and b.turn = a.turn - 1""")
 def quoted_messages(spark, d):
     rows = t(spark, d, "conversations").select("conv_id", "turn", "role")
-    quoted = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("quoted"))
-    return rows.select("conv_id", "turn").join(quoted, ["conv_id", "turn"], "left")
+    rows = rows.withColumn("before", F.col("turn") - 1)
+    return tree.with_quoted(rows, ["conv_id", "turn"], ["conv_id", "before"], quoted="role").select("conv_id", "turn", "quoted")
 
 
 @query("""
