@@ -1,4 +1,4 @@
-"""Queries of page layout, reference sections and sections of texts. Orders stand in for the lines of forty files' pages: two
+"""Queries of page layout, reference sections and sections of texts. Orders stand in for the lines of files (forty customers each): two
 text columns, indents, headings, numbers; conversations for texts with sections."""
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from paperloom.plans.queries import query, t
 
 # One line an order, with its place (o), file (k), page and box; a line of text is of its file's style.
 _LINES = """
-l as (select o_custkey % 40 as k, o_orderkey as o, 1 + o_orderkey // 500 as page, ((o_orderkey % 500) * 2)::double as y0,
+l as (select o_custkey // 40 as k, o_orderkey as o, 1 + o_orderkey // 500 as page, ((o_orderkey % 500) * 2)::double as y0,
   ((o_orderkey % 500) * 2 + 1)::double as y1, (50 + 250 * (o_orderkey % 2) + case when o_orderkey % 7 = 0 then 20 else 0 end)::double as x0,
   (250 + 250 * (o_orderkey % 2) - 3 * (o_orderkey % 5))::double as x1, case when o_orderkey % 97 = 3 then 'Referências'
     when o_orderkey % 89 = 5 then '2. Apêndices' when o_orderkey % 13 = 0 then o_orderkey::varchar when o_orderkey % 17 = 0 then ' '
-    when o_custkey % 4 = 0 then '[' || o_orderkey || '] x' when o_custkey % 4 = 1 then o_orderkey || '. x'
-    when o_custkey % 4 = 2 then '(' || o_orderkey || ') x' else 'line ' || o_orderkey end as text from orders)"""
+    when o_custkey // 40 % 4 = 0 then '[' || o_orderkey || '] x' when o_custkey // 40 % 4 = 1 then o_orderkey || '. x'
+    when o_custkey // 40 % 4 = 2 then '(' || o_orderkey || ') x' else 'line ' || o_orderkey end as text from orders)"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    o, c = F.col("o_orderkey"), F.floor(F.col("o_custkey") / 40)
     n = o.cast("string")
     told = F.when(o % 97 == 3, "Referências").when(o % 89 == 5, "2. Apêndices").when(o % 13 == 0, n).when(o % 17 == 0, " ")
     told = told.when(c % 4 == 0, F.concat(F.lit("["), n, F.lit("] x"))).when(c % 4 == 1, F.concat(n, F.lit(". x")))
@@ -31,7 +31,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     x0 = 50 + 250 * (o % 2) + F.when(o % 7 == 0, 20).otherwise(0)
     y0 = (o % 500) * 2
     return t(spark, d, "orders").select(
-        (c % 40).alias("k"), o.alias("ord"), (F.floor(o / 500) + 1).alias("page"), y0.cast("double").alias("y0"), (y0 + 1).cast("double").alias("y1"),
+        c.alias("k"), o.alias("ord"), (F.floor(o / 500) + 1).alias("page"), y0.cast("double").alias("y0"), (y0 + 1).cast("double").alias("y1"),
         x0.cast("double").alias("x0"), (250 + 250 * (o % 2) - 3 * (o % 5)).cast("double").alias("x1"), told.alias("text"), F.lit(600.0).alias("page_w"),
     )
 
