@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -158,23 +158,32 @@ def recursive_chunks(df: DataFrame, key: str, text: str = "text", size: int = CH
     return out.select(key, "chunk_index", F.concat(F.lit("chunk_fallback_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.lit(0).alias("page"), "text")
 
 
-def normal_with_map(text: str) -> tuple[str, list[int]]:
+class _Normal(dict):
+    """Code points to their normal character, each worked out once: a blank for white space, NUL for what goes."""
+
+    def __missing__(self, point: int) -> str:
+        base = next((d for d in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(d)), "")
+        self[point] = " " if base.isspace() else base.lower()[:1] if base and base.isprintable() else "\x00"
+        return self[point]
+
+
+_NORMAL = _Normal()
+
+
+def normal_with_map(text: str) -> tuple[str, Sequence[int]]:
     """The text without accents, in lower case, white space collapsed, unprintable characters gone, and where each of its
     characters stands in the original."""
-    chars: list[str] = []
+    same = text.translate(_NORMAL)
+    flat = re.sub(" +", " ", same.replace("\x00", ""))
+    if len(flat) == len(text):
+        return flat, range(len(text))
     index: list[int] = []
-    for i, c in enumerate(text):
-        base = next((d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d)), "")
-        if base.isspace():
-            if chars and chars[-1] == " ":
-                continue
-            base = " "
-        elif not base.isprintable():
-            continue
-        for d in base.lower()[:1]:
-            chars.append(d)
+    before = ""
+    for i, c in enumerate(same):
+        if c != "\x00" and not c == before == " ":
             index.append(i)
-    return "".join(chars), index
+            before = c
+    return flat, index
 
 
 def _bases() -> tuple[str, str]:
