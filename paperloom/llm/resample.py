@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +23,16 @@ MIN_WORDS = 20  # shorter documents are never drawn
 PERCENT = 10  # of the documents long enough, so many in a hundred are drawn
 SEED = "2024"
 BLOCK_DOCS = 64  # documents of a block at most
-BLOCK_ENTRIES = 1 << 17  # a block ends with the document that reaches so many entries
+BLOCK_ENTRIES = 1 << 10  # a block ends with the document that reaches so many entries: readers hold thousands of blocks at once
 
 #: a word in the UTF-8 bytes of a text whose A-Z are lower-cased: digits, letters a to z and all beyond ASCII
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 _BLOCK = pa.schema(
     [("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
-     ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]
+     ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
 )
-_BLOCK_SQL = "ids array<long>, n_words array<long>, starts array<long>, buckets array<int>, counts array<long>"
+_BLOCK_SQL = "ids array<long>, n_words array<long>, starts array<long>, buckets array<int>, counts array<int>"
 
 
 def features(words: list[bytes], run: int) -> Iterator[bytes]:
@@ -82,8 +83,7 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for i in range(b.num_rows):
-                np.add.at(total, b.column(0)[i].values.to_numpy(), b.column(1)[i].values.to_numpy())
+            np.add.at(total, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -102,19 +102,20 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
-    """(id, n_words, n_features, weight) of each document: the floored mean of its features' gains, 0 without features. Each
-    block is multiplied with the vector where it lies."""
+    """(id, n_words, n_features, weight) of each document: the floored mean of its features' gains, 0 without features. Blocks
+    are multiplied with the vector where they lie, those of an Arrow batch at once."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ids, words_of, starts, at, n = (b.column(j)[i].values for j in range(5))
-                n, starts = n.to_numpy(), starts.to_numpy()
-                sums = np.concatenate([[0], np.cumsum(n * gain[at.to_numpy()])])
-                held = np.concatenate([[0], np.cumsum(n)])
-                size = held[starts[1:]] - held[starts[:-1]]
-                weight = (sums[starts[1:]] - sums[starts[:-1]]) // np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays([ids, words_of, pa.array(size, pa.int64()), pa.array(weight, pa.int64())], names=names)
+            ids, words_of, starts, at, n = (b.column(j).flatten() for j in range(5))
+            n, entries = n.to_numpy().astype(np.int64), np.diff(starts.to_numpy())
+            last = np.cumsum(pc.list_value_length(b.column(2)).to_numpy())[:-1] - 1  # from a block's end to the next one's start
+            starts = np.concatenate([[0], np.cumsum(np.delete(entries, last))])
+            sums = np.concatenate([[0], np.cumsum(n * gain[at.to_numpy()])])
+            held = np.concatenate([[0], np.cumsum(n)])
+            size = held[starts[1:]] - held[starts[:-1]]
+            weight = (sums[starts[1:]] - sums[starts[:-1]]) // np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([ids, words_of, pa.array(size, pa.int64()), pa.array(weight, pa.int64())], names=names)
 
     names = ["id", "n_words", "n_features", "weight"]
     return blocks.mapInArrow(product, "id long, n_words long, n_features long, weight long")

@@ -71,6 +71,12 @@ def test_blocks_hold_all_counts(spark):
     assert column_sums(blocks, 31).sum() == sum(len(grams(t, 1)[1]) for _, t in ROWS)
 
 
+def test_blocks_stay_small_whatever_the_documents_are(spark):
+    wide = [(i, " ".join(f"w{i * 7 + j}" for j in range(900))) for i in range(200)]
+    for r in count_blocks(spark.createDataFrame(wide, "id long, text string").coalesce(1)).collect():
+        assert r["starts"][-2] < 1024  # a block ends with the document that reaches so many entries
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = importance_ranks(odd_docs, no_docs, min_words=1, percent=50).collect()
