@@ -24,7 +24,7 @@ def lexemes(*columns: Column) -> Column:
     """Distinct lower-case words of the columns joined by blanks; null columns are empty."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_distinct(F.array_remove(words, ""))
 
 
 # The configuration in which each entity's words are read, and the columns that are searched.

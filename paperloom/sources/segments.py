@@ -6,13 +6,14 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.search import search_postings, terms, terms_in
 from paperloom.sources.store import FileStore
 
 FAN = 4  # neighbouring segments of one size that are merged into one
+FEW_KEYS = 200_000  # up to so many tombstones are broadcast
 
 
 class SegmentedIndex:
@@ -36,15 +37,28 @@ class SegmentedIndex:
         last = int(names[-1].split(".")[0]) if names else 0
         self.lists.save(f"{last + 1:012d}.json", json.dumps(segments).encode())
 
-    def _write(self, postings: DataFrame, dead: DataFrame) -> dict:
-        name = uuid.uuid4().hex
-        own = postings.select("term", self.key).distinct()
-        own.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/{name}/postings")
-        dead.select(self.key).distinct().write.parquet(f"{self.path}/{name}/dead")
+    def _write(self, postings: DataFrame, gone: DataFrame | None, own: bool) -> dict:
+        """A segment of ``postings``, each once; its tombstones are ``gone`` and, if ``own``, the keys of its postings.
+
+        Postings are worked out once, as they come; then one shuffle deals them into ranges, where equal ones meet."""
+        name, cols = uuid.uuid4().hex, ["term", self.key]
+        at, each = f"{self.path}/{name}", Window.partitionBy(*cols).orderBy(*cols)
+        postings.select(*cols).write.option("parquet.enable.dictionary", "false").parquet(f"{at}/unsorted")
+        held = self._postings(name, "unsorted")
+        ranges = held.repartitionByRange(*cols).withColumn("__n", F.row_number().over(each)).where("__n = 1").select(*cols)
+        ranges.sortWithinPartitions(*cols).write.parquet(f"{at}/postings")
+        keys = ([held.select(self.key)] if own else []) + ([gone.select(self.key)] if gone is not None else [])
+        keys = keys or [held.select(self.key).where(F.lit(False))]
+        reduce(DataFrame.unionByName, keys).distinct().write.parquet(f"{at}/dead")
+        self._delete(f"{at}/unsorted")
         return {"name": name, "rows": self._postings(name).count(), "keys": self._dead(name).count()}
 
-    def _postings(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"term string, `{self.key}` {self.kind}").parquet(f"{self.path}/{name}/postings")
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _postings(self, name: str, part: str = "postings") -> DataFrame:
+        return self.spark.read.schema(f"term string, `{self.key}` {self.kind}").parquet(f"{self.path}/{name}/{part}")
 
     def _dead(self, name: str) -> DataFrame:
         return self.spark.read.schema(f"`{self.key}` {self.kind}").parquet(f"{self.path}/{name}/dead")
@@ -52,25 +66,28 @@ class SegmentedIndex:
     def update(self, postings: DataFrame, deleted: DataFrame | None = None) -> None:
         """Postings of new and changed rows (all terms of each; search.postings()), and keys (column ``key``) of rows that are
         gone or have no terms any more; a key in both is changed."""
-        dead = postings.select(self.key)
-        dead = dead if deleted is None else dead.unionByName(deleted.select(self.key))
-        self._publish([*self.segments(), self._write(postings, dead)])
+        self._publish([*self.segments(), self._write(postings, deleted, own=True)])
 
     def _live(self, segments: list[dict], wanted: list[str] | None = None) -> DataFrame | None:
         """Postings of the segments that no later one of them has made void, of prefixes ``wanted`` alone if given: that
         filter reaches each segment's files, and tombstones meet only what it leaves."""
         if not segments:
             return None
-        parts, graves = [], []
+        parts = []
         for i, s in enumerate(segments):
             own = self._postings(s["name"])
             if wanted is not None:
                 own = own.where(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in wanted]))
             parts.append(own.withColumn("__seg", F.lit(i)))
-            graves.append(self._dead(s["name"]).withColumn("__void", F.lit(i)))
-        last = reduce(DataFrame.unionByName, graves).groupBy(self.key).agg(F.max("__void").alias("__void"))
-        met = reduce(DataFrame.unionByName, parts).join(last, self.key, "left")
-        return met.where(F.coalesce("__void", F.lit(-1)) <= F.col("__seg")).select("term", self.key)
+        later = [(i, s) for i, s in enumerate(segments) if i and s["keys"]]  # the first one's tombstones lie on nothing
+        if not later:
+            return reduce(DataFrame.unionByName, parts).select("term", self.key)
+        graves = reduce(DataFrame.unionByName, [self._dead(s["name"]).withColumn("__void", F.lit(i)) for i, s in later])
+        last = graves.groupBy(F.col(self.key).alias("__key")).agg(F.max("__void").alias("__void"))
+        few = sum(s["keys"] for _, s in later) <= FEW_KEYS
+        void = (F.col(self.key) == F.col("__key")) & (F.col("__void") > F.col("__seg"))
+        older = reduce(DataFrame.unionByName, parts[:-1]).join(last.hint("broadcast" if few else "shuffle_hash"), void, "left_anti")
+        return older.unionByName(parts[-1]).select("term", self.key)
 
     def postings(self) -> DataFrame:
         """All postings that count."""
@@ -90,7 +107,7 @@ class SegmentedIndex:
         while (run := self._run(segments := self.segments(), fan)) is not None:
             old = segments[run : run + fan]
             graves = reduce(DataFrame.unionByName, [self._dead(s["name"]) for s in old])
-            one = self._write(self._live(old), graves if run else graves.where(F.lit(False)))
+            one = self._write(self._live(old), graves if run else None, own=False)
             self._publish([*segments[:run], one, *segments[run + fan :]])
             done += 1
         return done

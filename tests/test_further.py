@@ -68,6 +68,20 @@ def test_an_updated_index_equals_one_built_anew(spark, tmp_path):
     assert "StringStartsWith(term,al)" in plan
 
 
+def test_an_update_works_its_postings_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def word(k):
+        seen.add(1)
+        return f"w{k % 10}"
+
+    index = SegmentedIndex(spark, str(tmp_path / "index"), "k")
+    index.update(spark.range(100).selectExpr("id % 50 as k").select(F.udf(word)("k").alias("term"), "k"))
+    assert seen.value == 100
+    assert index.postings().count() == 50 and index.segments()[0]["keys"] == 50
+    assert not list((tmp_path / "index").glob("*/unsorted"))
+
+
 def test_one_bad_payload_costs_one_verdict(spark):
     def model(part):
         assert len(part) <= 32 and [p["ordinal"] for p in part] == list(range(part[0]["ordinal"], part[0]["ordinal"] + len(part)))
