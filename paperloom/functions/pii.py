@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.stored import stored
+
 # The institutions that are hidden by name.
 INSTITUTIONS = [
     "FIOCRUZ",
@@ -43,6 +45,9 @@ PATTERNS = [
 ]
 #: a character without which a kind has no match: most texts are done without trying its pattern
 NEEDS = {"CNPJ": "/", "MONEY": "$", "PROCESS_NUMBER": "/", "EDITAL_NUMBER": "/", "EMAIL_ADDRESS": "@", "DATE": "/", "TIME": ":"}
+#: two digits side by side, without which these patterns have no match
+TWO_DIGITS = re.compile(r"\d\d")
+WITH_DIGITS = [(k, p) for k, p in PATTERNS if k in ("PHONE_NUMBER_BR", "CPF", "RG", "ZIP_CODE")]
 
 
 def counts(text: Column, patterns=tuple(PATTERNS)) -> list[Column]:
@@ -89,14 +94,17 @@ def entities(df: DataFrame, key: str, order: str = "chunk_index", text: str = "t
     matched character is part of one. One pass over the texts where they are; work in a row follows its length and number
     of matches, since matches of one kind don't overlap."""
     found = df.select(key, order, F.col(text).alias("__text"))
-    compiled = [(re.compile(p, re.DOTALL | re.MULTILINE | re.IGNORECASE), NEEDS.get(k, "")) for k, p in patterns]
+    compiled = [(re.compile(p, re.DOTALL | re.MULTILINE | re.IGNORECASE), NEEDS.get(k, ""), (k, p) in WITH_DIGITS) for k, p in patterns]
+    two_digits = TWO_DIGITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
             for i in range(b.num_rows):
                 t = b.column(2)[i].as_py() or ""
-                own = [(m.start(), m.end(), k) for k, (p, need) in enumerate(compiled) if need in t for m in p.finditer(t)]
+                two = two_digits.search(t) is not None
+                able = [(k, p) for k, (p, need, digits) in enumerate(compiled) if need in t and (two or not digits)]
+                own = [(m.start(), m.end(), k) for k, p in able for m in p.finditer(t)]
                 own = [(c + 1, k, t[c:d]) for c, d, k in _kept(own)] if own else own
                 at += [i] * len(own)
                 out += own
@@ -153,9 +161,9 @@ def anonymise(
     held: DataFrame | None = None,
 ) -> DataFrame:
     """The chunks (one row for each key and order) with placeholders where an entity was matched, and ``pii_map``: kind ->
-    entity -> placeholder of the document, those of ``held`` (numbers()) included. Only spans travel; a text meets those of
-    its own chunk."""
-    found = entities(df, key, order, text, patterns)
+    entity -> placeholder of the document, those of ``held`` (numbers()) included. Only spans travel, looked for once and
+    kept as a table; a text meets those of its own chunk."""
+    found = stored(entities(df, key, order, text, patterns), "entities")
     names = placeholders(found, key, order, naming, held)
     placed = found.join(names, [key, "kind", "entity"])
     if held is not None:

@@ -13,7 +13,7 @@ from paperloom.operators import evaluate, latest, layout, listing, search, stats
 from paperloom.plans.queries import ORACLE_SQL, query, t
 from paperloom.plans.review import Domain, domain_query
 from paperloom.sources.segments import SegmentedIndex
-from paperloom.stored import shared_dir
+from paperloom.stored import shared_dir, stored
 
 # One text a customer: an entity of each kind, made of the customer's number, and near misses.
 _NAMES = [name.replace("'", "''") for name in pii.INSTITUTIONS]
@@ -34,6 +34,11 @@ _PIECES = {
 MISSES = "1:30; a@b; 123.456.789; R$ 1; FIOCRUZES; 99/99/19"
 
 
+def _spread(df, key: str):
+    """Rows of a small file, of which each costs much, dealt over all tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _duck(piece: str) -> str:
     return piece.replace("element_at(array(", "list_extract(list_value(")
 
@@ -42,7 +47,8 @@ def _duck(piece: str) -> str:
 def pii_kinds(spark, d):
     """What is found of each kind in texts that hold one entity of each and near misses."""
     parts = [F.expr(p) for p in _PIECES.values()]
-    rows = t(spark, d, "customer").select("c_custkey", F.lit(0).alias("chunk_index"), F.concat_ws("; ", *parts, F.lit(MISSES)).alias("text"))
+    rows = _spread(t(spark, d, "customer").select("c_custkey"), "c_custkey")
+    rows = rows.select("c_custkey", F.lit(0).alias("chunk_index"), F.concat_ws("; ", *parts, F.lit(MISSES)).alias("text"))
     return pii.entities(rows, "c_custkey").select("c_custkey", "kind", "entity")
 
 
@@ -59,7 +65,8 @@ def pii_numbers_of_runs(spark, d):
     rows = t(spark, d, "events")
     mail = F.concat("event_type", (F.col("event_id") % 50).cast("string"), F.lit("@a.org"))
     text = F.concat(F.lit("às "), F.date_format("ts", "HH:mm"), F.lit(" de "), mail).alias("text")
-    found = pii.entities(rows.select("user_id", F.col("event_id").alias("chunk_index"), text), "user_id")
+    spread = _spread(rows.select("user_id", "event_id", "event_type", "ts"), "event_id")
+    found = stored(pii.entities(spread.select("user_id", F.col("event_id").alias("chunk_index"), text), "user_id"), "entities")
     found = found.join(rows.groupBy("user_id").agg(F.avg("event_id").alias("half")), "user_id")
     first = pii.numbers(found.where("chunk_index <= half"), "user_id").drop("new")
     second = pii.numbers(found.where("chunk_index > half"), "user_id", held=first).where("new").drop("new")
@@ -72,7 +79,8 @@ _OVERLAPS = "printf('(,00)1230%04d-%02d:%02d', c_custkey % 10000, c_custkey % 24
 @query(f"select c_custkey, {_OVERLAPS} as text, false as readable from customer")
 def pii_overlaps(spark, d):
     """Texts whose matches overlap: what comes back of each, and whether its time or long number can still be read."""
-    rows = t(spark, d, "customer").select("c_custkey", F.lit(0).alias("chunk_index"), F.expr(_OVERLAPS).alias("text"))
+    rows = _spread(t(spark, d, "customer").select("c_custkey"), "c_custkey")
+    rows = rows.select("c_custkey", F.lit(0).alias("chunk_index"), F.expr(_OVERLAPS).alias("text"))
     out = pii.anonymise(rows, "c_custkey")
     readable = F.col("text").rlike(r"\d\d:\d\d|\d{4}-")
     return out.select("c_custkey", pii.restore(F.col("text"), F.col("pii_map")).alias("text"), readable.alias("readable"))

@@ -1,8 +1,10 @@
 """Rows that only tables larger than the given ones hold: queries over made tables against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from paperloom.functions import pii
 
 
 def against_sql(spark, name, folder, **tables):
@@ -29,3 +31,19 @@ def test_fonts_of_odd_keys_with_near_values(spark, tmp_path):
     supplier = "select unnest([1, 2, 3]) as s_suppkey, unnest([10.5, 10.5, 10.0]::double[]) as s_acctbal"
     got = against_sql(spark, "page_criteria", tmp_path, customer=customer, supplier=supplier)
     assert {(r[0], r[2]) for r in got if r[1] == "main_font"} == {(1, False), (2, True), (3, False)}
+
+
+def test_texts_are_searched_once_for_personal_data(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        seen.add(1)
+        return f"call 91234-{k:04d} at 10:{k % 60:02d}"
+
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.udf(text)("id").alias("text"))
+    assert {r.text for r in pii.anonymise(df, "doc_id").collect()} == {"call <PHONE_NUMBER_BR_0> at <TIME_0>"}
+    assert seen.value <= 80  # once to search, once for what is returned
+
+
+def test_texts_of_a_small_file_are_dealt_over_tasks(spark, sf_dir):
+    assert entry.queries()["pii_kinds"](spark, sf_dir).rdd.getNumPartitions() >= 4
