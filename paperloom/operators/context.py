@@ -121,21 +121,32 @@ TOLD = [("UNDER_CONSTRUCTION", "editor"), ("WAITING_FOR_REVIEW", "creator"), ("W
 
 
 AUDIT_SALTS = 64
+TASK_ROWS = 1_000_000  # rows of a task, about, however many there are
 
 
 def notifications(changes: DataFrame, parties: DataFrame, auditors: DataFrame) -> DataFrame:
     """(document_id, status, user_id) to tell, each once: changes (document_id, status) by the rules of TOLD to the
     document's parties (document_id, role: editor or creator, user_id) and to all ``auditors`` (user_id). A status without
-    a rule tells nobody."""
-    rules = changes.sparkSession.createDataFrame(TOLD, "status string, role string")
+    a rule tells nobody.
+
+    Counts set how many tasks there are, since ids shrink so much in a shuffle that its bytes don't tell its rows."""
+    spark = changes.sparkSession
+    least, n_changes = int(spark.conf.get("spark.sql.shuffle.partitions")), changes.count()
+    auditors = auditors.select("user_id").distinct()
+    tasks = max(least, 1 + (2 * n_changes + parties.count()) // TASK_ROWS)
+    told = max(least, 1 + n_changes * (1 + auditors.count()) // TASK_ROWS)
+    rules = spark.createDataFrame(TOLD, "status string, role string")
     due = changes.join(F.broadcast(rules), "status")
-    own = due.join(parties, ["document_id", "role"]).select("document_id", "status", "user_id")
+    at = ["document_id", "role"]
+    own = due.repartition(tasks, *at).join(parties.repartition(tasks, *at), at).select("document_id", "status", "user_id")
     # every document meets every auditor: documents are dealt over salts, and auditors, who are few, come to each
-    all_ = due.where("role = 'auditor'").select("document_id", "status").distinct()
-    all_ = all_.withColumn("__salt", F.pmod(F.xxhash64("document_id", "status"), F.lit(AUDIT_SALTS)))
-    held = auditors.select("user_id").distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(AUDIT_SALTS - 1).cast("long"))))
+    salts = max(AUDIT_SALTS, tasks)
+    all_ = due.where("role = 'auditor'").select("document_id", "status")
+    all_ = all_.withColumn("__salt", F.pmod(F.xxhash64("document_id", "status"), F.lit(salts))).repartition(salts, "__salt")
+    held = auditors.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     every = all_.join(held, "__salt").select("document_id", "status", "user_id")
-    return own.unionByName(every).where("user_id is not null").distinct()
+    out = own.unionByName(every).where("user_id is not null")
+    return out.repartition(told, "document_id", "status", "user_id").distinct()
 
 
 def translated(status: Column) -> Column:

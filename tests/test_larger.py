@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from paperloom.functions import pii
+from paperloom.operators import context
 
 
 def against_sql(spark, name, folder, **tables):
@@ -47,3 +48,12 @@ def test_texts_are_searched_once_for_personal_data(spark):
 
 def test_texts_of_a_small_file_are_dealt_over_tasks(spark, sf_dir):
     assert entry.queries()["pii_kinds"](spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_notices_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(context, "TASK_ROWS", 100)
+    changes = spark.range(1000).selectExpr("id as document_id", "'WAITING_FOR_REVIEW' as status")
+    parties = changes.selectExpr("document_id", "'creator' as role", "document_id % 7 as user_id")
+    got = context.notifications(changes, parties, spark.createDataFrame([(1,), (9,)], "user_id long"))
+    assert got.count() == 3000 - len(range(1, 1000, 7))
+    assert got.rdd.getNumPartitions() == 31  # 1000 changes, each told to one party and two auditors
